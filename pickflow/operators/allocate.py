@@ -248,7 +248,7 @@ def create_jobs(orders: DataFrame, allocations: DataFrame, flags: DataFrame | No
     jobs = allocations.withColumnRenamed("order_no", "class_cd").join(heads, [*KEY, "class_cd", *ITEM])
     request = F.lit(False)
     if flags is not None:
-        jobs = jobs.join(flags.select(*KEY, F.col("`dps.preprocess.box-request.enabled`").alias("_request")), KEY, "left")
+        jobs = jobs.join(flags.select(*KEY, F.col("preprocess_box_request_enabled").alias("_request")), KEY, "left")
         request = F.coalesce("_request", F.lit(False))
     return jobs.select(
         natural_id("domain_id", "batch_id", "class_cd", *ITEM, "stock_id").alias("id"),

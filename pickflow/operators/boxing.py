@@ -133,5 +133,5 @@ def resolve_scan(codes: DataFrame, *, sku: DataFrame, boxes: DataFrame, cells: D
         rows = table.filter(F.col(column).isNotNull()).select("domain_id", F.col(column).alias("code"), F.lit(rank).alias("_rank"))
         known = rows if known is None else known.unionByName(rows)
     best = known.groupBy("domain_id", "code").agg(F.min("_rank").alias("_rank"))
-    label = F.element_at(F.array(*[F.lit(k) for k, _, _ in kinds]), F.col("_rank"))
+    label = F.coalesce(*[F.when(F.col("_rank") == rank, kind) for rank, (kind, _, _) in enumerate(kinds, 1)])
     return codes.select("domain_id", "code").distinct().join(best, ["domain_id", "code"], "left").select("domain_id", "code", label.alias("input_type"))

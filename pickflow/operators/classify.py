@@ -33,8 +33,8 @@ def apply_class_codes(orders: DataFrame, flags: DataFrame | None = None, *, clas
         return orders.withColumns(new)
     fields = flags.select(
         *KEY,
-        F.coalesce("`dps.preproces.cell.mapping.field`", F.lit(class_field)).alias("_class_field"),
-        F.coalesce("`dps.box.out.class.field`", F.lit(box_class_field)).alias("_box_field"),
+        F.coalesce("preproces_cell_mapping_field", F.lit(class_field)).alias("_class_field"),
+        F.coalesce("box_out_class_field", F.lit(box_class_field)).alias("_box_field"),
     )
     return (
         orders.join(fields, KEY, "left")

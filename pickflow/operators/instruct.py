@@ -22,6 +22,7 @@ from pickflow.schemas import (
     ORDER_WAIT,
     SINGLE,
     SINGLE_PACK_RACK,
+    flag_name,
 )
 
 
@@ -304,10 +305,10 @@ def config_flags(batches: DataFrame, configs: DataFrame) -> DataFrame:
     wide = (
         configs.filter(F.col("name").isin(*CONFIG_KEYS) & (F.col("value") != ""))
         .groupBy("domain_id", "job_config_set_id")
-        .agg(*[F.max(F.when(F.col("name") == key, F.col("value"))).cast(kind).alias(key) for key, kind in CONFIG_KEYS.items()])
+        .agg(*[F.max(F.when(F.col("name") == key, F.col("value"))).cast(kind).alias(flag_name(key)) for key, kind in CONFIG_KEYS.items()])
     )
     joined = batches.join(wide, ["domain_id", "job_config_set_id"], "left")
-    return joined.select("domain_id", F.col("id").alias("batch_id"), *[f"`{key}`" for key in CONFIG_KEYS])
+    return joined.select("domain_id", F.col("id").alias("batch_id"), *[flag_name(key) for key in CONFIG_KEYS])
 
 
 def running_batches(batches: DataFrame, *, job_type: str = "DPS") -> DataFrame:

@@ -12,7 +12,7 @@ from pickflow.schemas import JOB_CANCELLED, KEY
 
 def seconds_between(start: str, end: str) -> Column:
     """Seconds from ``start`` to ``end``, whatever the session time zone."""
-    return F.expr(f"CAST(CAST({end} - {start} AS INTERVAL SECOND) AS DOUBLE)")
+    return F.expr(f"CAST(CAST(CAST({end} - {start} AS INTERVAL SECOND) AS DECIMAL(18, 6)) AS DOUBLE)")
 
 
 def _progress(rows: DataFrame, batches: DataFrame | None) -> DataFrame:

@@ -35,6 +35,13 @@ CONFIG_KEYS = {
     "dps.box.id.unique.scope": "string",
 }
 
+
+
+def flag_name(key: str) -> str:
+    """Column name of a configuration key: without the prefix, separators as underscores."""
+    return key.removeprefix("dps.").replace(".", "_").replace("-", "_")
+
+
 KEY = ["domain_id", "batch_id"]
 
 SCHEMAS = {
