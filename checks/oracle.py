@@ -578,6 +578,18 @@ SELECT o.id, o.domain_id, o.batch_id, coalesce(m.to_equip_cd, o.equip_cd) AS equ
 FROM wh_orders o LEFT JOIN t_moves m ON m.domain_id = o.domain_id AND m.batch_id = o.batch_id AND m.from_cell = o.sub_equip_cd""",
 }
 
+BODIES["stream_confirm_pick"] = f"""
+WITH {CONFIRMED} SELECT id, domain_id, batch_id, picked_qty, applied_qty, status, pick_started_at, pick_ended_at FROM t_confirmed"""
+BODIES["stream_progress"] = """
+SELECT domain_id, batch_id, date_trunc('hour', ts) AS window_start, count(*) AS event_cnt, cast(sum(qty) AS bigint) AS qty FROM wh_pick_events GROUP BY ALL"""
+BODIES["stream_box_arrival"] = BODIES["box_arrivals"]
+BODIES["stream_receive"] = """
+WITH t_new AS (SELECT * FROM wh_wms_if_orders WHERE if_flag = 'N')
+SELECT w.domain_id, concat('RB-', w.wms_batch_no) AS batch_id, w.order_no, w.order_line_no, w.com_cd, w.sku_cd, w.order_qty,
+  CASE WHEN (SELECT count(DISTINCT (x.com_cd, x.sku_cd)) FROM t_new x WHERE x.domain_id = w.domain_id AND x.wms_batch_no = w.wms_batch_no AND x.order_no = w.order_no) = 1 THEN 'OT' ELSE 'MT' END AS order_type,
+  'T' AS status
+FROM t_new w"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_tables(body) for name, body in BODIES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,9 +20,12 @@ from pickflow.operators import instruct as ins
 from pickflow.operators import picking as pk
 from pickflow.operators import progress as pg
 from pickflow.operators import receive as rc
+from pickflow.plans import flows
 from pickflow.schemas import KEY
-from pickflow.sources.sample import sample_tables
+from pickflow.session import use_checkpoint_dir
+from pickflow.sources.sample import sample_streams, sample_tables
 from pickflow.sources.tables import Tables
+from pickflow.streaming import jobs as st
 
 COUNTED = (
     "lines orders received_orders wms_if_orders jobs inputs cells racks stocks sku indicators gateways batches"
@@ -47,15 +51,6 @@ def _waiting_batches(t: Tables) -> DataFrame:
     return t.batches.filter("status = 'WAIT'").select("domain_id", F.col("id").alias("batch_id"))
 
 
-def _mapped(t: Tables) -> DataFrame:
-    return ip.map_boxes(t.jobs, t.inputs, t.arrivals)
-
-
-def _new_inputs(t: Tables) -> DataFrame:
-    mapped = _mapped(t)
-    return ip.create_inputs(ip.new_input_rows(t.jobs, t.cells, mapped), mapped, t.inputs)
-
-
 def _confirmed(t: Tables) -> DataFrame:
     return pk.confirm_pick(t.picking_jobs_at_start, t.pick_events)
 
@@ -127,10 +122,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "inputable_box_by_type": lambda t: ip.inputable_box_by_type(t.orders, t.jobs),
     "next_mapping_order": lambda t: ip.next_mapping_order(t.jobs),
     "next_mapping_single": lambda t: ip.next_mapping_single(t.jobs, t.box_packs),
-    "map_boxes": _mapped,
+    "map_boxes": lambda t: ip.map_boxes(t.jobs, t.inputs, t.arrivals),
     "new_input_rows": lambda t: ip.new_input_rows(t.jobs, t.cells),
-    "create_inputs": _new_inputs,
-    "apply_box_mapping": lambda t: ip.apply_box_mapping(t.jobs, t.cells, _new_inputs(t)).select("id", *KEY, "input_seq", "box_id", "color_cd", "status"),
+    "create_inputs": lambda t: flows.put_boxes_in(t).inputs,
+    "apply_box_mapping": lambda t: flows.put_boxes_in(t).jobs.select("id", *KEY, "input_seq", "box_id", "color_cd", "status"),
     "box_color": lambda t: t.arrivals.select(*KEY, "box_id", box_color("color_cd", "R").alias("color_cd")),
     "box_type_of": lambda t: t.arrivals.select(*KEY, "box_id", box_type_of("box_id").alias("box_type_cd"), box_type_of("box_id", "1,3").alias("box_type_2")),
     "input_seq_list": lambda t: ip.input_seq_list(t.jobs),
@@ -188,8 +183,56 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _finish(query, spark: SparkSession, path: str) -> DataFrame:
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+def stream_confirm_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, events = _run_folder(spark), sample_streams(spark, sf_dir).pick_events
+    updates = st.stream_confirm_pick(events, sample_tables(spark, sf_dir).picking_jobs_at_start)
+    written = _finish(st.write_updates(updates, f"{run}/out", f"{run}/checkpoint"), spark, f"{run}/out")
+    return st.latest_rows(written, [*KEY, "id"])
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, events = _run_folder(spark), sample_streams(spark, sf_dir).pick_events
+    query = st.write_updates(st.stream_progress(events), f"{run}/out", f"{run}/checkpoint")
+    return st.latest_rows(_finish(query, spark, f"{run}/out"), [*KEY, "window_start"])
+
+
+def stream_box_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, streams = _run_folder(spark), sample_streams(spark, sf_dir)
+    place = ["equip_type", "equip_cd", "station_cd"]
+    number, cell = F.substring("order_no", 2, 30), F.substring_index("sub_equip_cd", "-C", -1).cast("int")
+    scans = streams.orders.filter("status <> 'W'").select(
+        *KEY, "equip_type", "equip_cd", F.concat(F.lit("S"), cell % 4).alias("station_cd"), F.concat(F.lit("BX"), number).alias("box_id")
+    )
+    query = st.stream_box_arrival(scans, sample_tables(spark, sf_dir).inputs, f"{run}/out", f"{run}/checkpoint")
+    return _finish(query, spark, f"{run}/out").select(*KEY, *place, "box_id", "id", "order_no", "status", "is_started")
+
+
+def stream_receive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, streams = _run_folder(spark), sample_streams(spark, sf_dir)
+    query = st.stream_receive(streams.wms_if_orders, f"{run}/orders", f"{run}/checkpoint")
+    received = _finish(query, spark, f"{run}/orders")
+    return received.select(*KEY, "order_no", "order_line_no", "com_cd", "sku_cd", "order_qty", "order_type", "status")
+
+
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_confirm_pick": stream_confirm_pick,
+    "stream_progress": stream_progress,
+    "stream_box_arrival": stream_box_arrival,
+    "stream_receive": stream_receive,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(sample_tables(spark, sf_dir))
 
-    return {name: bind(fn) for name, fn in QUERIES.items()}
+    return {**{name: bind(fn) for name, fn in QUERIES.items()}, **STREAMS}

@@ -34,13 +34,17 @@ def same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column | int]) -> DataFrame:
+def running_totals(
+    df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column | int], *, bound: DataFrame | None = None
+) -> DataFrame:
     """Add, per name in ``totals``, the sum over the rows of the group up to and including this one.
 
-    ``order`` must be a total order within a group. A row number is the running total of ``1``.
+    ``order`` must be a total order within a group. A row number is the running total of ``1``. The group sizes are
+    counted on ``bound`` if given: a frame with the same keys and at least as many rows per group that is cheaper
+    to count than ``df``, such as its largest input.
     """
     values = {name: F.lit(v) if isinstance(v, int) else v for name, v in totals.items()}
-    if largest_group(df, keys) <= group_limit(df):
+    if largest_group(df if bound is None else bound, keys) <= group_limit(df):
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(v).over(upto).cast("bigint") for name, v in values.items()})
     return _range_split_totals(df, keys, order, values)
@@ -64,8 +68,11 @@ def _range_split_totals(df: DataFrame, keys: list[str], order: list[Column], val
     )
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
-    return running_totals(df, keys, order, {name: 1})
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", *, bound: DataFrame | None = None
+) -> DataFrame:
+    """Number the rows of every group from 1 in ``order``."""
+    return running_totals(df, keys, order, {name: 1}, bound=bound)
 
 
 def block_totals(df: DataFrame, keys: list[str], position: str, totals: dict[str, Column], *, width: int) -> DataFrame:

@@ -76,7 +76,7 @@ def orders_for_stock(orders: DataFrame, stocks: DataFrame, skip: DataFrame | Non
 def _cell_intervals(stock: DataFrame) -> DataFrame:
     """Stock rows of a (rack, SKU) laid end to end, least loaded first: ``[start, end)``."""
     rows = stock.select(*RACK, *ITEM, "cell_cd", "ind_cd", F.col("id").alias("stock_id"), "load_qty")
-    laid = running_totals(rows, [*RACK, *ITEM], [F.col("load_qty").asc(), F.col("cell_cd").asc(), F.col("stock_id").asc()], {"end": F.col("load_qty")})
+    laid = running_totals(rows, [*RACK, *ITEM], [F.col("load_qty").asc(), F.col("cell_cd").asc(), F.col("stock_id").asc()], {"end": F.col("load_qty")}, bound=stock)
     return laid.withColumn("start", F.col("end") - F.col("load_qty"))
 
 
@@ -233,7 +233,7 @@ def allocate_lines(orders: DataFrame, stocks: DataFrame, cells: DataFrame, *, or
     usable = loaded_stock(stocks, cells)
     caps = usable.groupBy(*item).agg(F.sum("load_qty").alias("cap"))
     order = [F.col(c).asc() for c in ("qty", "class_cd", "batch_id")]
-    laid = running_totals(lines.join(caps, item), item, order, {"end": F.col("qty"), "seq": 1})
+    laid = running_totals(lines.join(caps, item), item, order, {"end": F.col("qty"), "seq": 1}, bound=orders.filter(F.col("status") == ORDER_WAIT))
     accepted = laid.filter("end <= cap").withColumn("start", F.col("end") - F.col("qty"))
     return _allocation(_fill_cells(accepted, usable), F.lit(1).cast("bigint"))
 

@@ -38,10 +38,13 @@ def inputable_box_by_type(orders: DataFrame, jobs: DataFrame, **filters) -> Data
     )
 
 
+def waiting_jobs(jobs: DataFrame) -> DataFrame:
+    return where(jobs, order_type=MULTI, status=JOB_WAIT, input_seq=0)
+
+
 def waiting_orders(jobs: DataFrame) -> DataFrame:
     """Orders that wait for a box, with the two numbers that rank them: SKUs, then pieces."""
-    waiting = where(jobs, order_type=MULTI, status=JOB_WAIT, input_seq=0)
-    per_sku = waiting.groupBy(*KEY, "box_type_cd", "order_no", "class_cd", "sku_cd").agg(F.sum("pick_qty").alias("_pcs"))
+    per_sku = waiting_jobs(jobs).groupBy(*KEY, "box_type_cd", "order_no", "class_cd", "sku_cd").agg(F.sum("pick_qty").alias("_pcs"))
     return per_sku.groupBy(*KEY, "box_type_cd", "order_no", "class_cd").agg(
         F.count("sku_cd").alias("sku_cnt"), F.sum("_pcs").cast("bigint").alias("pick_cnt")
     )
@@ -97,8 +100,10 @@ def map_boxes(jobs: DataFrame, inputs: DataFrame, arrivals: DataFrame, *, defaul
         F.min(F.struct("arrived_at", "batch_id", "box_type_cd", "color_cd")).alias("_a")
     )
     free_boxes = first_scan.join(used, ["domain_id", "box_id"], "left_anti").select("domain_id", "box_id", "_a.*")
-    ranked_orders = row_numbers(free_orders, pair_key, [F.col("sku_cnt").asc(), F.col("pick_cnt").asc(), F.col("order_no").asc()])
-    ranked_boxes = row_numbers(free_boxes, pair_key, [F.col("arrived_at").asc_nulls_last(), F.col("box_id").asc()])
+    by_size = [F.col("sku_cnt").asc(), F.col("pick_cnt").asc(), F.col("order_no").asc()]
+    by_arrival = [F.col("arrived_at").asc_nulls_last(), F.col("box_id").asc()]
+    ranked_orders = row_numbers(free_orders, pair_key, by_size, bound=waiting_jobs(jobs))
+    ranked_boxes = row_numbers(free_boxes, pair_key, by_arrival, bound=arrivals)
     return ranked_boxes.join(ranked_orders, [*pair_key, "rn"]).select(
         *KEY, "box_id", "box_type_cd", "order_no", "class_cd", "arrived_at", box_color("color_cd", default_color).alias("color_cd")
     )

@@ -155,10 +155,10 @@ def confirm_pick(jobs: DataFrame, events: DataFrame) -> DataFrame:
     start, the event that fills the job sets the end and status F. Equal times follow the event id.
     """
     open_jobs = where(jobs, status=JOB_PICKING).filter("picked_qty < pick_qty")
-    taken = open_jobs.select(*KEY, F.col("id").alias("job_id"), "pick_qty", F.col("picked_qty").alias("_had"), "pick_started_at").join(
-        events.filter("qty > 0").select(*KEY, "job_id", "event_id", "ts", "qty"), [*KEY, "job_id"]
-    )
-    cumulated = running_totals(taken, [*KEY, "job_id"], [F.col("ts").asc(), F.col("event_id").asc()], {"_upto": F.col("qty")})
+    job_key = [*KEY, "job_id"]
+    picks = events.filter("qty > 0").select(*job_key, "event_id", "ts", "qty")
+    taken = open_jobs.select(*KEY, F.col("id").alias("job_id"), "pick_qty", F.col("picked_qty").alias("_had"), "pick_started_at").join(picks, job_key)
+    cumulated = running_totals(taken, job_key, [F.col("ts").asc(), F.col("event_id").asc()], {"_upto": F.col("qty")}, bound=picks)
     reached = F.col("_had") + F.col("_upto")
     done = cumulated.groupBy(*KEY, "job_id").agg(
         F.max("pick_qty").alias("pick_qty"),
@@ -197,9 +197,10 @@ def pick_to_orders(orders: DataFrame, picks: DataFrame, *, qty: str = "picked_qt
     """
     group = [*KEY, "order_no", "com_cd", "sku_cd"]
     picked = picks.groupBy(*group).agg(F.sum(qty).cast("bigint").alias("_picked")).filter("_picked > 0")
-    lines = orders.select(*group, "id", "order_qty", "picked_qty").filter("order_qty > picked_qty").join(picked, group)
+    open_lines = orders.select(*group, "id", "order_qty", "picked_qty").filter("order_qty > picked_qty")
+    lines = open_lines.join(picked, group)
     room = F.col("order_qty") - F.col("picked_qty")
-    placed = running_totals(lines, group, [F.col("picked_qty").asc(), F.col("id").asc()], {"_room": room})
+    placed = running_totals(lines, group, [F.col("picked_qty").asc(), F.col("id").asc()], {"_room": room}, bound=open_lines)
     share = F.greatest(F.lit(0), F.least(room, F.col("_picked") - (F.col("_room") - room))).cast("int")
     return (
         placed.withColumn("applied_qty", share)
