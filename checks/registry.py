@@ -194,7 +194,7 @@ def _finish(query, spark: SparkSession, path: str) -> DataFrame:
 
 def stream_confirm_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, events = _run_folder(spark), sample_streams(spark, sf_dir).pick_events
-    updates = st.stream_confirm_pick(events, sample_tables(spark, sf_dir).picking_jobs_at_start)
+    updates = st.stream_confirm_pick(events, sample_tables(spark, sf_dir).picking_jobs_at_start, slots=64)
     written = _finish(st.write_updates(updates, f"{run}/out", f"{run}/checkpoint"), spark, f"{run}/out")
     return st.latest_rows(written, [*KEY, "id"])
 

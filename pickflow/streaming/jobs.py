@@ -27,56 +27,88 @@ CONFIRM_OUTPUT = (
     "domain_id int, batch_id string, id string, picked_qty int, applied_qty int, status string,"
     " pick_started_at timestamp_ntz, pick_ended_at timestamp_ntz"
 )
-# Pieces picked by events so far, and the two times as text (null until known).
-CONFIRM_STATE = "applied bigint, started string, ended string"
+# Per job of a slot: pieces picked so far, first pick and filling pick in microseconds (-1 until full).
+CONFIRM_STATE = "job array<string>, applied array<bigint>, started array<bigint>, ended array<bigint>"
 LATENESS = "30 days"
-
-
-def _confirm_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one job: takes its new events in time order, up to the planned quantity."""
-    applied, started, ended = state.get if state.exists else (0, None, None)
-    plan = had = 0
-    for events in batches:
-        events = events.sort_values(["ts", "event_id"])
-        plan, had = int(events["pick_qty"].iloc[0]), int(events["had"].iloc[0])
-        first = events["ts"].iloc[0].isoformat()
-        started = min(started, first) if started else first
-        reached = events["qty"].cumsum() + applied
-        full = events.loc[reached >= plan - had, "ts"]
-        if ended is None and len(full):
-            ended = full.iloc[0].isoformat()
-        applied = int(min(reached.iloc[-1], plan - had))
-    state.update((applied, started, ended))
-    done = had + applied >= plan
-    yield pd.DataFrame(
-        {
-            "domain_id": [key[0]],
-            "batch_id": [key[1]],
-            "id": [key[2]],
-            "picked_qty": [had + applied],
-            "applied_qty": [applied],
-            "status": [JOB_FINISHED if done else JOB_PICKING],
-            "pick_started_at": [pd.Timestamp(started)],
-            "pick_ended_at": [pd.Timestamp(ended) if ended else pd.NaT],
-        }
-    )
+SLOTS = 1024
+
+
+def _slot_function(finished: str, picking: str) -> Callable[..., Iterator[pd.DataFrame]]:
+    """The state function of a slot. It is a closure, so Spark sends its code to the workers with the query."""
+
+    def confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State of the jobs of one slot: takes their new events, each job up to its planned quantity.
+
+        Works on one Arrow batch of events after the other, so a job with very many events needs no more memory.
+        """
+        old = dict(zip(("applied", "started", "ended"), state.get[1:])) if state.exists else {"applied": [], "started": [], "ended": []}
+        known = pd.DataFrame(old, index=pd.Index(state.get[0] if state.exists else [], dtype=object), dtype="int64")
+        touched = []
+        for events in batches:
+            events = events.sort_values(["us", "event_id"], kind="stable")
+            jobs = events.groupby("job", sort=False)
+            plan = jobs.agg(domain_id=("domain_id", "first"), batch_id=("batch_id", "first"), id=("job_id", "first"), room=("room", "first"), had=("had", "first"), first=("us", "min"))
+            before = known["applied"].reindex(plan.index, fill_value=0)
+            reached = jobs["qty"].cumsum() + events["job"].map(before)
+            filling = events.loc[reached >= events["room"]].groupby("job")["us"].first().reindex(plan.index, fill_value=-1)
+            total = (before + jobs["qty"].sum()).clip(upper=plan["room"])
+            started = known["started"].reindex(plan.index)
+            ended = known["ended"].reindex(plan.index, fill_value=-1)
+            new = pd.DataFrame(
+                {"applied": total, "started": started.fillna(plan["first"]).clip(upper=plan["first"]), "ended": ended.where(ended >= 0, filling)}
+            ).astype("int64")
+            known = pd.concat([known.drop(index=plan.index, errors="ignore"), new])
+            touched.append(plan)
+        state.update(([*known.index], known["applied"].tolist(), known["started"].tolist(), known["ended"].tolist()))
+        plan = pd.concat(touched)
+        plan = plan[~plan.index.duplicated()].join(known)
+        yield pd.DataFrame(
+            {
+                "domain_id": plan["domain_id"],
+                "batch_id": plan["batch_id"],
+                "id": plan["id"],
+                "picked_qty": plan["had"] + plan["applied"],
+                "applied_qty": plan["applied"],
+                "status": [finished if done else picking for done in plan["applied"] >= plan["room"]],
+                "pick_started_at": pd.to_datetime(plan["started"], unit="us"),
+                "pick_ended_at": pd.to_datetime(plan["ended"].where(plan["ended"] >= 0), unit="us"),
+            }
+        )
+
+    return confirm
 
 
 def _timed(events: DataFrame, lateness: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
-def stream_confirm_pick(events: DataFrame, jobs: DataFrame, *, lateness: str = LATENESS) -> DataFrame:
-    """Jobs as pick events come in: one row per job and micro-batch (update mode).
+def stream_confirm_pick(events: DataFrame, jobs: DataFrame, *, lateness: str = LATENESS, slots: int = SLOTS) -> DataFrame:
+    """Jobs as pick events come in: one row per changed job and micro-batch (update mode).
 
     An event that is delivered twice within ``lateness`` counts once. Jobs that are not in picking take no events.
+    Events count in the order they arrive, those of one Arrow batch by time. The state is kept per slot (hash of
+    the job), because a state call per job costs far more than the work in it; choose ``slots`` so that a slot holds
+    some hundreds of jobs.
     """
     open_jobs = where(jobs, status=JOB_PICKING).filter("picked_qty < pick_qty")
-    plan = open_jobs.select(*KEY, F.col("id").alias("job_id"), "pick_qty", F.col("picked_qty").alias("had"))
+    plan = open_jobs.select(
+        *KEY, F.col("id").alias("job_id"), (F.col("pick_qty") - F.col("picked_qty")).cast("bigint").alias("room"), F.col("picked_qty").cast("bigint").alias("had")
+    )
     once = _timed(events.filter("qty > 0"), lateness).dropDuplicatesWithinWatermark(["event_id"])
-    taken = once.join(plan, [*KEY, "job_id"])
-    return taken.groupBy(*KEY, "job_id").applyInPandasWithState(
-        _confirm_job, CONFIRM_OUTPUT, CONFIRM_STATE, "update", GroupStateTimeout.NoTimeout
+    job = F.concat_ws("|", *KEY, "job_id")
+    taken = once.join(plan, [*KEY, "job_id"]).select(
+        F.pmod(F.xxhash64(job), F.lit(slots)).alias("slot"),
+        job.alias("job"),
+        *KEY,
+        "job_id",
+        "event_id",
+        F.unix_micros("ts").alias("us"),
+        F.col("qty").cast("bigint").alias("qty"),
+        "room",
+        "had",
+    )
+    return taken.groupBy("slot").applyInPandasWithState(
+        _slot_function(JOB_FINISHED, JOB_PICKING), CONFIRM_OUTPUT, CONFIRM_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
