@@ -58,7 +58,7 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, sf_d
 def main(sf_dir: str, names: list[str]) -> int:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
