@@ -192,7 +192,8 @@ def allocate(orders: DataFrame, stocks: DataFrame, cells: DataFrame, batches: Da
     a rack come one after the other, newest job date first (``batches``), each with the stock the earlier ones left.
     Runs jobs while it is built: one per round, written to the checkpoint folder.
     """
-    demand = open_demand(orders, skip=skip)
+    # The demand is read several times per wave, so it is written once.
+    demand = cut_lineage(open_demand(orders, skip=skip))
     if wave == "equip":
         return _allocation(_fill_cells(_greedy(demand, stocks, cells), loaded_stock(stocks, cells)), F.lit(1).cast("bigint"))
     if wave != "batch":
