@@ -1,6 +1,6 @@
-"""Headline queries: one warm-up and three timed runs each into the noop sink; prints one JSON line.
+"""Headline queries: one warm-up and BENCH_RUNS timed runs each into the noop sink; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3), BENCH_ONLY (names by comma).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1), BENCH_ONLY (names by comma).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n] or HEADLINE
     spark = build_session(
         "bench",

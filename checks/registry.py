@@ -22,7 +22,7 @@ from pickflow.operators import progress as pg
 from pickflow.operators import receive as rc
 from pickflow.plans import flows
 from pickflow.schemas import KEY
-from pickflow.session import use_checkpoint_dir
+from pickflow.session import cut_lineage, use_checkpoint_dir
 from pickflow.sources.sample import sample_streams, sample_tables
 from pickflow.sources.tables import Tables
 from pickflow.streaming import jobs as st
@@ -43,8 +43,8 @@ def _receipt(t: Tables) -> DataFrame:
 
 
 def _typed(t: Tables) -> DataFrame:
-    """Received orders with rack and order type, ready to be instructed."""
-    return cl.classify_orders(cl.assign_single_rack(t.received_orders, t.racks))
+    """Received orders with rack and order type, ready to be instructed; a table of its own, as in the flow."""
+    return cut_lineage(cl.classify_orders(cl.assign_single_rack(t.received_orders, t.racks)))
 
 
 def _waiting_batches(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pickflow.functions.columns import box_color, flag, long_sum, ratio, where
 from pickflow.functions.running import row_numbers, same_keys
 from pickflow.schemas import INPUT_WAIT, JOB_BOX_WAIT, JOB_INPUT, JOB_PICKING, JOB_WAIT, KEY, MULTI, SINGLE
+from pickflow.session import cut_lineage
 
 NOT_STARTED = (JOB_BOX_WAIT, JOB_WAIT)
 
@@ -268,9 +269,12 @@ def box_input_tab(inputs: DataFrame, jobs: DataFrame, cells: DataFrame, *, selec
 
     ``selected`` holds inputs (domain_id, id) chosen by hand. ``only_my_jobs`` keeps boxes that have an input
     at the station itself. The progress is picked over planned pieces of the order at the station, in percent.
+
+    The boxes to show, at most four per station, are written first: inputs and jobs then meet a table whose size
+    Spark knows, and need no shuffle as long as it is small enough to broadcast.
     """
     station = [*KEY, "equip_type", "equip_cd", "station_cd"]
-    shown = _neighbours(inputs, _base_inputs(inputs, selected))
+    shown = cut_lineage(_neighbours(inputs, _base_inputs(inputs, selected)))
     rows = inputs.select(
         *KEY, "equip_type", "order_no", "box_id", "color_cd", "id", "input_seq", "status", F.col("station_cd").alias("_at")
     )
@@ -294,8 +298,10 @@ def box_input_tab(inputs: DataFrame, jobs: DataFrame, cells: DataFrame, *, selec
     if only_my_jobs:
         boxes = boxes.filter("has_my_jobs > 0")
     places = cells.select("domain_id", "equip_type", "equip_cd", F.col("cell_cd").alias("sub_equip_cd"), F.col("station_cd").alias("_station"))
+    on_screen = shown.select(*KEY, "order_no").distinct()
     zone = (
-        jobs.join(places, ["domain_id", "equip_type", "equip_cd", "sub_equip_cd"])
+        jobs.join(on_screen, [*KEY, "order_no"], "left_semi")
+        .join(places, ["domain_id", "equip_type", "equip_cd", "sub_equip_cd"])
         .groupBy(*KEY, "equip_type", "equip_cd", F.col("_station").alias("station_cd"), "order_no")
         .agg(F.sum("pick_qty").alias("_plan"), F.sum("picked_qty").alias("_picked"))
     )
