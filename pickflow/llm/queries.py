@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import fingerprints, mixing, token_files, url_rules
+from pickflow.llm import decontaminate, fingerprints, mixing, quality, token_files, url_rules
 from pickflow.llm.common import table
 
 
@@ -28,12 +28,21 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op9_url_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op8_decontamination, op9_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
