@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import decontaminate, fingerprints, mixing, quality, token_files, url_rules
+from pickflow.llm import decontaminate, fingerprints, mixing, parity_join, quality, token_files, url_rules
 from pickflow.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op8_decontamination, op9_url_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op7_parity_join, op8_decontamination, op9_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
