@@ -59,7 +59,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     literal = lambda i: F.size(F.filter(F.slice(F.col("_t"), i + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT))) >= LITERAL
     return (
         windows(coded, F.col("_t"), ["item_id", "_t"])
-        .select("item_id", F.posexplode(F.transform("_windows", lambda w, i: F.when(literal(i), w))).alias("_at", "_window"))
+        .select("item_id", F.posexplode_outer(F.transform("_windows", lambda w, i: F.when(literal(i), w))).alias("_at", "_window"))
         .where("_window is not null")
         .selectExpr("item_id", "_at", "_window", "count(*) over (partition by item_id) as _of")
     )
@@ -75,7 +75,8 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> Dat
     index = stored(item_windows(items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))), "items")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     own = windows(rows.select("doc_id", all_words(template(F.col("text"))).alias("_t")), F.col("_t"), ["doc_id"])
-    hits = own.select("doc_id", F.posexplode("_windows").alias("_pos", "_window")).join(small_side(index), "_window")
+    # an inner explode would get a filter on its size, pushed below the doublings and so evaluated many times over
+    hits = own.select("doc_id", F.posexplode_outer("_windows").alias("_pos", "_window")).join(small_side(index), "_window")
     # windows of one item at one place of one document; a shift by a word more or less opens another place
     places = hits.groupBy("doc_id", "item_id", "_of", (F.col("_pos") - F.col("_at")).alias("_shift")).agg(F.collect_set("_at").alias("_ats"))
     found = stored(
