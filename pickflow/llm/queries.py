@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import decontaminate, fingerprints, mixing, parity_join, quality, token_files, url_rules
+from pickflow.llm import decontaminate, fingerprints, mixing, parity_join, quality, repeats, token_files, url_rules
 from pickflow.llm.common import table
 
 
@@ -45,8 +45,12 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op7_parity_join, op8_decontamination, op9_url_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op7_parity_join, op8_decontamination, op9_url_rules, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
