@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import decontaminate, fingerprints, mixing, parity_join, quality, repeats, token_files, url_rules
+from pickflow.llm import decontaminate, fingerprints, license_scan, mixing, parity_join, quality, repeats, token_files, url_rules, warc_audit
 from pickflow.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.audit_of_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -50,8 +58,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_mixing, op4_fingerprints, op5_quality, op7_parity_join, op8_decontamination, op9_url_rules, op10_repeats)}
+    each = (
+        op1_token_files, op2_mixing, op3_license_scan, op4_fingerprints, op5_quality, op6_warc_audit, op7_parity_join, op8_decontamination, op9_url_rules, op10_repeats,
+    )
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op2_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_warc_audit": warc_audit.AUDIT_SQL}
