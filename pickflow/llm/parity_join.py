@@ -6,8 +6,8 @@ symmetric difference is D differ in at most D parts, so with more than D parts i
 is the same for all sets, as the largest D of its size needs; pairs that meet are verified. A shorter sketch, one bit per
 token flipped, bounds D from below and drops pairs before the exact comparison.
 
-Equal sets are joined once. A key that many sets share is reduced to its smallest id before the shuffle; pairs with that id
-are verified first. Only where a key still spans several components are its other pairs looked at, in blocks.
+Equal sets are joined once. Parts that many sets share, as common passages do, come last in the order. A key that still
+has many sets is reduced to its smallest id before the shuffle; pairs with that id are verified first. Only where a key still spans several components are its other pairs looked at, in blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ from pickflow.llm.wordhash import in_pieces, mixed, shingle_sets
 #: Largest set of the first band, its parts (as a power of two); each band has four times both.
 FIRST, PARTS = 1536, 10
 #: Bits of the sketch that bounds the difference.
-BITS = 1024
+BITS = 2048
+#: Most keys that are known to be shared by many sets, and how often a key is seen in one piece of input to be counted as such.
+HOT_KEYS, HOT_SEEN = 100_000, 4
 #: Sets of a key that are compared in one block with those of another, and keys in a bucket.
 BLOCK, BUCKET_KEYS = 1000, 1_500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -42,16 +45,14 @@ def largest_difference(n: int, m: int) -> int:
     return (n + m) // 7
 
 
-def part_keys(tokens: np.ndarray) -> np.ndarray:
-    """The keys under which a set looks for similar ones: for its band, and for the next one if a similar set may be there.
+def dealings(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each dealing that a set offers parts of: digests of its parts in use, 56 bits, and the tokens in each.
 
-    Keys are ordered by the tokens in the part, most first, then by hash; a set offers the first D + 1. If no more than D
-    parts are in use, which random hashes make rare, the set also offers those of another dealing, until one has more:
-    a pair is found wherever one of the two has more than D, and two that have not both go on to the next dealing.
+    One dealing for the band of the set, and one for the next if a similar set may be there. If no more parts are in use
+    than the largest difference, which random hashes make rare, another dealing follows, until more are: a pair is found
+    wherever one of the two has more, and two that have not both go on to the next dealing.
     """
-    n, out = len(tokens), []
-    most = largest_difference(n, 4 * n // 3)
-    band = 0
+    n, band = len(tokens), 0
     while n > FIRST << 2 * band:
         band += 1
     for b in (band, band + 1) if 4 * n // 3 > FIRST << 2 * band else (band,):
@@ -60,26 +61,58 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
             t = tokens if not seed else np.sort(mixed(tokens ^ (_SEED * np.uint64(seed))))
             part = t >> np.uint64(64 - PARTS - 2 * b)
             begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            count = np.diff(np.append(begin, n))
             digest = mixed(np.bitwise_xor.reduceat(mixed(t + _SEED), begin) + part[begin] + np.uint64((b << 8) + seed << 40))
-            key = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64) << np.uint64(56)) | (digest >> np.uint64(8))
-            out.append(np.partition(key, most)[: most + 1] if len(key) > most + 1 else key)
-            if len(begin) > most:
+            yield digest >> np.uint64(8), np.diff(np.append(begin, n))
+            if len(begin) > largest_difference(n, 4 * n // 3):
                 break
             seed += 1
+
+
+def part_keys(tokens: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+    """The keys under which a set looks for similar ones: the first D + 1 of each dealing, D being its largest difference.
+
+    Which come first is the same for all sets: those not in ``hot`` (sorted digests), then those of more tokens, then by
+    digest. Any such order finds all pairs; this one keeps passages that many texts share out of the keys.
+    """
+    most, out = largest_difference(len(tokens), 4 * len(tokens) // 3), []
+    for digest, count in dealings(tokens):
+        late = np.uint64(127) - np.minimum(count, 127).astype(np.uint64)
+        if hot is not None and len(hot):
+            late |= (hot[np.minimum(np.searchsorted(hot, digest), len(hot) - 1)] == digest).astype(np.uint64) << np.uint64(7)
+        key = late << np.uint64(56) | digest
+        out.append(np.partition(key, most)[: most + 1] if len(key) > most + 1 else key)
     return np.concatenate(out)
 
 
+PROFILE = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary, keys array<bigint>, seen array<bigint>"
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; and for each piece of input a row of size -1 with the keys seen often in it."""
+    lists = pa.list_(pa.int64())
     for batch in batches:
         for piece in in_pieces(batch, 1):
-            n, hi, lo, sk = [], [], [], []
+            n, hi, lo, sk, parts = [], [], [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets(piece.column(1)):
                 n.append(len(s))
                 hi.append(np.bitwise_xor.reduce(s).astype(np.int64) if len(s) else 0)
                 lo.append(mixed(s + _SEED).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                 sk.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch"])
+                if len(s):
+                    parts += [digest for digest, _ in dealings(s)]
+            keys, seen = np.unique(np.concatenate(parts), return_counts=True)
+            often = seen >= HOT_SEEN
+            none = [None] * len(n)
+            columns = (
+                pa.concat_arrays([piece.column(0), pa.array([None], piece.column(0).type)]),
+                pa.array([*n, -1], pa.int64()),
+                pa.array([*hi, None], pa.int64()),
+                pa.array([*lo, None], pa.int64()),
+                pa.array([*sk, None], pa.binary()),
+                pa.array([*none, keys[often].astype(np.int64)], lists),
+                pa.array([*none, seen[often]], lists),
+            )
+            yield pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in PROFILE.split(", ")])
 
 
 def _groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,13 +123,13 @@ def _groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, ids, np.flatnonzero(new)[np.cumsum(new) - 1] if len(keys) else np.zeros(0, np.int64)
 
 
-def _offer(buckets: int):
+def _offer(buckets: int, hot: Broadcast):
     """Rows of a bucket: keys and the smallest id of each in this piece; and, spread evenly, the pairs (key, smallest id, other id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, 1):
-                keys = [part_keys(s) if len(s) else np.zeros(0, np.uint64) for s in shingle_sets(piece.column(1))]
+                keys = [part_keys(s, hot.value) if len(s) else np.zeros(0, np.uint64) for s in shingle_sets(piece.column(1))]
                 ids = np.repeat(piece.column(0).to_numpy(), [len(k) for k in keys])
                 keys, ids, first = _groups(np.concatenate(keys), ids)
                 lead = first == np.arange(len(keys))
@@ -202,7 +235,11 @@ class ParityJoin:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.rows = docs.select("doc_id", "text")
-        self.profiles = stored(self.rows.mapInArrow(_profile, "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary"), "sets")
+        made = stored(self.rows.mapInArrow(_profile, PROFILE), "sets")
+        self.profiles = made.where("n >= 0").drop("keys", "seen")
+        often = made.where("n < 0").select(F.explode(F.arrays_zip("keys", "seen")).alias("k")).groupBy("k.keys").agg(F.sum("k.seen").alias("seen"))
+        hot = [r["keys"] for r in often.orderBy(F.desc("seen"), "keys").limit(HOT_KEYS).collect()]
+        self.hot = self.spark.sparkContext.broadcast(np.sort(np.array(hot, np.uint64)))
         some = self.profiles.where("n > 0 and doc_id is not null")
         self.classes = stored(some.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
         copies = some.select("doc_id", "n", "hi", "lo").join(self.classes.where("copies > 1"), ["n", "hi", "lo"]).where("doc_id <> rep").select("doc_id", "rep")
@@ -218,7 +255,7 @@ class ParityJoin:
         total = self.classes.agg(F.sum("n")).first()[0] or 0
         shuffles = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(4 * shuffles, total // BUCKET_KEYS)
-        offered = self.distinct.mapInArrow(_offer(buckets), "bucket bigint, keys binary, ids binary, leads binary")
+        offered = self.distinct.mapInArrow(_offer(buckets, self.hot), "bucket bigint, keys binary, ids binary, leads binary")
         # pairs found before the shuffle need no meeting: they are dealt by size, not by key
         dealt = offered.select(F.when(F.col("leads").isNull(), F.col("bucket")).otherwise(buckets + F.pmod(F.xxhash64("keys"), F.lit(buckets))).alias("bucket"), "keys", "ids", "leads")
         return stored(dealt.groupBy("bucket").applyInArrow(_meet, "key bigint, u bigint, v bigint"), "met")
@@ -260,13 +297,9 @@ class ParityJoin:
         met = self.met()
         repeated = self.profiles.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
         links = self.copies.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-        links = stored(links.unionAll(self.linked(met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")), "links")
-        parts = components(links)
-        a, b = (parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("u", "v"))
-        rest = met.select("u", "v").distinct().join(a, "u", "left").join(b, "v", "left").where("coalesce(u_c, u) <> coalesce(v_c, v)").select("u", "v")
-        links = stored(links.unionAll(self.linked(self.near(rest), "second")), "links")
+        links = stored(links.unionAll(self.linked(self.near(met.select("u", "v").distinct()), "pairs")), "links")
         parts = stored(components(links), "parts")
-        last = self.linked(self.across(met, parts), "third")
+        last = self.linked(self.across(met, parts), "across")
         return components(links.unionAll(last)) if last.limit(1).count() else parts
 
 
