@@ -9,7 +9,7 @@ import re
 
 VIEWS = {
     "wh_lines": """
-SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS id,
+SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string), '-', cast(cast(l_quantity AS int) AS string)) AS id,
   cast(1 + l_orderkey % 2 AS int) AS domain_id,
   concat('B', cast(1 + l_orderkey % 2 AS string), '-', cast(year(o_orderdate) * 100 + month(o_orderdate) AS string)) AS batch_id,
   cast(year(o_orderdate) * 100 + month(o_orderdate) AS string) AS job_date,
@@ -189,6 +189,7 @@ def with_tables(body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head) :].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -31,6 +31,12 @@ TYPED = CLASSIFIED + """,
 t_single AS (SELECT domain_id, batch_id, max(equip_cd) AS the_rack FROM wh_received_orders GROUP BY ALL HAVING count(DISTINCT equip_cd) = 1),
 t_typed AS (SELECT c.* REPLACE (coalesce(c.equip_cd, s.the_rack) AS equip_cd) FROM t_classified c LEFT JOIN t_single s USING (domain_id, batch_id))"""
 
+MOVED = TYPED + """,
+t_moved AS (SELECT o.* REPLACE (CASE WHEN p.batch_id IS NOT NULL THEN coalesce(r.batch_id, o.batch_id) ELSE o.batch_id END AS batch_id,
+    CASE WHEN p.batch_id IS NULL THEN o.status WHEN o.order_type = 'MT' THEN 'I' WHEN o.order_type = 'OT' THEN 'A' ELSE o.status END AS status,
+    CASE WHEN p.batch_id IS NOT NULL AND o.order_type = 'OT' THEN 'R4' ELSE o.equip_cd END AS equip_cd)
+  FROM t_typed o LEFT JOIN wh_merge_plan p USING (domain_id, batch_id) LEFT JOIN wh_racks r ON r.domain_id = o.domain_id AND r.rack_cd = o.equip_cd)"""
+
 SCOPE = """
 t_scope AS (SELECT * FROM wh_batches b WHERE EXISTS (SELECT 1 FROM wh_batches w
   WHERE w.domain_id = b.domain_id AND w.batch_group_id = b.batch_group_id AND w.status = 'WAIT'))"""
@@ -75,6 +81,38 @@ t_allocated AS (
   FROM t_laid l JOIN t_cap k USING (domain_id, equip_type, equip_cd, com_cd, sku_cd) JOIN t_usable u USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)
   WHERE l_end <= cap AND least(l_end, c_end) > greatest(l_end - order_qty, c_end - load_qty))"""
 
+# The greedy, one order of every rack after the other: what is left of each SKU, and whether the order at hand is taken.
+GREEDY = """
+t_wanted AS (SELECT domain_id, equip_type, equip_cd, com_cd, sku_cd, sum(order_qty) AS pcs, sum(line_cnt) AS lines FROM t_demand GROUP BY ALL),
+t_class AS (SELECT domain_id, equip_type, equip_cd, com_cd, sku_cd, stock_qty, CASE WHEN pcs <= stock_qty THEN 1 WHEN lines >= stock_qty THEN 2 ELSE 3 END AS cls
+  FROM t_wanted JOIN t_total USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)),
+t_turn AS (SELECT d.*, c.cls, c.stock_qty FROM t_demand d JOIN t_class c USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)
+  QUALIFY row_number() OVER (PARTITION BY domain_id, equip_type, equip_cd, batch_id, class_cd ORDER BY cls, stock_qty DESC, sku_cd, com_cd, order_qty) = 1),
+t_place AS (SELECT domain_id, equip_type, equip_cd, batch_id, class_cd,
+    row_number() OVER (PARTITION BY domain_id, equip_type, equip_cd ORDER BY cls, stock_qty DESC, sku_cd, com_cd, order_qty, class_cd, batch_id) AS seq FROM t_turn),
+t_cap AS (SELECT domain_id, equip_type, equip_cd, com_cd, sku_cd, sum(load_qty) AS cap FROM t_usable GROUP BY ALL),
+t_item AS (SELECT w.domain_id, w.equip_type, w.equip_cd, w.com_cd, w.sku_cd, cast(coalesce(cap, 0) AS bigint) AS cap,
+    row_number() OVER (PARTITION BY w.domain_id, w.equip_type, w.equip_cd ORDER BY w.com_cd, w.sku_cd) AS i
+  FROM t_wanted w LEFT JOIN t_cap USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)),
+t_need AS (SELECT domain_id, equip_type, equip_cd, seq, map(list(i), list(order_qty)) AS need
+  FROM t_demand JOIN t_place USING (domain_id, equip_type, equip_cd, batch_id, class_cd) JOIN t_item USING (domain_id, equip_type, equip_cd, com_cd, sku_cd) GROUP BY ALL),
+t_run AS (
+  SELECT domain_id, equip_type, equip_cd, cast(0 AS bigint) AS seq, list(cap ORDER BY i) AS rest, false AS taken FROM t_item GROUP BY ALL
+  UNION ALL
+  SELECT r.domain_id, r.equip_type, r.equip_cd, n.seq,
+    CASE WHEN list_min([rest[k] - need[k] for k in map_keys(need)]) >= 0 THEN [v - coalesce(need[k], 0) for v, k in rest] ELSE rest END,
+    list_min([rest[k] - need[k] for k in map_keys(need)]) >= 0
+  FROM t_run r JOIN t_need n ON n.domain_id = r.domain_id AND n.equip_type = r.equip_type AND n.equip_cd = r.equip_cd AND n.seq = r.seq + 1),
+t_taken AS (SELECT d.*, seq, cast(sum(order_qty) OVER (PARTITION BY domain_id, equip_type, equip_cd, com_cd, sku_cd ORDER BY seq) AS bigint) AS l_end
+  FROM t_demand d JOIN t_place USING (domain_id, equip_type, equip_cd, batch_id, class_cd) SEMI JOIN (SELECT * FROM t_run WHERE taken) r USING (domain_id, equip_type, equip_cd, seq)),
+t_allocated AS (
+  SELECT l.domain_id, l.batch_id, l.equip_type, l.equip_cd, l.class_cd AS order_no, l.com_cd, l.sku_cd, u.cell_cd, u.ind_cd, u.id AS stock_id,
+    cast(least(l_end, c_end) - greatest(l_end - order_qty, c_end - load_qty) AS bigint) AS assign_qty, cast(seq AS bigint) AS seq, cast(1 AS bigint) AS wave
+  FROM t_taken l JOIN t_usable u USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)
+  WHERE least(l_end, c_end) > greatest(l_end - order_qty, c_end - load_qty))"""
+
+GREEDY_WAITING = DEMAND.format(kind="AND order_type = 'MT'") + "," + TOTAL + "," + USABLE + "," + GREEDY
+
 WAITING = """
 t_waiting AS (SELECT domain_id, batch_id, box_type_cd, order_no, class_cd, count(DISTINCT sku_cd) AS sku_cnt, cast(sum(pick_qty) AS bigint) AS pick_cnt
   FROM wh_jobs WHERE order_type = 'MT' AND status = 'W' AND input_seq = 0 GROUP BY ALL)"""
@@ -226,7 +264,7 @@ t_boxes AS (
     max(CASE WHEN i.station_cd = n.station_cd THEN i.id END) AS my_id, min(i.id) AS any_id,
     cast(sum(CASE WHEN i.station_cd = n.station_cd THEN 1 ELSE 0 END) AS bigint) AS has_my_jobs,
     max(CASE WHEN i.station_cd = n.station_cd THEN i.input_seq ELSE 0 END) AS my_seq, max(i.input_seq) AS last_seq,
-    CASE WHEN sum(CASE WHEN i.station_cd = n.station_cd AND i.status IN ('W', 'R') THEN 10 WHEN i.status IN ('F', 'U', 'E') THEN 0 ELSE 100 END) = 10 THEN 1 ELSE 0 END AS is_last,
+    CASE WHEN list_sort(list(i.station_cd = n.station_cd AND i.status IN ('W', 'R')) FILTER (i.status NOT IN ('F', 'U', 'E'))) = [true] THEN 1 ELSE 0 END AS is_last,
     max(CASE WHEN i.station_cd = n.station_cd THEN i.status END) AS my_status
   FROM t_near n JOIN wh_inputs i ON i.domain_id = n.domain_id AND i.batch_id = n.batch_id AND i.equip_type = n.equip_type AND i.order_no = n.order_no AND i.box_id = n.box_id
   GROUP BY ALL),
@@ -249,6 +287,18 @@ SELECT w.domain_id, concat('RB-', w.wms_batch_no) AS batch_id, '1' AS job_seq, w
 FROM wh_wms_if_orders w
 WHERE w.if_flag = 'N' AND w.com_cd <> 'COM3' AND NOT EXISTS (SELECT 1 FROM wh_orders o WHERE o.status = 'F' AND o.domain_id = w.domain_id
   AND o.order_no = w.order_no AND o.order_line_no = w.order_line_no AND o.com_cd = w.com_cd AND o.sku_cd = w.sku_cd)""",
+    "receive_batch_orders": """
+SELECT sha256(concat_ws('|', w.domain_id, concat('RB-', w.wms_batch_no), w.order_no, w.order_line_no, w.com_cd, w.sku_cd)) AS id, w.domain_id, concat('RB-', w.wms_batch_no) AS batch_id,
+  w.order_no, w.order_line_no, w.com_cd, w.sku_cd, w.order_qty, w.order_no AS class_cd, 'W' AS status
+FROM wh_wms_if_orders w
+WHERE w.if_flag = 'N' AND w.com_cd <> 'COM3' AND w.wms_batch_no <> 'WB1-199601' AND NOT EXISTS (SELECT 1 FROM wh_orders o WHERE o.status = 'F' AND o.domain_id = w.domain_id
+  AND o.order_no = w.order_no AND o.order_line_no = w.order_line_no AND o.com_cd = w.com_cd AND o.sku_cd = w.sku_cd)""",
+    "receive_batch_batches": f"""
+SELECT domain_id, concat('RB-', wms_batch_no) AS id, concat('RB-', wms_batch_no) AS batch_group_id, min(com_cd) AS com_cd, 'DPS' AS job_type, 'READY' AS status
+FROM ({SUMMARY}) WHERE com_cd <> 'COM3' AND wms_batch_no <> 'WB1-199601' GROUP BY ALL""",
+    "receive_batch_items": f"""
+SELECT domain_id, concat('RB-', wms_batch_no) AS batch_id, com_cd, equip_cd, total_records,
+  CASE WHEN com_cd = 'COM3' THEN 'S' WHEN wms_batch_no = 'WB1-199601' THEN 'E' ELSE 'F' END AS status FROM ({SUMMARY})""",
     "receipt_items": f"""
 SELECT domain_id, concat('RB-', wms_batch_no) AS batch_id, com_cd, equip_cd, total_records, CASE WHEN com_cd = 'COM3' THEN 'S' ELSE 'F' END AS status,
   CASE WHEN com_cd = 'COM3' THEN 1 ELSE 0 END AS skip_flag FROM ({SUMMARY})""",
@@ -264,6 +314,9 @@ WHERE (domain_id, batch_id) NOT IN (SELECT (domain_id, id) FROM wh_batches WHERE
     "rowset_page": f"""
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, batch_id ORDER BY input_seq DESC, order_no, box_id) AS rn
   FROM ({_input_list("status NOT IN ('BW', 'W') AND input_seq >= 1")})) WHERE rn BETWEEN 21 AND 40""",
+    "batch_summary_inputs": f"""
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, batch_id ORDER BY input_seq DESC, order_no, box_id) AS rn
+  FROM ({_input_list("status NOT IN ('BW', 'W') AND input_seq >= 1")})) WHERE rn <= 10""",
     "apply_class_codes": "SELECT id, domain_id, batch_id, order_no AS class_cd, shop_cd AS box_class_cd FROM wh_received_orders",
     "apply_class_codes_configured": """
 SELECT id, domain_id, batch_id, CASE WHEN domain_id = 1 THEN order_no ELSE cust_order_no END AS class_cd,
@@ -343,6 +396,13 @@ WITH {TYPED} SELECT * FROM wh_merge_plan p WHERE (SELECT count(DISTINCT equip_cd
 WITH {TYPED} SELECT o.id, o.domain_id, o.batch_id, CASE WHEN p.batch_id IS NOT NULL THEN coalesce(r.batch_id, o.batch_id) ELSE o.batch_id END AS new_batch_id,
   CASE WHEN p.batch_id IS NOT NULL AND o.order_type = 'MT' THEN 'I' ELSE o.status END AS status
 FROM t_typed o LEFT JOIN wh_merge_plan p USING (domain_id, batch_id) LEFT JOIN wh_racks r ON r.domain_id = o.domain_id AND r.rack_cd = o.equip_cd""",
+    "merge_with_jobs_orders": f"WITH {MOVED} SELECT id, domain_id, batch_id, status, equip_cd FROM t_moved",
+    "merge_with_jobs_jobs": f"""
+WITH {MOVED} SELECT domain_id, batch_id, class_cd, com_cd, sku_cd, box_type_cd, 'R4' AS equip_cd, cast(sum(order_qty) AS int) AS pick_qty, 'W' AS status
+FROM t_moved WHERE status = 'A' GROUP BY ALL""",
+    "merge_with_jobs_counts": f"""
+WITH {MOVED} SELECT b.domain_id, b.id AS batch_id, count(DISTINCT o.class_cd) AS batch_order_qty, count(DISTINCT o.sku_cd) AS batch_sku_qty, cast(sum(o.order_qty) AS bigint) AS batch_pcs
+FROM wh_batches b LEFT JOIN t_moved o ON o.domain_id = b.domain_id AND o.batch_id = b.id GROUP BY b.domain_id, b.id""",
     "cancel_instruction": f"""
 WITH {CANCELLED} SELECT o.id, o.domain_id, o.batch_id, CASE WHEN c.allowed AND o.status = 'W' THEN 'T' ELSE o.status END AS status,
   CASE WHEN c.allowed AND c.peers <= 1 THEN NULL ELSE o.equip_cd END AS equip_cd
@@ -358,32 +418,24 @@ WITH {CANCELLED} SELECT domain_id, id, allowed, CASE WHEN allowed THEN 'READY' E
     + " FROM wh_batches b",
     "running_batches": "SELECT domain_id, id, job_date, equip_cd, status FROM wh_batches WHERE status = 'RUN' AND job_type = 'DPS'",
     "stock_priority": f"""
-WITH {DEMAND.format(kind="AND order_type = 'MT'")},{TOTAL},
-t_stocked AS (SELECT d.domain_id, d.batch_id, d.equip_type, d.equip_cd, d.com_cd, d.sku_cd, t.stock_qty AS load_qty, cast(sum(line_cnt) AS bigint) AS order_sku_cnt,
-    cast(sum(d.order_qty) AS bigint) AS order_qty
-  FROM t_demand d JOIN t_total t USING (domain_id, equip_type, equip_cd, com_cd, sku_cd) GROUP BY ALL)
-SELECT domain_id, batch_id, equip_type, equip_cd, com_cd, sku_cd, load_qty, order_sku_cnt, order_qty, min(p) AS assign_priority FROM (
-  SELECT *, 1 AS p FROM t_stocked WHERE order_qty <= load_qty UNION ALL SELECT *, 2 FROM t_stocked WHERE order_sku_cnt >= load_qty UNION ALL SELECT *, 3 FROM t_stocked)
-GROUP BY ALL""",
+WITH {DEMAND.format(kind="AND order_type = 'MT'")},{TOTAL}
+SELECT *, CASE WHEN order_qty <= load_qty THEN 1 WHEN order_sku_cnt >= load_qty THEN 2 ELSE 3 END AS assign_priority
+FROM (SELECT domain_id, batch_id, equip_type, equip_cd, com_cd, sku_cd, cast(sum(line_cnt) AS bigint) AS order_sku_cnt, cast(sum(order_qty) AS bigint) AS order_qty FROM t_demand GROUP BY ALL)
+JOIN (SELECT * RENAME (stock_qty AS load_qty) FROM t_total) USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)""",
     "stock_total": f"WITH {TOTAL} SELECT * FROM t_total",
     "orders_for_stock": f"""
 WITH {DEMAND.format(kind="AND order_type = 'MT'")},{TOTAL} SELECT domain_id, batch_id, equip_type, equip_cd, class_cd AS order_no, com_cd, sku_cd, order_qty, stock_qty
 FROM t_demand JOIN t_total USING (domain_id, equip_type, equip_cd, com_cd, sku_cd) WHERE order_qty <= stock_qty""",
     "assign_candidates": f"""
-WITH {DEMAND.format(kind="")},
-t_cells AS (SELECT s.*, c.ind_cd FROM wh_stocks s JOIN wh_cells c USING (domain_id, equip_type, equip_cd, cell_cd) WHERE s.active_flag AND c.active_flag AND s.load_qty > 0),
-t_rows AS (SELECT d.*, c.cell_cd, c.ind_cd, c.id AS stock_id, coalesce(c.load_qty, 0) AS load_qty,
-    cast(sum(coalesce(c.load_qty, 0)) OVER (PARTITION BY d.domain_id, d.batch_id, d.equip_cd, d.class_cd, d.com_cd, d.sku_cd ORDER BY c.load_qty, c.cell_cd, c.id ROWS UNBOUNDED PRECEDING) AS bigint) AS upto
-  FROM t_demand d LEFT JOIN t_cells c USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)),
-t_points AS (SELECT *, row_number() OVER w AS check_row, sum(CASE WHEN upto < order_qty THEN 0 ELSE 1 END) OVER w AS row_point FROM t_rows
-  WINDOW w AS (PARTITION BY domain_id, batch_id, equip_cd, class_cd, com_cd, sku_cd ORDER BY upto, cell_cd, stock_id ROWS UNBOUNDED PRECEDING)),
-t_short AS (SELECT domain_id, batch_id, equip_cd, class_cd, cast(sum(short) AS bigint) AS check_assignable FROM (
-  SELECT domain_id, batch_id, equip_cd, class_cd, com_cd, sku_cd, CASE WHEN sum(load_qty) < max(order_qty) THEN 1 ELSE 0 END AS short FROM t_rows GROUP BY ALL) GROUP BY ALL)
-SELECT x.domain_id, x.batch_id, x.equip_type, x.equip_cd, x.class_cd AS order_no, x.com_cd, x.sku_cd, x.order_qty, x.cell_cd, x.ind_cd, x.stock_id, x.load_qty,
-  x.upto AS load_sum_by_cell, s.check_assignable, cast(x.check_row AS int) AS ranking
-FROM t_points x JOIN t_short s USING (domain_id, batch_id, equip_cd, class_cd)
-WHERE EXISTS (SELECT 1 FROM t_points y WHERE y.row_point = 1 AND y.domain_id = x.domain_id AND y.batch_id = x.batch_id AND y.equip_cd = x.equip_cd AND y.class_cd = x.class_cd
-  AND y.com_cd = x.com_cd AND y.sku_cd = x.sku_cd AND y.check_row >= x.check_row)""",
+WITH {DEMAND.format(kind="")},{USABLE},
+t_sum AS (SELECT domain_id, equip_type, equip_cd, com_cd, sku_cd, max(c_end) AS loaded FROM t_usable GROUP BY ALL),
+t_judged AS (SELECT d.*, coalesce(s.loaded, 0) < d.order_qty AS is_short FROM t_demand d LEFT JOIN t_sum s USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)),
+t_shorts AS (SELECT *, count(*) FILTER (is_short) OVER (PARTITION BY domain_id, batch_id, equip_type, equip_cd, class_cd) AS shorts FROM t_judged)
+SELECT d.domain_id, d.batch_id, d.equip_type, d.equip_cd, d.class_cd AS order_no, d.com_cd, d.sku_cd, d.order_qty, u.cell_cd, u.ind_cd, u.id AS stock_id, u.load_qty,
+  u.c_end AS load_sum_by_cell, cast(d.shorts AS bigint) AS check_assignable,
+  cast(row_number() OVER (PARTITION BY d.domain_id, d.batch_id, d.equip_type, d.equip_cd, d.class_cd, d.com_cd, d.sku_cd ORDER BY u.c_end) AS int) AS ranking
+FROM t_shorts d JOIN t_usable u USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)
+WHERE NOT d.is_short AND u.c_end - u.load_qty < d.order_qty""",
     "allocate_lines": f"WITH {ALLOCATED} SELECT * FROM t_allocated",
     "create_jobs": f"""
 WITH {ALLOCATED} SELECT a.domain_id, a.batch_id, a.equip_type, a.equip_cd, a.cell_cd AS sub_equip_cd, a.ind_cd, max(o.order_no) AS order_no, a.order_no AS class_cd, a.com_cd, a.sku_cd,
@@ -394,10 +446,25 @@ FROM t_allocated a JOIN wh_orders o ON o.domain_id = a.domain_id AND o.batch_id
 GROUP BY a.domain_id, a.batch_id, a.equip_type, a.equip_cd, a.cell_cd, a.ind_cd, a.order_no, a.com_cd, a.sku_cd, a.stock_id, a.assign_qty""",
     "stock_after": f"""
 WITH {ALLOCATED} SELECT s.id, s.domain_id, cast(s.load_qty - coalesce(sum(a.assign_qty), 0) AS int) AS load_qty, cast(s.alloc_qty + coalesce(sum(a.assign_qty), 0) AS int) AS alloc_qty
-FROM wh_stocks s LEFT JOIN t_allocated a ON a.stock_id = s.id GROUP BY s.id, s.domain_id, s.load_qty, s.alloc_qty""",
+FROM wh_stocks s LEFT JOIN t_allocated a ON a.domain_id = s.domain_id AND a.stock_id = s.id GROUP BY s.id, s.domain_id, s.load_qty, s.alloc_qty""",
     "orders_after": f"""
 WITH {ALLOCATED} SELECT id, domain_id, batch_id, CASE WHEN status = 'W' AND (domain_id, batch_id, class_cd, com_cd, sku_cd) IN (SELECT (domain_id, batch_id, order_no, com_cd, sku_cd) FROM t_allocated)
   THEN 'A' ELSE status END AS status FROM wh_orders""",
+    "allocate": f"WITH RECURSIVE {GREEDY_WAITING} SELECT * FROM t_allocated",
+    "allocate_stock_after": f"""
+WITH RECURSIVE {GREEDY_WAITING} SELECT s.id, s.domain_id, cast(s.load_qty - coalesce(sum(a.assign_qty), 0) AS int) AS load_qty, cast(s.alloc_qty + coalesce(sum(a.assign_qty), 0) AS int) AS alloc_qty
+FROM wh_stocks s LEFT JOIN t_allocated a ON a.domain_id = s.domain_id AND a.stock_id = s.id GROUP BY s.id, s.domain_id, s.load_qty, s.alloc_qty""",
+    "allocate_orders_after": f"""
+WITH RECURSIVE {GREEDY_WAITING} SELECT id, domain_id, batch_id, CASE WHEN status = 'W' AND (domain_id, batch_id, class_cd, com_cd, sku_cd) IN (SELECT (domain_id, batch_id, order_no, com_cd, sku_cd) FROM t_allocated)
+  THEN 'A' ELSE status END AS status FROM wh_orders""",
+    "allocate_create_jobs": f"""
+WITH RECURSIVE {GREEDY_WAITING} SELECT sha256(concat_ws('|', domain_id, batch_id, order_no, com_cd, sku_cd, stock_id)) AS id, domain_id, batch_id, equip_type, equip_cd, cell_cd AS sub_equip_cd,
+  order_no AS class_cd, com_cd, sku_cd, cast(assign_qty AS int) AS pick_qty, CASE WHEN domain_id = 1 THEN 'BW' ELSE 'W' END AS status FROM t_allocated""",
+    "allocate_instructed": f"""
+WITH RECURSIVE {TYPED},{SCOPE},
+t_demand AS (SELECT domain_id, batch_id, equip_type, equip_cd, class_cd, com_cd, sku_cd, cast(sum(order_qty) AS bigint) AS order_qty, count(*) AS line_cnt
+  FROM t_typed o WHERE order_type = 'MT' AND (domain_id, batch_id) IN (SELECT (domain_id, id) FROM t_scope) GROUP BY ALL),{TOTAL},{USABLE},{GREEDY}
+SELECT * FROM t_allocated""",
     "inputable_box_count": "SELECT domain_id, batch_id, equip_type, count(DISTINCT order_no) AS inputable_box FROM wh_jobs WHERE order_type = 'MT' AND status IN ('BW', 'W') GROUP BY ALL",
     "inputable_box_by_type": """
 SELECT domain_id, batch_id, equip_type, box_type_cd, input_plan_qty, input_box_qty, input_plan_qty - input_box_qty AS remain_qty FROM (
@@ -409,13 +476,13 @@ SELECT domain_id, batch_id, equip_type, box_type_cd, input_plan_qty, input_box_q
 WITH {WAITING} SELECT domain_id, batch_id, box_type_cd, order_no, sku_cnt, pick_cnt FROM t_waiting
 QUALIFY row_number() OVER (PARTITION BY domain_id, batch_id, box_type_cd ORDER BY sku_cnt, pick_cnt, order_no) = 1""",
     "next_mapping_single": """
-WITH t_scan AS (SELECT DISTINCT domain_id, batch_id, box_id FROM wh_box_packs),
-t_all AS (
-  SELECT s.*, j.id AS job_id, j.pick_qty - j.picked_qty AS qty, 1 AS prio FROM t_scan s JOIN wh_jobs j USING (domain_id, batch_id, box_id) WHERE j.order_type = 'OT'
-  UNION ALL
-  SELECT s.*, j.id, j.pick_qty, 2 FROM t_scan s JOIN wh_jobs j USING (domain_id, batch_id) WHERE j.order_type = 'OT' AND j.input_seq = 0 AND j.status = 'W')
-SELECT domain_id, batch_id, box_id, job_id, qty, CASE WHEN prio = 1 THEN 1 ELSE 0 END AS is_held FROM t_all
-QUALIFY row_number() OVER (PARTITION BY domain_id, batch_id, box_id ORDER BY prio, qty, job_id) = 1""",
+WITH t_scan AS (SELECT DISTINCT domain_id, batch_id, box_id FROM wh_box_packs WHERE box_id IS NOT NULL),
+t_held AS (SELECT s.*, j.id AS job_id, j.pick_qty - j.picked_qty AS qty FROM t_scan s JOIN wh_jobs j USING (domain_id, batch_id, box_id) WHERE j.order_type = 'OT'
+  QUALIFY row_number() OVER (PARTITION BY domain_id, batch_id, box_id ORDER BY j.pick_qty - j.picked_qty, j.id) = 1),
+t_free AS (SELECT *, row_number() OVER (PARTITION BY domain_id, batch_id ORDER BY box_id) AS n FROM t_scan ANTI JOIN t_held USING (domain_id, batch_id, box_id)),
+t_ready AS (SELECT domain_id, batch_id, id AS job_id, pick_qty AS qty, row_number() OVER (PARTITION BY domain_id, batch_id ORDER BY pick_qty, id) AS n
+  FROM wh_jobs WHERE order_type = 'OT' AND input_seq = 0 AND status = 'W' AND box_id IS NULL)
+SELECT *, 1 AS is_held FROM t_held UNION ALL SELECT domain_id, batch_id, box_id, job_id, qty, 0 FROM t_free JOIN t_ready USING (domain_id, batch_id, n)""",
     "map_boxes": f"WITH {MAPPED} SELECT * FROM t_mapped",
     "new_input_rows": NEW_ROWS,
     "create_inputs": f"WITH {NEW_INPUTS} SELECT * FROM t_new_inputs",

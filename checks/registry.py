@@ -21,7 +21,7 @@ from pickflow.operators import picking as pk
 from pickflow.operators import progress as pg
 from pickflow.operators import receive as rc
 from pickflow.plans import flows
-from pickflow.schemas import KEY
+from pickflow.schemas import KEY, ORDER_INSTRUCTED
 from pickflow.session import cut_lineage, use_checkpoint_dir
 from pickflow.sources.sample import sample_streams, sample_tables
 from pickflow.sources.tables import Tables
@@ -42,11 +42,26 @@ def _receipt(t: Tables) -> DataFrame:
     return rc.receipt_items(rc.receive_summary(t.wms_if_orders), F.col("com_cd") == "COM3")
 
 
+def _received(t: Tables) -> rc.Receipt:
+    """The receipt with one upstream batch that has a line without a quantity."""
+    lines = t.wms_if_orders.withColumn("order_qty", F.when(F.col("wms_batch_no") == "WB1-199601", F.lit(None)).otherwise(F.col("order_qty")).cast("int"))
+    return rc.receive_batch(lines, _receipt(t), t.orders.filter("status = 'F'"))
+
+
+def _merged(t: Tables) -> ins.MergeResult:
+    return ins.merge_with_jobs(_typed(t), t.batches, t.merge_plan, t.racks)
+
+
 def _typed(t: Tables) -> DataFrame:
     """Received orders with rack and order type, ready to be instructed; a table of its own, as in the flow."""
     return cut_lineage(cl.classify_orders(cl.assign_single_rack(t.received_orders, t.racks)))
 
 
+def _instructed(t: Tables) -> DataFrame:
+    """Typed orders after the instruction that leaves multi orders in status I."""
+    return ins.instruct_orders(_typed(t), ins.batches_to_instruct(t.batches, _waiting_batches(t)), t.racks, variant="procedure")
+
+
 def _waiting_batches(t: Tables) -> DataFrame:
     return t.batches.filter("status = 'WAIT'").select("domain_id", F.col("id").alias("batch_id"))
 
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "load_tables": load_tables,
     "receive_summary": lambda t: rc.receive_summary(t.wms_if_orders),
     "receive_orders": lambda t: rc.receive_orders(t.wms_if_orders, _receipt(t), t.orders.filter("status = 'F'")),
+    "receive_batch_orders": lambda t: _received(t).orders.select("id", *KEY, "order_no", "order_line_no", "com_cd", "sku_cd", "order_qty", "class_cd", "status"),
+    "receive_batch_batches": lambda t: _received(t).batches.select("domain_id", "id", "batch_group_id", "com_cd", "job_type", "status"),
+    "receive_batch_items": lambda t: _received(t).items.select(*KEY, "com_cd", "equip_cd", "total_records", "status"),
     "receipt_items": lambda t: rc.receipt_items_after(_receipt(t)).select(*KEY, "com_cd", "equip_cd", "total_records", "status", "skip_flag"),
     "cancel_receipt_keep": lambda t: rc.cancel_receipt(t.received_orders, t.batches).orders.select("id", *KEY, "job_seq", "status"),
     "cancel_receipt_delete": lambda t: rc.cancel_receipt(t.received_orders, t.batches, mode="delete").orders.select("id", *KEY, "job_seq", "status"),
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "merge_batch_batches": lambda t: ins.merge_batch(_typed(t), t.batches, t.merge_plan).batches.select("domain_id", "id", "batch_group_id", "status"),
     "merge_batch_rejected": lambda t: ins.merge_batch(_typed(t), t.batches, t.merge_plan).rejected,
     "merge_batch_by_rack": lambda t: ins.merge_batch(_typed(t), t.batches, t.merge_plan, t.racks, variant="by_rack").orders.select("id", *KEY, "new_batch_id", "status"),
+    "merge_with_jobs_orders": lambda t: _merged(t).orders.select("id", *KEY, "status", "equip_cd"),
+    "merge_with_jobs_jobs": lambda t: _merged(t).jobs.select(*KEY, "class_cd", "com_cd", "sku_cd", "box_type_cd", "equip_cd", "pick_qty", "status"),
+    "merge_with_jobs_counts": lambda t: _merged(t).counts.select(*KEY, "batch_order_qty", "batch_sku_qty", "batch_pcs"),
     "cancel_instruction": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).orders.select("id", *KEY, "status", "equip_cd"),
     "cancel_instruction_batches": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).batches.select("domain_id", "id", "allowed", "status", "equip_cd"),
     "cancel_instruction_jobs": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).jobs.select("id", *KEY, "status"),
@@ -117,6 +138,12 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "create_jobs": lambda t: al.create_jobs(t.orders, al.allocate_lines(t.orders, t.stocks, t.cells), ins.config_flags(t.batches, t.configs)).drop("id"),
     "stock_after": lambda t: al.stock_after(t.stocks, al.allocate_lines(t.orders, t.stocks, t.cells)).select("id", "domain_id", "load_qty", "alloc_qty"),
     "orders_after": lambda t: al.orders_after(t.orders, al.allocate_lines(t.orders, t.stocks, t.cells)).select("id", *KEY, "status"),
+    "allocate_instructed": lambda t: al.allocate(_instructed(t), t.stocks, t.cells, status=ORDER_INSTRUCTED),
+    "allocate_create_jobs": lambda t: al.create_jobs(t.orders, al.allocate(t.orders, t.stocks, t.cells), ins.config_flags(t.batches, t.configs)).select(
+        "id", *KEY, "equip_type", "equip_cd", "sub_equip_cd", "class_cd", "com_cd", "sku_cd", "pick_qty", "status"
+    ),
+    "allocate_stock_after": lambda t: al.stock_after(t.stocks, al.allocate(t.orders, t.stocks, t.cells)).select("id", "domain_id", "load_qty", "alloc_qty"),
+    "allocate_orders_after": lambda t: al.orders_after(t.orders, al.allocate(t.orders, t.stocks, t.cells)).select("id", *KEY, "status"),
     # box input
     "inputable_box_count": lambda t: ip.inputable_box_count(t.jobs),
     "inputable_box_by_type": lambda t: ip.inputable_box_by_type(t.orders, t.jobs),
@@ -168,6 +195,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "batch_progress_jobs_multi": lambda t: pg.batch_progress_jobs(t.jobs, equip_cd="R1", order_type="MT"),
     "batch_progress_orders": lambda t: pg.batch_progress_orders(t.orders, t.jobs, t.batches),
     "batch_summary": lambda t: pg.batch_summary(t.orders, t.jobs, t.batches),
+    "batch_summary_inputs": lambda t: pg.batch_summary_inputs(t.jobs, 1, 10),
     "batch_result": lambda t: pg.batch_result(t.orders, t.box_packs),
     "batch_result_jobs": lambda t: pg.batch_result_jobs(t.jobs),
     "close_check": lambda t: cs.close_check(t.batches, t.orders, t.jobs),

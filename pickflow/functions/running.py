@@ -1,9 +1,8 @@
 """Running totals and row numbers that also hold when one group is a large share of all rows.
 
-A plain window puts a whole group into one task. ``running_totals`` uses it only after counting that no
-group is larger than a limit. Otherwise the rows are range-partitioned by (keys, order), so a large group
-lies in many consecutive partitions; each partition makes its local totals and adds the totals of the
-partitions before it, which are one small row per (partition, group).
+The rows are range-partitioned by (keys, order), so a large group lies in many consecutive partitions; each partition makes
+its local totals and adds the totals of the partitions before it, which are one small row per (partition, group). There is
+one way for groups of any size.
 """
 
 from __future__ import annotations
@@ -16,41 +15,18 @@ from pyspark.sql import functions as F
 
 from pickflow.session import cut_lineage
 
-GROUP_LIMIT = "spark.pickflow.window.maxGroupRows"
-DEFAULT_GROUP_LIMIT = 2_000_000
-
-
-def group_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(GROUP_LIMIT, str(DEFAULT_GROUP_LIMIT)))
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group; one aggregation job that returns one number."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
     """Null-safe equality of ``keys`` between two aliased frames."""
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def running_totals(
-    df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column | int], *, bound: DataFrame | None = None
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column | int]) -> DataFrame:
     """Add, per name in ``totals``, the sum over the rows of the group up to and including this one.
 
-    ``order`` must be a total order within a group. A row number is the running total of ``1``. The group sizes are
-    counted on ``bound`` if given: a frame with the same keys and at least as many rows per group that is cheaper
-    to count than ``df``, such as its largest input.
+    ``order`` must be a total order within a group. A row number is the running total of ``1``. The rows are written once,
+    to the checkpoint folder.
     """
     values = {name: F.lit(v) if isinstance(v, int) else v for name, v in totals.items()}
-    if largest_group(df if bound is None else bound, keys) <= group_limit(df):
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({name: F.sum(v).over(upto).cast("bigint") for name, v in values.items()})
-    return _range_split_totals(df, keys, order, values)
-
-
-def _range_split_totals(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
     # The partition number must be the same for both uses below, hence the checkpoint.
     parts = cut_lineage(
         df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_part", F.spark_partition_id())
@@ -68,11 +44,9 @@ def _range_split_totals(df: DataFrame, keys: list[str], order: list[Column], val
     )
 
 
-def row_numbers(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", *, bound: DataFrame | None = None
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     """Number the rows of every group from 1 in ``order``."""
-    return running_totals(df, keys, order, {name: 1}, bound=bound)
+    return running_totals(df, keys, order, {name: 1})
 
 
 def block_totals(df: DataFrame, keys: list[str], position: str, totals: dict[str, Column], *, width: int) -> DataFrame:

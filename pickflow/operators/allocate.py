@@ -10,17 +10,19 @@ rack is always decided, so the rounds end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickflow.functions.columns import natural_id
 from pickflow.functions.intervals import overlap_join
-from pickflow.functions.running import block_totals, group_limit, largest_group, row_numbers, running_totals
+from pickflow.functions.running import block_totals, row_numbers, running_totals
 from pickflow.schemas import BATCH_RUNNING, JOB_BOX_WAIT, JOB_WAIT, KEY, MULTI, ORDER_ASSIGNED, ORDER_WAIT
 from pickflow.session import cut_lineage
 
 RACK = ["domain_id", "equip_type", "equip_cd"]
 ITEM = ["com_cd", "sku_cd"]
+# Places of a rack's sequence that one task sums of a SKU.
+BLOCK = 100_000
 
 
 def open_demand(orders: DataFrame, *, status: str = ORDER_WAIT, order_type: str | None = MULTI, skip: DataFrame | None = None) -> DataFrame:
@@ -58,13 +60,13 @@ def _prioritised(demand: DataFrame, stocks: DataFrame, group: list[str]) -> Data
     return joined.select(*group, *ITEM, "load_qty", "order_sku_cnt", "order_qty", priority.alias("assign_priority"))
 
 
-def stock_priority(orders: DataFrame, stocks: DataFrame) -> DataFrame:
+def stock_priority(orders: DataFrame, stocks: DataFrame, *, status: str = ORDER_WAIT) -> DataFrame:
     """Stocked SKUs of every batch with their rank class.
 
     1 where the stock covers the whole demand, 2 where there are at least as many order lines as pieces, else 3.
     They are served by class, then by stock (most first), then by SKU.
     """
-    return _prioritised(open_demand(orders), stocks, [*KEY, "equip_type", "equip_cd"])
+    return _prioritised(open_demand(orders, status=status), stocks, [*KEY, "equip_type", "equip_cd"])
 
 
 def orders_for_stock(orders: DataFrame, stocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -76,7 +78,7 @@ def orders_for_stock(orders: DataFrame, stocks: DataFrame, skip: DataFrame | Non
 def _cell_intervals(stock: DataFrame) -> DataFrame:
     """Stock rows of a (rack, SKU) laid end to end, least loaded first: ``[start, end)``."""
     rows = stock.select(*RACK, *ITEM, "cell_cd", "ind_cd", F.col("id").alias("stock_id"), "load_qty")
-    laid = running_totals(rows, [*RACK, *ITEM], [F.col("load_qty").asc(), F.col("cell_cd").asc(), F.col("stock_id").asc()], {"end": F.col("load_qty")}, bound=stock)
+    laid = running_totals(rows, [*RACK, *ITEM], [F.col("load_qty").asc(), F.col("cell_cd").asc(), F.col("stock_id").asc()], {"end": F.col("load_qty"), "cell_no": 1})
     return laid.withColumn("start", F.col("end") - F.col("load_qty"))
 
 
@@ -87,18 +89,14 @@ def assign_candidates(orders: DataFrame, stocks: DataFrame, cells: DataFrame) ->
     summed once per SKU, not once per order.
     """
     demand = open_demand(orders, order_type=None)
-    laid = _cell_intervals(loaded_stock(stocks, cells))
+    laid = _cell_intervals(loaded_stock(stocks, cells)).withColumn("load_sum_by_cell", F.col("end"))
     totals = laid.groupBy(*RACK, *ITEM).agg(F.sum("load_qty").alias("_total"))
     checked = demand.join(totals, [*RACK, *ITEM], "left").withColumn("_short", F.coalesce("_total", F.lit(0)) < F.col("order_qty"))
     order_key = [*KEY, "equip_type", "equip_cd", "class_cd"]
     short = checked.groupBy(*order_key).agg(F.count_if("_short").alias("check_assignable"))
-    rows = (
-        checked.filter(~F.col("_short"))
-        .join(short, order_key)
-        .join(laid, [*RACK, *ITEM])
-        .filter(F.col("start") < F.col("order_qty"))
-    )
-    ranking = Window.partitionBy(*order_key, *ITEM).orderBy("end", "cell_cd", "stock_id")
+    wanted = checked.filter(~F.col("_short")).join(short, order_key).withColumns({"start": F.lit(0).cast("bigint"), "end": F.col("order_qty")})
+    # Only the cells that [0, demand) reaches meet an order, not every cell of the SKU.
+    rows = overlap_join(wanted, laid, [*RACK, *ITEM])
     return rows.select(
         *KEY,
         "equip_type",
@@ -110,9 +108,9 @@ def assign_candidates(orders: DataFrame, stocks: DataFrame, cells: DataFrame) ->
         "ind_cd",
         "stock_id",
         "load_qty",
-        F.col("end").alias("load_sum_by_cell"),
+        "load_sum_by_cell",
         "check_assignable",
-        F.row_number().over(ranking).alias("ranking"),
+        F.col("cell_no").cast("int").alias("ranking"),
     )
 
 
@@ -143,14 +141,9 @@ def _greedy(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame
         .withColumns({"taken_before": F.lit(0).cast("bigint"), "is_open": F.lit(True)})
     )
     state = cut_lineage(lines)
-    width = group_limit(state)
-    hot = largest_group(state, item) > width
 
     def totals(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-        if hot:
-            return block_totals(df, item, "seq", values, width=width)
-        upto = Window.partitionBy(*item).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({n: F.sum(v).over(upto) for n, v in values.items()})
+        return block_totals(df, item, "seq", values, width=BLOCK)
 
     accepted: list[DataFrame] = []
     while state.filter("is_open").limit(1).count():
@@ -185,15 +178,15 @@ def _allocation(filled: DataFrame, wave: Column) -> DataFrame:
     )
 
 
-def allocate(orders: DataFrame, stocks: DataFrame, cells: DataFrame, batches: DataFrame | None = None, *, wave: str = "equip", skip: DataFrame | None = None) -> DataFrame:
-    """Allocations (order, SKU, cell, quantity) of all waiting multi orders.
+def allocate(orders: DataFrame, stocks: DataFrame, cells: DataFrame, batches: DataFrame | None = None, *, wave: str = "equip", skip: DataFrame | None = None, status: str = ORDER_WAIT) -> DataFrame:
+    """Allocations (order, SKU, cell, quantity) of all multi orders in ``status``: waiting, or instructed where orders are typed first.
 
     With ``wave="equip"`` all waiting orders of a rack compete in one pass. With ``wave="batch"`` the batches of
     a rack come one after the other, newest job date first (``batches``), each with the stock the earlier ones left.
     Runs jobs while it is built: one per round, written to the checkpoint folder.
     """
     # The demand is read several times per wave, so it is written once.
-    demand = cut_lineage(open_demand(orders, skip=skip))
+    demand = cut_lineage(open_demand(orders, status=status, skip=skip))
     if wave == "equip":
         return _allocation(_fill_cells(_greedy(demand, stocks, cells), loaded_stock(stocks, cells)), F.lit(1).cast("bigint"))
     if wave != "batch":
@@ -234,7 +227,7 @@ def allocate_lines(orders: DataFrame, stocks: DataFrame, cells: DataFrame, *, or
     usable = loaded_stock(stocks, cells)
     caps = usable.groupBy(*item).agg(F.sum("load_qty").alias("cap"))
     order = [F.col(c).asc() for c in ("qty", "class_cd", "batch_id")]
-    laid = running_totals(lines.join(caps, item), item, order, {"end": F.col("qty"), "seq": 1}, bound=orders.filter(F.col("status") == ORDER_WAIT))
+    laid = running_totals(lines.join(caps, item), item, order, {"end": F.col("qty"), "seq": 1})
     accepted = laid.filter("end <= cap").withColumn("start", F.col("end") - F.col("qty"))
     return _allocation(_fill_cells(accepted, usable), F.lit(1).cast("bigint"))
 
@@ -272,18 +265,18 @@ def create_jobs(orders: DataFrame, allocations: DataFrame, flags: DataFrame | No
 
 def stock_after(stocks: DataFrame, allocations: DataFrame) -> DataFrame:
     """Stock rows after the allocations: loaded less, allocated more."""
-    given = allocations.groupBy(F.col("stock_id").alias("id")).agg(F.sum("assign_qty").cast("int").alias("_given"))
+    given = allocations.groupBy("domain_id", F.col("stock_id").alias("id")).agg(F.sum("assign_qty").cast("int").alias("_given"))
     amount = F.coalesce("_given", F.lit(0))
     return (
-        stocks.join(given, "id", "left")
+        stocks.join(given, ["domain_id", "id"], "left")
         .withColumns({"load_qty": F.col("load_qty") - amount, "alloc_qty": F.col("alloc_qty") + amount})
         .drop("_given")
     )
 
 
-def orders_after(orders: DataFrame, allocations: DataFrame) -> DataFrame:
-    """Waiting lines of allocated (order, SKU) pairs go to status A."""
+def orders_after(orders: DataFrame, allocations: DataFrame, *, status: str = ORDER_WAIT) -> DataFrame:
+    """Lines in ``status`` of allocated (order, SKU) pairs go to status A."""
     given = allocations.select(*KEY, F.col("order_no").alias("class_cd"), *ITEM).distinct().withColumn("_given", F.lit(True))
     joined = orders.join(given, [*KEY, "class_cd", *ITEM], "left")
-    hit = F.col("_given") & (F.col("status") == ORDER_WAIT)
+    hit = F.col("_given") & (F.col("status") == status)
     return joined.withColumn("status", F.when(hit, ORDER_ASSIGNED).otherwise(F.col("status"))).drop("_given")

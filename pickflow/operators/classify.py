@@ -134,11 +134,12 @@ def single_racks(orders: DataFrame, racks: DataFrame) -> DataFrame:
 
 
 def assign_single_rack(orders: DataFrame, racks: DataFrame) -> DataFrame:
-    """Lines without a rack get the rack of the batch if the batch has exactly one."""
+    """Lines without a rack get the rack of the batch, and its name, if the batch has exactly one; other lines stay as they are."""
+    name = F.col("equip_nm") if "equip_nm" in orders.columns else F.lit(None).cast("string")
     rack = single_racks(orders, racks).select(*KEY, F.col("equip_cd").alias("_equip_cd"), F.col("equip_nm").alias("_equip_nm"))
     filled = F.col("equip_cd").isNull() & F.col("_equip_cd").isNotNull()
     return (
         orders.join(rack, KEY, "left")
-        .withColumns({"equip_nm": F.when(filled, F.col("_equip_nm")), "equip_cd": F.coalesce("equip_cd", "_equip_cd")})
+        .withColumns({"equip_nm": F.when(filled, F.col("_equip_nm")).otherwise(name), "equip_cd": F.coalesce("equip_cd", "_equip_cd")})
         .drop("_equip_cd", "_equip_nm")
     )

@@ -75,19 +75,24 @@ def close_batch(
     closed = close_check(batches, orders, jobs, forced=forced).filter(F.col("reason") == OK).select(*KEY)
     result = batch_result(orders, packs).join(closed, KEY, "left_semi").withColumnRenamed("batch_id", "id")
     columns = {
-        "result_order_qty": "actual_order",
-        "result_box_qty": "actual_sku",
-        "result_pcs": "actual_pcs",
-        "progress_rate": "rate_order",
+        "actual_order": "result_order_qty",
+        "actual_sku": "result_box_qty",
+        "actual_pcs": "result_pcs",
+        "rate_order": "progress_rate",
         "uph": "uph",
-        "equip_runtime": "rate_sku",
+        "rate_sku": "equip_runtime",
     }
-    outcome = result.select("domain_id", "id", *[F.col(c).alias(n) for n, c in columns.items()], F.lit(True).alias("_closed"))
+    outcome = result.select("domain_id", "id", *[F.col(c).alias(f"_{n}") for c, n in columns.items()], F.lit(True).alias("_closed"))
     stamp = F.lit(None).cast("timestamp_ntz") if finished_at is None else finished_at
-    batches_after = (
-        batches.join(outcome, ["domain_id", "id"], "left")
-        .withColumns({"status": F.when(F.col("_closed"), BATCH_END).otherwise(F.col("status")), "finished_at": F.when(F.col("_closed"), stamp)})
-        .drop("_closed")
+    # a batch that is not closed now keeps what an earlier run has written
+    had = {c: F.col(f"b.{c}") if c in batches.columns else F.lit(None) for c in (*columns.values(), "finished_at")}
+    new = {**{c: F.col(f"o._{c}") for c in columns.values()}, "finished_at": stamp}
+    kept = [F.col(f"b.{c}") for c in batches.columns if c not in ("status", *had)]
+    done = F.col("o._closed")
+    batches_after = batches.alias("b").join(outcome.alias("o"), ["domain_id", "id"], "left").select(
+        *kept,
+        F.when(done, BATCH_END).otherwise(F.col("b.status")).alias("status"),
+        *[F.when(done, new[c]).otherwise(had[c]).alias(c) for c in had],
     )
     freed = racks.join(closed.withColumn("_free", F.lit(True)), KEY, "left")
     racks_after = freed.withColumns(

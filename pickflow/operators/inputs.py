@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.functions.columns import box_color, flag, long_sum, ratio, where
-from pickflow.functions.running import row_numbers, same_keys
+from pickflow.functions.running import row_numbers, running_totals, same_keys
 from pickflow.schemas import INPUT_WAIT, JOB_BOX_WAIT, JOB_INPUT, JOB_PICKING, JOB_WAIT, KEY, MULTI, SINGLE
 from pickflow.session import cut_lineage
 
@@ -65,8 +65,8 @@ def next_mapping_order(jobs: DataFrame) -> DataFrame:
 def next_mapping_single(jobs: DataFrame, scanned: DataFrame) -> DataFrame:
     """The single-order job of every scanned box (domain_id, batch_id, box_id).
 
-    A job that already holds the box comes first (least left to pick), else the waiting job with the fewest
-    pieces. Boxes for which there is no job are left out.
+    A job that already holds the box comes first (least left to pick). The other boxes, by id, take the waiting jobs in
+    turn, fewest pieces first, each job once. Boxes for which no job is left are left out.
     """
     single = where(jobs, order_type=SINGLE)
     rest = F.col("pick_qty") - F.col("picked_qty")
@@ -75,16 +75,12 @@ def next_mapping_single(jobs: DataFrame, scanned: DataFrame) -> DataFrame:
         .groupBy(*KEY, "box_id")
         .agg(F.min(F.struct(rest.alias("qty"), "id")).alias("_held"))
     )
-    ready = where(single, input_seq=0, status=JOB_WAIT).groupBy(*KEY).agg(F.min(F.struct(F.col("pick_qty").alias("qty"), "id")).alias("_ready"))
-    chosen = F.coalesce("_held", "_ready")
-    return (
-        scanned.select(*KEY, "box_id")
-        .distinct()
-        .join(held, [*KEY, "box_id"], "left")
-        .join(ready, KEY, "left")
-        .filter(chosen.isNotNull())
-        .select(*KEY, "box_id", chosen["id"].alias("job_id"), chosen["qty"].alias("qty"), flag(F.col("_held").isNotNull()).alias("is_held"))
-    )
+    boxes = scanned.select(*KEY, "box_id").filter("box_id IS NOT NULL").distinct().join(held, [*KEY, "box_id"], "left")
+    kept = boxes.filter("_held IS NOT NULL").select(*KEY, "box_id", F.col("_held.id").alias("job_id"), F.col("_held.qty").alias("qty"), F.lit(1).alias("is_held"))
+    free = row_numbers(boxes.filter("_held IS NULL").select(*KEY, "box_id"), KEY, [F.col("box_id").asc()])
+    waiting = where(single, input_seq=0, status=JOB_WAIT).filter("box_id IS NULL").select(*KEY, F.col("id").alias("job_id"), F.col("pick_qty").alias("qty"))
+    taken = free.join(row_numbers(waiting, KEY, [F.col("qty").asc(), F.col("job_id").asc()]), [*KEY, "rn"])
+    return kept.unionByName(taken.select(*KEY, "box_id", "job_id", "qty", F.lit(0).alias("is_held")))
 
 
 def map_boxes(jobs: DataFrame, inputs: DataFrame, arrivals: DataFrame, *, default_color: Column | str = "R") -> DataFrame:
@@ -103,8 +99,8 @@ def map_boxes(jobs: DataFrame, inputs: DataFrame, arrivals: DataFrame, *, defaul
     free_boxes = first_scan.join(used, ["domain_id", "box_id"], "left_anti").select("domain_id", "box_id", "_a.*")
     by_size = [F.col("sku_cnt").asc(), F.col("pick_cnt").asc(), F.col("order_no").asc()]
     by_arrival = [F.col("arrived_at").asc_nulls_last(), F.col("box_id").asc()]
-    ranked_orders = row_numbers(free_orders, pair_key, by_size, bound=waiting_jobs(jobs))
-    ranked_boxes = row_numbers(free_boxes, pair_key, by_arrival, bound=arrivals)
+    ranked_orders = row_numbers(free_orders, pair_key, by_size)
+    ranked_boxes = row_numbers(free_boxes, pair_key, by_arrival)
     return ranked_boxes.join(ranked_orders, [*pair_key, "rn"]).select(
         *KEY, "box_id", "box_type_cd", "order_no", "class_cd", "arrived_at", box_color("color_cd", default_color).alias("color_cd")
     )
@@ -164,12 +160,13 @@ def apply_box_mapping(jobs: DataFrame, cells: DataFrame, new_inputs: DataFrame,
     hit = F.when(is_single, F.col("_single")).otherwise(F.col("_in"))
     mapped = hit.isNotNull()
     stamp = F.lit(None).cast("timestamp_ntz") if input_at is None else input_at
+    had = F.col("input_at") if "input_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
     return joined.withColumns(
         {
             "input_seq": F.coalesce(hit["input_seq"], F.col("input_seq")),
             "box_id": F.coalesce(hit["box_id"], F.col("box_id")),
             "color_cd": F.coalesce(hit["color_cd"], F.col("color_cd")),
-            "input_at": F.when(mapped, stamp),
+            "input_at": F.when(mapped, stamp).otherwise(had),
             "status": F.when(mapped & is_single, JOB_PICKING).when(mapped, JOB_INPUT).otherwise(F.col("status")),
         }
     ).drop("_station", "_in", "_single")
@@ -232,30 +229,26 @@ def _base_inputs(inputs: DataFrame, selected: DataFrame | None) -> DataFrame:
 def _neighbours(inputs: DataFrame, bases: DataFrame) -> DataFrame:
     """For every station its base box (seq 1 before, 2 base, 3 after): one box before, two after, by sequence.
 
-    The base sequences of a batch, one per station, cut the batch into strips. Only the first three and the last
-    two boxes of a strip can be neighbours of any base, so the boxes are thinned to these before they meet the
-    stations; the bound on the row number works before the shuffle.
+    The boxes of a batch are numbered by sequence, together with the sequences of the bases, which so learn how many boxes
+    lie before and up to them. A neighbour is then looked up by its number: no station meets more than five boxes.
     """
     box = [*KEY, "equip_type", "order_no", "box_id"]
     scope = [*KEY, "equip_type"]
-    boxes = inputs.groupBy(*box).agg(F.min("input_seq").alias("seq"))
-    marks = bases.groupBy(*scope).agg(F.array_sort(F.collect_set("base_seq")).alias("_marks"))
-    below = F.size(F.filter("_marks", lambda m: m < F.col("seq")))
-    upto = F.size(F.filter("_marks", lambda m: m <= F.col("seq")))
-    strips = boxes.join(marks, scope).withColumn("_strip", below + upto).drop("_marks")
-    strip = [*scope, "_strip"]
-    ascending = [F.col(c).asc() for c in ("seq", "order_no", "box_id")]
-    descending = [F.col(c).desc() for c in ("seq", "order_no", "box_id")]
-    head = strips.withColumn("_rn", F.row_number().over(Window.partitionBy(*strip).orderBy(*ascending))).filter("_rn <= 3")
-    tail = strips.withColumn("_rn", F.row_number().over(Window.partitionBy(*strip).orderBy(*descending))).filter("_rn <= 2")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("order_no", "box_id")]
+    boxes = inputs.groupBy(*box).agg(F.min("input_seq").alias("seq")).select(*scope, "seq", "order_no", "box_id", F.lit(1).alias("_kind"))
+    marks = bases.select(*scope, F.col("base_seq").alias("seq")).distinct().select(*scope, "seq", *nothing, F.explode(F.array(F.lit(0), F.lit(2))).alias("_kind"))
+    order = [F.col(c).asc() for c in ("seq", "_kind", "order_no", "box_id")]
+    counted = running_totals(boxes.unionByName(marks), scope, order, {"_rn": F.when(F.col("_kind") == 1, 1).otherwise(0)})
+    numbered = counted.filter("_kind = 1").select(*scope, "_rn", "seq", "order_no", "box_id")
+    at = F.max(F.when(F.col("_kind") == 0, F.col("_rn"))).alias("_before"), F.max(F.when(F.col("_kind") == 2, F.col("_rn"))).alias("_upto")
+    places = counted.filter("_kind <> 1").groupBy(*scope, F.col("seq").alias("base_seq")).agg(*at)
     station = [*scope, "equip_cd", "station_cd"]
-    details = ["base_seq", "base_order_no", "base_box_id", "selected_id"]
+    # One more on each side, as the base box itself may be among them.
+    near = F.array(F.col("_before") - 1, F.col("_before"), F.col("_upto") + 1, F.col("_upto") + 2, F.col("_upto") + 3)
     other = ~(F.col("order_no").eqNullSafe(F.col("base_order_no")) & F.col("box_id").eqNullSafe(F.col("base_box_id")))
-    # Both sides are small here: a few boxes per strip against one row per station.
-    after = bases.join(head.drop("_rn"), scope).filter(other & (F.col("seq") > F.col("base_seq")))
-    before = bases.join(tail.drop("_rn"), scope).filter(other & (F.col("seq") < F.col("base_seq")))
-    after = after.withColumn("_rn", F.row_number().over(Window.partitionBy(*station).orderBy(*ascending))).filter("_rn <= 2")
-    before = before.withColumn("_rn", F.row_number().over(Window.partitionBy(*station).orderBy(*descending))).filter("_rn <= 1")
+    found = bases.join(places, [*scope, "base_seq"]).withColumn("_rn", F.explode(near)).join(numbered, [*scope, "_rn"]).filter(other)
+    after = found.filter("seq > base_seq").withColumn("_n", F.row_number().over(Window.partitionBy(*station).orderBy("_rn"))).filter("_n <= 2")
+    before = found.filter("seq < base_seq").withColumn("_n", F.row_number().over(Window.partitionBy(*station).orderBy(F.desc("_rn")))).filter("_n <= 1")
     columns = [*station, "selected_id", "order_no", "box_id", "screen_pos"]
     base = bases.select(*station, "selected_id", F.col("base_order_no").alias("order_no"), F.col("base_box_id").alias("box_id"), F.lit(2).alias("screen_pos"))
     return (
@@ -280,8 +273,8 @@ def box_input_tab(inputs: DataFrame, jobs: DataFrame, cells: DataFrame, *, selec
     )
     joined = shown.alias("s").join(rows.alias("r"), same_keys("s", "r", [*KEY, "equip_type", "order_no", "box_id"]))
     mine = F.col("_at") == F.col("station_cd")
-    done = F.col("status").isin("F", "U", "E")
-    weight = F.when(mine & F.col("status").isin("W", "R"), 10).when(done, 0).otherwise(100)
+    done = F.coalesce(F.col("status").isin("F", "U", "E"), F.lit(False))
+    open_here = F.coalesce(mine & F.col("status").isin("W", "R"), F.lit(False))
     boxes = (
         joined.select(*[F.col(f"s.{c}") for c in (*station, "selected_id", "screen_pos", "order_no", "box_id")], "color_cd", "id", "input_seq", "status", "_at")
         .groupBy(*station, "selected_id", "screen_pos", "order_no", "box_id", "color_cd")
@@ -291,7 +284,8 @@ def box_input_tab(inputs: DataFrame, jobs: DataFrame, cells: DataFrame, *, selec
             F.sum(flag(mine)).alias("has_my_jobs"),
             F.max(F.when(mine, F.col("input_seq")).otherwise(0)).alias("_my_seq"),
             F.max("input_seq").alias("_last_seq"),
-            flag(F.sum(weight) == 10).alias("is_my_zone_is_last"),
+            # one open input is left, and it is here
+            flag((F.count_if(open_here) == 1) & (F.count_if(~open_here & ~done) == 0)).alias("is_my_zone_is_last"),
             F.max(F.when(mine, F.col("status"))).alias("status"),
         )
     )

@@ -55,8 +55,9 @@ def apply_split(orders: DataFrame, batches: DataFrame, racks: DataFrame) -> Spli
     many = splittable_batches(orders).filter("rack_count > 1").select(*KEY)
     parts = split_batch_by_rack(orders, racks).join(many, KEY, "left_semi")
     target = parts.select(*KEY, "equip_cd", F.col("new_batch_id").alias("_new_id"), F.col("equip_nm").alias("_nm"))
+    name = F.coalesce("_nm", "equip_nm") if "equip_nm" in orders.columns else F.col("_nm")
     moved = orders.join(target, [*KEY, "equip_cd"], "left").withColumns(
-        {"batch_id": F.coalesce("_new_id", "batch_id"), "equip_nm": F.col("_nm")}
+        {"batch_id": F.coalesce("_new_id", "batch_id"), "equip_nm": name}
     )
     base = batches.withColumnRenamed("id", "batch_id")
     split = base.drop("equip_cd").join(parts.drop("equip_type", "rank_num"), KEY)
@@ -117,8 +118,12 @@ def batches_to_instruct(batches: DataFrame, instructed: DataFrame) -> DataFrame:
     return batches.join(groups, ["domain_id", "batch_group_id"], "left_semi")
 
 
-def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame | None = None) -> DataFrame:
-    """One pick job per single order class, SKU, box type and rack; lines without a rack go to the single-pack rack."""
+def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame | None = None, *, status: str | None = None) -> DataFrame:
+    """One pick job per single order class, SKU, box type and rack; lines without a rack go to the single-pack rack.
+
+    ``status`` narrows the lines: all single lines of an instructed batch get jobs, of a merged one those in T.
+    """
+    orders = orders if status is None else orders.filter(F.col("status") == status)
     keys = [*KEY, "area_cd", "stage_cd", "job_date", "job_seq", "job_type", "equip_type", "class_cd", "order_type"]
     grouped = (
         orders.filter(F.col("order_type") == SINGLE)
@@ -251,6 +256,39 @@ def merge_batch(orders: DataFrame, batches: DataFrame, mapping: DataFrame, racks
     return MergedBatches(merged, after.drop("_group"), rejected)
 
 
+class MergeResult(NamedTuple):
+    orders: DataFrame
+    batches: DataFrame
+    jobs: DataFrame
+    counts: DataFrame
+
+
+def merge_with_jobs(
+    orders: DataFrame, batches: DataFrame, mapping: DataFrame, racks: DataFrame, sku: DataFrame | None = None, *, now: Column | None = None
+) -> MergeResult:
+    """The whole merge by rack: multi orders to I, single orders to A on the single-pack rack with their pick jobs.
+
+    ``orders`` hold their batch after the merge, ``counts`` are those of all batches after it.
+    """
+    merged = merge_batch(orders, batches, mapping, racks, variant="by_rack")
+    moved = mapping.select(*KEY).distinct().withColumn("_moved", F.lit(True))
+    lines = merged.orders.join(moved, KEY, "left")
+    single = F.col("_moved") & (F.col("status") == ORDER_TYPED) & (F.col("order_type") == SINGLE)
+    placed = lines.withColumn("_single", F.coalesce(single, F.lit(False))).withColumn("batch_id", F.col("new_batch_id")).drop("new_batch_id", "_moved")
+    jobs = create_single_pack_jobs(placed.filter("_single").withColumn("equip_cd", F.lit(None).cast("string")), racks, sku, status=ORDER_TYPED)
+    after = (
+        placed.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
+        .withColumns(
+            {
+                "status": F.when(F.col("_single"), ORDER_ASSIGNED).otherwise(F.col("status")),
+                "equip_cd": F.when(F.col("_single"), F.coalesce("_ot_rack_cd", "equip_cd")).otherwise(F.col("equip_cd")),
+            }
+        )
+        .drop("_single", "_ot_rack_cd", "_ot_rack_nm")
+    )
+    return MergeResult(after, merged.batches, jobs, batch_counts(after, merged.batches, now))
+
+
 class CancelledInstruction(NamedTuple):
     batches: DataFrame
     orders: DataFrame

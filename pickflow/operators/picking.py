@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.functions.columns import flag, long_sum, where
@@ -109,7 +109,8 @@ def picking_jobs(
         "pick_ended_at",
     )
     if only_one:
-        return result.orderBy(*[F.col(c).asc_nulls_last() for c in ("gw_path", "station_cd", "sub_equip_cd", "id")]).limit(1)
+        order = [F.col(c).asc_nulls_last() for c in ("gw_path", "station_cd", "sub_equip_cd", "id")]
+        return result.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).filter("_n = 1").drop("_n")
     return result
 
 
@@ -158,7 +159,7 @@ def confirm_pick(jobs: DataFrame, events: DataFrame) -> DataFrame:
     job_key = [*KEY, "job_id"]
     picks = events.filter("qty > 0").select(*job_key, "event_id", "ts", "qty")
     taken = open_jobs.select(*KEY, F.col("id").alias("job_id"), "pick_qty", F.col("picked_qty").alias("_had"), "pick_started_at").join(picks, job_key)
-    cumulated = running_totals(taken, job_key, [F.col("ts").asc(), F.col("event_id").asc()], {"_upto": F.col("qty")}, bound=picks)
+    cumulated = running_totals(taken, job_key, [F.col("ts").asc(), F.col("event_id").asc()], {"_upto": F.col("qty")})
     reached = F.col("_had") + F.col("_upto")
     done = cumulated.groupBy(*KEY, "job_id").agg(
         F.max("pick_qty").alias("pick_qty"),
@@ -200,7 +201,7 @@ def pick_to_orders(orders: DataFrame, picks: DataFrame, *, qty: str = "picked_qt
     open_lines = orders.select(*group, "id", "order_qty", "picked_qty").filter("order_qty > picked_qty")
     lines = open_lines.join(picked, group)
     room = F.col("order_qty") - F.col("picked_qty")
-    placed = running_totals(lines, group, [F.col("picked_qty").asc(), F.col("id").asc()], {"_room": room}, bound=open_lines)
+    placed = running_totals(lines, group, [F.col("picked_qty").asc(), F.col("id").asc()], {"_room": room})
     share = F.greatest(F.lit(0), F.least(room, F.col("_picked") - (F.col("_room") - room))).cast("int")
     return (
         placed.withColumn("applied_qty", share)
@@ -260,11 +261,12 @@ def jobs_after_boxing(jobs: DataFrame) -> DataFrame:
     boxes = jobs.filter("box_id IS NOT NULL").groupBy(*KEY, "class_cd", "order_no", "box_id").agg(
         _is_open(JOB_WIP).alias("_open"), _is_open((JOB_FINISHED,)).alias("_finished"), F.max("pick_ended_at").alias("_ended")
     )
-    closed = boxes.filter("_open = 0 AND _finished = 1").groupBy(*KEY, "class_cd").agg(F.max("_ended").alias("boxed_at"), F.lit(True).alias("_closed"))
+    closed = boxes.filter("_open = 0 AND _finished = 1").groupBy(*KEY, "class_cd").agg(F.max("_ended").alias("_boxed_at"), F.lit(True).alias("_closed"))
+    had = F.col("boxed_at") if "boxed_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
     return (
         jobs.join(closed, [*KEY, "class_cd"], "left")
-        .withColumn("status", F.when(F.col("_closed"), JOB_BOXED).otherwise(F.col("status")))
-        .drop("_closed")
+        .withColumns({"status": F.when(F.col("_closed"), JOB_BOXED).otherwise(F.col("status")), "boxed_at": F.when(F.col("_closed"), F.col("_boxed_at")).otherwise(had)})
+        .drop("_closed", "_boxed_at")
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickflow.functions.columns import long_sum, ratio, where
-from pickflow.operators.inputs import inputable_box_count
+from pickflow.functions.paging import rowset_page
+from pickflow.operators.inputs import input_seq_list, inputable_box_count
 from pickflow.schemas import JOB_CANCELLED, KEY
 
 
@@ -67,6 +68,12 @@ def batch_summary(orders: DataFrame, jobs: DataFrame, batches: DataFrame) -> Dat
     return progress.join(boxes, KEY, "left").withColumn("inputable_buckets", F.coalesce("inputable_buckets", F.lit(0)))
 
 
+def batch_summary_inputs(jobs: DataFrame, page: int, limit: int) -> DataFrame:
+    """The list page of the summary: the boxes put in of every batch, latest first, ``limit`` to a page."""
+    order = [F.col("input_seq").desc(), F.col("order_no").asc(), F.col("box_id").asc()]
+    return rowset_page(input_seq_list(jobs), order, page, limit, keys=KEY)
+
+
 def batch_result(orders: DataFrame, packs: DataFrame) -> DataFrame:
     """Final result per batch: planned orders, shipped orders and boxes, pieces, box rate, pieces per hour, minutes.
 

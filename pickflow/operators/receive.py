@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickflow.functions.columns import where
+from pickflow.functions.columns import natural_id, where
 from pickflow.schemas import (
     BATCH_CANCELLED,
     BATCH_READY,
     BATCH_WAIT,
     ORDER_CANCELLED,
     ORDER_WAIT,
+    RECEIPT_ERROR,
     RECEIPT_FINISHED,
     RECEIPT_SKIPPED,
     RECEIPT_WAIT,
@@ -28,6 +30,14 @@ COPIED = (
     "job_date job_type order_no order_line_no com_cd area_cd stage_cd equip_type equip_cd shop_cd sku_cd"
     " box_type_cd order_qty"
 ).split()
+# What else an order line takes over where the interface table has it.
+OPTIONAL = (
+    "order_date order_detail_id cust_order_no cust_order_line_no equip_nm sub_equip_cd shop_nm sku_barcd sku_nm box_in_qty"
+    " boxed_qty cancel_qty box_id invoice_id order_type pack_type lot_no from_zone_cd from_cell_cd to_zone_cd to_cell_cd"
+).split()
+# Job types whose batches are ready once they are received; others wait.
+READY_JOB_TYPES = ("DPS",)
+ITEM_KEYS = ["domain_id", "com_cd", "area_cd", "stage_cd", "wms_batch_no"]
 
 
 def receive_summary(wms_if_orders: DataFrame, **filters) -> DataFrame:
@@ -56,9 +66,9 @@ def receipt_items(summary: DataFrame, skip: Column | None = None) -> DataFrame:
 
 
 def receive_orders(
-    wms_if_orders: DataFrame, items: DataFrame, existing: DataFrame | None = None, *, class_column: str = "order_no"
+    wms_if_orders: DataFrame, items: DataFrame, existing: DataFrame | None = None, *, class_column: str = "order_no", optional: Sequence[str] = ()
 ) -> DataFrame:
-    """New ORDERS rows for the receipt items that are not skipped.
+    """New ORDERS rows for the receipt items that are not skipped; ``optional`` columns are taken over as they are.
 
     ``class_cd`` comes from ``class_column``. Lines already in ``existing`` are left out, so a repeated
     run adds nothing.
@@ -76,12 +86,50 @@ def receive_orders(
         "wms_batch_no",
         "wcs_batch_no",
         *COPIED,
+        *optional,
         F.col(class_column).alias("class_cd"),
         F.lit(0).alias("picked_qty"),
         F.lit(ORDER_WAIT).alias("status"),
     )
 
 
+class Receipt(NamedTuple):
+    orders: DataFrame
+    batches: DataFrame
+    items: DataFrame
+
+
+def faulty_items(wms_if_orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Keys of the receipt items with a line that cannot become an order line: no order, line, SKU or quantity."""
+    bad = F.col("order_no").isNull() | F.col("order_line_no").isNull() | F.col("sku_cd").isNull() | ~F.coalesce(F.col("order_qty") > 0, F.lit(False))
+    lines = wms_if_orders.filter("if_flag = 'N'").filter(bad).select(*ITEM_KEYS).distinct()
+    return lines.join(items.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
+
+
+def receive_batch(
+    wms_if_orders: DataFrame, items: DataFrame, existing: DataFrame | None = None, *, class_column: str = "order_no"
+) -> Receipt:
+    """A whole receipt: order lines with their ids and all columns the interface table has, new batches, items after it.
+
+    An item is received as a whole or, if one of its lines is faulty, not at all (status E). Batches of a job type in
+    ``READY_JOB_TYPES`` are READY, others WAIT. Given order types are kept. A batch of several items takes the place of
+    the first by company, area and stage.
+    """
+    faulty = faulty_items(wms_if_orders, items)
+    good = items.join(faulty, ITEM_KEYS, "left_anti")
+    optional = [c for c in OPTIONAL if c in wms_if_orders.columns]
+    lines = receive_orders(wms_if_orders, good, existing, class_column=class_column, optional=optional)
+    lines = lines.withColumn("id", natural_id("domain_id", "batch_id", *LINE_KEYS[1:]))
+    # Only an item that brings lines makes a batch.
+    first = F.min(F.struct("com_cd", "area_cd", "stage_cd", "equip_type", "equip_cd", "job_date", "job_seq", "job_type", "wms_batch_no")).alias("_i")
+    made = good.filter("skip_flag = 0").groupBy("domain_id", F.col("batch_id").alias("id")).agg(first).select("domain_id", "id", "_i.*")
+    status = F.when(F.col("job_type").isin(*READY_JOB_TYPES), BATCH_READY).otherwise(BATCH_WAIT)
+    batches = made.withColumns({"batch_group_id": F.col("id"), "status": status})
+    marked = receipt_items_after(items).join(faulty.withColumn("_bad", F.lit(True)), ITEM_KEYS, "left")
+    failed = F.col("_bad") & (F.col("skip_flag") == 0)
+    return Receipt(lines, batches, marked.withColumn("status", F.when(failed, RECEIPT_ERROR).otherwise(F.col("status"))).drop("_bad"))
+
+
 def receipt_items_after(items: DataFrame) -> DataFrame:
     """Receipt items once the receipt ran: skipped ones stay out, the others are finished."""
     done = F.when(F.col("skip_flag") == 1, RECEIPT_SKIPPED).otherwise(RECEIPT_FINISHED)

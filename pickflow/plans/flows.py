@@ -43,14 +43,34 @@ def instruct(t: Tables, hooks: Hooks | None = None, *, now: Column | None = None
     flags = ins.config_flags(todo, t.configs)
     coded = cl.apply_class_codes(cl.assign_single_rack(lines, t.racks), flags)
     typed = hooks.apply("classify_orders", cl.classify_orders(coded))
-    split = ins.apply_split(hooks.apply("before_instruct", typed), todo, t.racks)
-    orders = hooks.apply("after_instruct", ins.instruct_orders(split.orders, split.batches))
+    split = ins.apply_split(hooks.apply("before_instruct", hooks.apply("recommend_cells", typed)), todo, t.racks)
+    orders = hooks.apply("total_picking", hooks.apply("after_instruct", ins.instruct_orders(split.orders, split.batches)))
     counts = ins.batch_counts(orders, split.batches, now)
     started = split.batches.withColumn("status", F.lit(BATCH_RUNNING))
     racks = ins.mark_racks(split.racks, orders, split.batches)
     return Instructed(orders, started, racks, counts)
 
 
+def merge(t: Tables, mapping: DataFrame, hooks: Hooks | None = None, *, now: Column | None = None) -> ins.MergeResult:
+    """Merge the batches of ``mapping`` into running ones: orders, batches, single-pack jobs and counts after it.
+
+    Tables used: orders (typed), batches, racks, sku.
+    """
+    hooks = hooks or Hooks()
+    done = ins.merge_with_jobs(hooks.apply("before_merge", t.orders), t.batches, mapping, t.racks, t.sku, now=now)
+    return done._replace(orders=hooks.apply("after_merge", done.orders))
+
+
+def cancel(t: Tables, hooks: Hooks | None = None) -> ins.CancelledInstruction:
+    """Take back the instruction of the given batches where no job has begun.
+
+    Tables used: orders, batches, jobs, racks.
+    """
+    hooks = hooks or Hooks()
+    done = ins.cancel_instruction(hooks.apply("before_cancel", t.orders), t.batches, t.jobs, t.racks)
+    return done._replace(orders=hooks.apply("after_cancel", done.orders))
+
+
 class Allocated(NamedTuple):
     allocations: DataFrame
     jobs: DataFrame
@@ -58,23 +78,23 @@ class Allocated(NamedTuple):
     orders: DataFrame
 
 
-def allocate_stock(t: Tables, hooks: Hooks | None = None, *, wave: str = "equip") -> Allocated:
-    """Allocate stock to waiting orders; new jobs, stock and orders after it.
+def allocate_stock(t: Tables, hooks: Hooks | None = None, *, wave: str = "equip", status: str = ORDER_WAIT) -> Allocated:
+    """Allocate stock to the orders in ``status``; new jobs, stock and orders after it.
 
-    A ``skip_orders`` hook gets the waiting order lines and returns those that must be left out. Tables used: orders,
-    stocks, cells, batches, configs.
+    A ``skip_orders`` hook gets those order lines and returns the ones that must be left out, a ``request_box`` hook gets
+    the new jobs. Tables used: orders, stocks, cells, batches, configs.
     """
     skip = None
     if hooks is not None:
-        waiting = t.orders.filter(F.col("status") == ORDER_WAIT)
+        waiting = t.orders.filter(F.col("status") == status)
         chosen = hooks.apply("skip_orders", waiting)
         skip = None if chosen is waiting else chosen
     # The result feeds three tables, so it is computed once.
-    allocations = cut_lineage(al.allocate(t.orders, t.stocks, t.cells, t.batches, wave=wave, skip=skip))
+    allocations = cut_lineage(al.allocate(t.orders, t.stocks, t.cells, t.batches, wave=wave, skip=skip, status=status))
     flags = ins.config_flags(t.batches, t.configs)
-    return Allocated(
-        allocations, al.create_jobs(t.orders, allocations, flags), al.stock_after(t.stocks, allocations), al.orders_after(t.orders, allocations)
-    )
+    jobs = al.create_jobs(t.orders, allocations, flags)
+    jobs = jobs if hooks is None else hooks.apply("request_box", jobs)
+    return Allocated(allocations, jobs, al.stock_after(t.stocks, allocations), al.orders_after(t.orders, allocations, status=status))
 
 
 class BoxesPutIn(NamedTuple):

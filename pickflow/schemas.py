@@ -15,7 +15,7 @@ INPUT_WAIT, INPUT_RUNNING, INPUT_FINISHED = "W", "R", "F"
 BATCH_WAIT, BATCH_READY, BATCH_RUNNING = "WAIT", "READY", "RUN"
 BATCH_MERGED, BATCH_CANCELLED, BATCH_END = "MERGED", "CANCEL", "END"
 SINGLE_PACK_RACK = "O"
-RECEIPT_WAIT, RECEIPT_FINISHED, RECEIPT_SKIPPED = "W", "F", "S"
+RECEIPT_WAIT, RECEIPT_FINISHED, RECEIPT_SKIPPED, RECEIPT_ERROR = "W", "F", "S", "E"
 
 # Configuration keys read per batch, with the type of their value.
 CONFIG_KEYS = {
@@ -36,7 +36,6 @@ CONFIG_KEYS = {
 }
 
 
-
 def flag_name(key: str) -> str:
     """Column name of a configuration key: without the prefix, separators as underscores."""
     return key.removeprefix("dps.").replace(".", "_").replace("-", "_")

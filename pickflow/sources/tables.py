@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pickflow.schemas import SCHEMAS
+from pickflow.schemas import KEY, SCHEMAS
 
 
 class Tables:
@@ -31,12 +31,17 @@ class Tables:
         return list(self._frames)
 
 
-def check_schema(name: str, df: DataFrame) -> DataFrame:
-    """Fail on load, not in the middle of a job, when a declared column is missing or has another type."""
+def check_schema(name: str, df: DataFrame, *, untyped: Collection[str] = ()) -> DataFrame:
+    """Fail on load, not in the middle of a job, when a declared column is missing or has another type.
+
+    Columns in ``untyped`` only have to be there: the type of a partition column is guessed from folder names.
+    """
     found = {f.name: f.dataType for f in df.schema.fields}
     for field in T.StructType.fromDDL(SCHEMAS[name]).fields:
         if field.name not in found:
             raise ValueError(f"table {name}: column {field.name} is missing")
+        if field.name in untyped:
+            continue
         if found[field.name] != field.dataType:
             raise ValueError(
                 f"table {name}: column {field.name} is {found[field.name].simpleString()}, "
@@ -53,8 +58,11 @@ def load_tables(spark: SparkSession, path: str, *, fmt: str = "parquet") -> Tabl
     """
 
     def reader(name: str) -> Callable[[Tables], DataFrame]:
-        return lambda _: check_schema(
-            name, spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{path}/{name}")
-        )
+        def read(_: Tables) -> DataFrame:
+            # The schema that is stored is checked; what is asked for then also gives the partition columns their types.
+            check_schema(name, spark.read.format(fmt).load(f"{path}/{name}"), untyped=KEY)
+            return spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{path}/{name}")
+
+        return read
 
     return Tables(**{name: reader(name) for name in SCHEMAS})

@@ -20,15 +20,16 @@ from pickflow.functions.columns import where
 from pickflow.operators.classify import classify_orders
 from pickflow.operators.inputs import box_arrivals
 from pickflow.operators.receive import receipt_items, receive_orders, receive_summary
-from pickflow.schemas import JOB_FINISHED, JOB_PICKING, KEY
+from pickflow.schemas import JOB_FINISHED, JOB_PICKING, KEY, ORDER_TYPED, ORDER_WAIT
 from pickflow.sources.sinks import overwrite_batches
 
 CONFIRM_OUTPUT = (
     "domain_id int, batch_id string, id string, picked_qty int, applied_qty int, status string,"
     " pick_started_at timestamp_ntz, pick_ended_at timestamp_ntz"
 )
-# Per job of a slot: pieces picked so far, first pick and filling pick in microseconds (-1 until full).
-CONFIRM_STATE = "job array<string>, applied array<bigint>, started array<bigint>, ended array<bigint>"
+# Per job of a slot: pieces picked so far, first pick and filling pick in microseconds (-1 until full), and what was to be
+# picked and had been picked when the job was first seen, so that a restart on an updated job table counts nothing twice.
+CONFIRM_STATE = "job array<string>, applied array<bigint>, started array<bigint>, ended array<bigint>, room array<bigint>, had array<bigint>"
 LATENESS = "30 days"
 SLOTS = 1024
 
@@ -41,25 +42,34 @@ def _slot_function(finished: str, picking: str) -> Callable[..., Iterator[pd.Dat
 
         Works on one Arrow batch of events after the other, so a job with very many events needs no more memory.
         """
-        old = dict(zip(("applied", "started", "ended"), state.get[1:])) if state.exists else {"applied": [], "started": [], "ended": []}
+        fields = ("applied", "started", "ended", "room", "had")
+        old = dict(zip(fields, state.get[1:])) if state.exists else {f: [] for f in fields}
         known = pd.DataFrame(old, index=pd.Index(state.get[0] if state.exists else [], dtype=object), dtype="int64")
         touched = []
         for events in batches:
             events = events.sort_values(["us", "event_id"], kind="stable")
             jobs = events.groupby("job", sort=False)
             plan = jobs.agg(domain_id=("domain_id", "first"), batch_id=("batch_id", "first"), id=("job_id", "first"), room=("room", "first"), had=("had", "first"), first=("us", "min"))
+            for field in ("room", "had"):
+                plan[field] = known[field].reindex(plan.index).fillna(plan[field]).astype("int64")
             before = known["applied"].reindex(plan.index, fill_value=0)
             reached = jobs["qty"].cumsum() + events["job"].map(before)
-            filling = events.loc[reached >= events["room"]].groupby("job")["us"].first().reindex(plan.index, fill_value=-1)
+            filling = events.loc[reached >= events["job"].map(plan["room"])].groupby("job")["us"].first().reindex(plan.index, fill_value=-1)
             total = (before + jobs["qty"].sum()).clip(upper=plan["room"])
             started = known["started"].reindex(plan.index)
             ended = known["ended"].reindex(plan.index, fill_value=-1)
             new = pd.DataFrame(
-                {"applied": total, "started": started.fillna(plan["first"]).clip(upper=plan["first"]), "ended": ended.where(ended >= 0, filling)}
+                {
+                    "applied": total,
+                    "started": started.fillna(plan["first"]).clip(upper=plan["first"]),
+                    "ended": ended.where(ended >= 0, filling),
+                    "room": plan["room"],
+                    "had": plan["had"],
+                }
             ).astype("int64")
             known = pd.concat([known.drop(index=plan.index, errors="ignore"), new])
-            touched.append(plan)
-        state.update(([*known.index], known["applied"].tolist(), known["started"].tolist(), known["ended"].tolist()))
+            touched.append(plan.drop(columns=["room", "had"]))
+        state.update(([*known.index], *[known[f].tolist() for f in fields]))
         plan = pd.concat(touched)
         plan = plan[~plan.index.duplicated()].join(known)
         yield pd.DataFrame(
@@ -138,10 +148,19 @@ def write_updates(df: DataFrame, path: str, checkpoint: str, *, mode: str = "upd
 
 
 def stream_box_arrival(scans: DataFrame, inputs: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """Inputs that start to run because their box arrived at the station (one row per scanned place)."""
+    """Inputs that start to run because their box arrived at the station (one row per scanned place).
+
+    An input that an earlier micro-batch has started does not start again.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        box_arrivals(inputs, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        found = box_arrivals(inputs, batch)
+        columns = found.columns
+        earlier = _stored(batch.sparkSession, path, T.StructType([*found.schema.fields, T.StructField("epoch", T.LongType())]))
+        if earlier is not None:
+            started = earlier.filter((F.col("epoch") < epoch) & (F.col("is_started") == 1)).select(*KEY, "id").distinct().withColumn("_was", F.lit(True))
+            found = found.join(started, [*KEY, "id"], "left").withColumn("is_started", F.when(F.col("_was"), 0).otherwise(F.col("is_started")))
+        found.select(*columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return _start(scans, write, checkpoint, "append", trigger)
 
@@ -150,7 +169,8 @@ def stream_receive(wms_rows: DataFrame, path: str, checkpoint: str, *, trigger:
     """Receive upstream rows as they arrive, and type the orders of every batch they touch.
 
     The table at ``path`` is partitioned by tenant and batch; a touched batch is read, typed again with its new
-    lines and put back, so an order whose lines come in several micro-batches gets the right type.
+    lines and put back, so an order whose lines come in several micro-batches gets the right type. Lines that are
+    past typing (instructed, assigned, picked) keep their type and status.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -159,10 +179,17 @@ def stream_receive(wms_rows: DataFrame, path: str, checkpoint: str, *, trigger:
         lines = new
         if stored is not None:
             touched = new.select(*KEY).distinct()
-            old = stored.join(touched, KEY, "left_semi").withColumn("order_type", F.lit(None).cast("string"))
+            old = stored.join(touched, KEY, "left_semi")
+            past = ~F.col("status").isin(ORDER_WAIT, ORDER_TYPED)
+            old = old.withColumns({"_kept_type": F.when(past, F.col("order_type")), "_kept_status": F.when(past, F.col("status"))})
+            old = old.withColumn("order_type", F.lit(None).cast("string"))
             line = ["domain_id", "order_no", "order_line_no", "com_cd", "sku_cd"]
-            lines = old.unionByName(new.join(old.select(*line), line, "left_anti"))
-        overwrite_batches(classify_orders(lines), path, f"{path}_staging")
+            fresh = new.join(old.select(*line), line, "left_anti").withColumns({"_kept_type": F.lit(None).cast("string"), "_kept_status": F.lit(None).cast("string")})
+            lines = old.unionByName(fresh)
+        typed = classify_orders(lines)
+        if stored is not None:
+            typed = typed.withColumns({"order_type": F.coalesce("_kept_type", "order_type"), "status": F.coalesce("_kept_status", "status")}).drop("_kept_type", "_kept_status")
+        overwrite_batches(typed, path, f"{path}_staging")
 
     return _start(wms_rows, write, checkpoint, "append", trigger)
 

@@ -35,14 +35,6 @@ def small(spark):
     return sample_tables(spark, SMALL)
 
 
-@pytest.fixture
-def tiny_groups(spark):
-    """Treat every group of more than three rows as too large for one task."""
-    spark.conf.set("spark.pickflow.window.maxGroupRows", "3")
-    yield
-    spark.conf.unset("spark.pickflow.window.maxGroupRows")
-
-
 def rows(df, *columns):
     """Rows as a sorted list of tuples."""
     return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=lambda r: [(v is None, str(v)) for v in r])

@@ -57,15 +57,12 @@ def _as_dict(df):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_allocate_equals_the_sequential_greedy(spark, hot):
+def test_allocate_equals_the_sequential_greedy(spark, hot, monkeypatch):
     rng = random.Random(7)
     cases = [_case(rng, d) for d in range(400)]
     if hot:
-        spark.conf.set("spark.pickflow.window.maxGroupRows", "2")
-    try:
-        got = _as_dict(al.allocate(*_frames(spark, cases)))
-    finally:
-        spark.conf.unset("spark.pickflow.window.maxGroupRows")
+        monkeypatch.setattr(al, "BLOCK", 2)
+    got = _as_dict(al.allocate(*_frames(spark, cases)))
     for domain, (_, _, _, lines, state) in enumerate(cases):
         assert got.get(domain, {}) == models.greedy(lines[0], state), domain
 

@@ -26,8 +26,7 @@ T0 = dt.datetime(2024, 1, 1)
 LINE = "id string, domain_id int, batch_id string, class_cd string, com_cd string, sku_cd string, order_type string, status string, equip_cd string, order_qty int"
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_confirm_pick_like_one_event_after_the_other(spark, split):
+def test_confirm_pick_like_one_event_after_the_other(spark):
     rng = random.Random(2)
     jobs = {f"J{i}": (rng.randint(1, 9), 0, rng.choice("PPPPFC")) for i in range(60)}
     events = [(T0 + dt.timedelta(minutes=rng.randint(0, 20)), f"E{n}", f"J{rng.randint(0, 65)}", rng.randint(-1, 5)) for n in range(300)]
@@ -37,11 +36,7 @@ def test_confirm_pick_like_one_event_after_the_other(spark, split):
         "domain_id int, batch_id string, id string, pick_qty int, picked_qty int, status string, pick_started_at timestamp_ntz",
     )
     edf = spark.createDataFrame([(1, "B", j, e, t, q) for t, e, j, q in events], "domain_id int, batch_id string, job_id string, event_id string, ts timestamp_ntz, qty int")
-    spark.conf.set("spark.pickflow.window.maxGroupRows", "2" if split else "1000")
-    try:
-        got = {r["id"]: (r["picked_qty"], r["status"], r["pick_started_at"], r["pick_ended_at"]) for r in pk.confirm_pick(jdf, edf).collect()}
-    finally:
-        spark.conf.unset("spark.pickflow.window.maxGroupRows")
+    got = {r["id"]: (r["picked_qty"], r["status"], r["pick_started_at"], r["pick_ended_at"]) for r in pk.confirm_pick(jdf, edf).collect()}
     assert got == {i: (j["picked"], j["status"], j["start"], j["end"]) for i, j in want.items() if j["start"]}
 
 

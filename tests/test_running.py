@@ -1,4 +1,4 @@
-"""Running totals: the plain window, the range split and the blocks give the numbers of a sequential loop."""
+"""Running totals: the range split and the blocks give the numbers of a sequential loop."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pickflow.functions.intervals import overlap_join
-from pickflow.functions.running import block_totals, largest_group, row_numbers, running_totals
+from pickflow.functions.running import block_totals, row_numbers, running_totals
 
 
 def _data(seed: int):
@@ -33,29 +33,18 @@ def _expected(data):
     return sorted(out, key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_running_totals(spark, split):
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_running_totals(spark, partitions):
     data = _data(1)
-    spark.conf.set("spark.pickflow.window.maxGroupRows", "3" if split else "1000")
-    try:
-        df = spark.createDataFrame(data, "k string, o int, id int, v int").repartition(5)
-        got = running_totals(df, ["k"], [F.col("o").asc(), F.col("id").asc()], {"s": F.col("v"), "n": 1})
-        assert rows(got) == _expected(data)
-    finally:
-        spark.conf.unset("spark.pickflow.window.maxGroupRows")
+    df = spark.createDataFrame(data, "k string, o int, id int, v int").repartition(partitions)
+    got = running_totals(df, ["k"], [F.col("o").asc(), F.col("id").asc()], {"s": F.col("v"), "n": 1})
+    assert rows(got) == _expected(data)
 
 
-def test_bound_decides_without_counting_the_input(spark):
+def test_row_numbers(spark):
     df = spark.createDataFrame([("x", i) for i in range(10)], "k string, o int")
-    empty_bound = df.filter("false")
-    got = row_numbers(df, ["k"], [F.col("o").desc()], bound=empty_bound)
-    assert rows(got, "o", "rn") == sorted([(i, 10 - i) for i in range(10)], key=str)
-
-
-def test_largest_group(spark):
-    df = spark.createDataFrame([("x",), ("x",), ("y",)], "k string")
-    assert largest_group(df, ["k"]) == 2
-    assert largest_group(df.filter("false"), ["k"]) == 0
+    assert rows(row_numbers(df, ["k"], [F.col("o").desc()]), "o", "rn") == sorted([(i, 10 - i) for i in range(10)], key=str)
+    assert rows(row_numbers(df.filter("false"), ["k"], [F.col("o").desc()])) == []
 
 
 def test_block_totals(spark):

@@ -91,3 +91,44 @@ def test_stream_equals_batch_on_the_sample(spark, small):
     batch = confirm_pick(small.picking_jobs_at_start, small.pick_events)
     assert rows(streamed, *columns) == rows(batch, *columns)
     assert batch.filter(F.col("status") == "F").count() > 0
+
+
+def test_confirm_pick_restarts_on_an_updated_job_table(spark, tmp_path):
+    def table(picked):
+        return spark.createDataFrame([(1, "B", "J", 10, picked, "P")], "domain_id int, batch_id string, id string, pick_qty int, picked_qty int, status string")
+
+    def run(part, picked, n):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        st.write_updates(st.stream_confirm_pick(stream, table(picked), slots=2), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        return st.latest_rows(spark.read.parquet(f"{tmp_path}/out"), ["domain_id", "batch_id", "id"]).first()["picked_qty"]
+
+    assert run([("a", 1, "B", "J", T0, 3)], 0, 1) == 3
+    assert run([("b", 1, "B", "J", T0 + dt.timedelta(minutes=1), 2)], 3, 2) == 5
+    assert run([("c", 1, "B", "J", T0 + dt.timedelta(minutes=2), 9)], 5, 3) == 10
+
+
+def test_a_box_starts_once(spark, tmp_path):
+    inputs = spark.createDataFrame([("I1", 1, "B", "Rack", "R1", "S1", "O1", "X", 1, "W")], "id string, domain_id int, batch_id string, equip_type string, equip_cd string, station_cd string, order_no string, box_id string, input_seq bigint, status string")
+    scan = "domain_id int, batch_id string, equip_type string, equip_cd string, station_cd string, box_id string"
+    stream = _stream(spark, str(tmp_path), scan, [[(1, "B", "Rack", "R1", "S1", "X")]] * 3)
+    st.stream_box_arrival(stream, inputs, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "epoch", "is_started") == [(0, 1), (1, 0), (2, 0)]
+
+
+def test_a_late_line_leaves_assigned_lines_as_they_are(spark, tmp_path, small):
+    schema = small.wms_if_orders.schema
+    line = small.wms_if_orders.filter("if_flag = 'N'").limit(1).collect()[0].asDict()
+
+    def run(n, no):
+        spark.createDataFrame([{**line, "order_line_no": no, "sku_cd": f"SKU{no}"}], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        st.stream_receive(stream, f"{tmp_path}/orders", f"{tmp_path}/cp").awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/orders")
+
+    first = run(1, "1")
+    assert rows(first, "order_line_no", "order_type", "status") == [("1", "OT", "T")]
+    from pickflow.sources.sinks import overwrite_batches
+
+    overwrite_batches(first.withColumn("status", F.lit("A")), f"{tmp_path}/orders", f"{tmp_path}/staging2")
+    assert rows(run(2, "2"), "order_line_no", "order_type", "status") == [("1", "OT", "A"), ("2", "MT", "T")]
