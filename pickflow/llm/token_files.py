@@ -7,8 +7,10 @@ pages are small enough that a reader of one document or of the counts alone touc
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pickflow.llm.common import scratch, small_side
+from pickflow.llm.wordhash import in_pieces
 
 #: Ids are coded by a dictionary (tokens, counts repeat) or by deltas (doc_id and offset ascend); pages carry an index.
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(128 << 10),
@@ -30,80 +34,157 @@ LAYOUT = {
     "parquet.enable.dictionary#offset": "false",
 }
 FILE_SCHEMA = "doc_id bigint, offset bigint, n_tokens bigint, tokens array<int>"
-#: Most chunks that a task remembers, and the tokens of one batch that is handed on.
-CACHE, BATCH = 400_000, 4_000_000
+#: Most chunks that a worker remembers, and the bytes of text it encodes at a time.
+CACHE, BATCH = 800_000, 2 << 20
+
+
+#: How byte-level tokenizers write bytes as characters; those that print stand for themselves.
+_SHOWN = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class ChunkEncoder:
     """Encodes a text by its blank-separated chunks and remembers the ids of each chunk.
 
     The byte-level pre-tokenizer always splits before a single blank between two other characters that are no white
-    space, so such chunks can be encoded apart. A text with any other blank is encoded whole.
+    space, so such chunks can be encoded apart. A text with any other blank is encoded whole. New chunks are encoded many
+    at a time, with line feeds between them, which become ids of their own there.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for runs of letters, which are one piece each: no search for pieces, bytes mapped beforehand
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = WhitespaceSplit()
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens of letters only are not told from words")
+        self.special = re.compile("|".join(added) or "(?!)").search
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = np.array([self.line], "<u4").tobytes()
+        self.known: dict[str, bytes | None] = {}  # chunks after a blank
+        self.bare: dict[str, bytes | None] = {}  # pieces after a line feed
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lettered(self, known: dict[str, bytes | None], words: list[str], lead: str) -> None:
+        """Remember the ids of words of Latin letters only, after a blank (``lead``) or not, many encoded at a time."""
+        lead, gap = lead.replace(" ", _BYTES[0x20]), f" {_BYTES[0x0A]} "
+        mapped = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)) for w in words]
+        runs = range(0, len(words), 500)
+        for i, e in zip(runs, self.letters.encode_batch_fast([gap.join(mapped[i : i + 500]) for i in runs], add_special_tokens=False), strict=True):
+            self._cut(known, words[i : i + 500], e.ids)
+
+    def _cut(self, known: dict[str, bytes | None], run: list[str], ids: list[int]) -> None:
+        coded = np.array(ids, "<u4")
+        cut, raw, at = (4 * np.flatnonzero(coded == self.line)).tolist(), coded.tobytes(), 0
+        for c, upto in zip(run, [*cut, len(raw)], strict=True):
+            known[c] = raw[at:upto]
+            at = upto + 4
+
+    def _joined(self, known: dict[str, bytes | None], pieces: list[str], lead: str) -> None:
+        """Remember the ids of pieces without a line feed, many encoded at a time with line feeds between."""
+        words, rest = [], []
+        for c in pieces:
+            (words if c.isalpha() and (c.isascii() or max(c) < "\u0250") else rest).append(c)
+        self._lettered(known, words, lead)
+        pieces = rest
+        runs = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["\n".join([lead + c for c in run]) for run in runs], add_special_tokens=False), strict=True):
+            self._cut(known, run, e.ids)
+
+    def _learn(self, new: Iterable[str]) -> None:
+        """Remember the ids of each chunk with a blank before it; None for a chunk that may not be encoded apart."""
+        plain, alone, marked, lines, known, special, marks = {}, [], [], [], self.known, self.special, self.marks
+        for c in new:
+            if c.isalpha():
+                plain[c] = None
+            elif c[-1:] in marks and c[:-1].isalpha():  # letters and one mark are never one piece
+                marked.append(c)
+                if c[:-1] not in known:
+                    plain[c[:-1]] = None
+            elif not c or c[0].isspace() or c[-1].isspace():
+                known[c] = None
+            elif special(c):
+                alone.append(c)
+            elif "\n" in c:
+                parts = c.split("\n")
+                if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+                    lines.append((c, parts))
+                else:
+                    alone.append(c)
+            else:
+                plain[c] = None
+        known.update(zip(alone, self._ids([" " + c for c in alone]), strict=True))
+        self._joined(known, list(plain), " ")
+        for c in marked:
+            known[c] = known[c[:-1]] + marks[c[-1]]
+        if lines:  # a single line feed between other characters is a piece of its own
+            self._learn({p[0] for _, p in lines}.difference(known))
+            self._joined(self.bare, list({x for _, p in lines for x in p[1:]}.difference(self.bare)), "")
+            for c, (head, *rest) in lines:
+                known[c] = b"".join([known[head], *[y for x in rest for y in (self.feed, self.bare[x])]])
+
+    def _forget(self, known: dict) -> dict:
+        """What was learned first, which is what is frequent."""
+        return dict(itertools.islice(known.items(), CACHE // 2)) if len(known) > CACHE else known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            head, *tail = text.split(" ")
-            chunks = [head, *[" " + c for c in tail]] if head or not tail else None
-            if chunks is not None and tail:
-                fresh = [c for c in dict.fromkeys(chunks) if c not in self.known and c not in new]
-                if any(self._unclean(c) for c in fresh) or (head != head.strip()):
-                    chunks = None
-                else:
-                    new.update(dict.fromkeys(fresh))
-            elif chunks is not None:
-                chunks = None if text else []
-            split.append(chunks)
-        fresh = list(new)
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, split, strict=True) if c is None]))
-        known = self.known
-        return [(b"".join([known[c] for c in chunks]) if chunks is not None else next(whole)) + self.end for chunks in split]
-
-    @staticmethod
-    def _unclean(chunk: str) -> bool:
-        body = chunk[1:] if chunk[0] == " " else chunk
-        return not body or body[0].isspace() or body[-1].isspace()
+        self.known, self.bare = self._forget(self.known), self._forget(self.bare)
+        split = [text.split(" ") for text in texts]
+        self._learn(set().union(*split).difference(self.known))
+        out: list[bytes | None] = []
+        heads: dict[str, None] = {}
+        for chunks in split:
+            coded = list(map(self.known.__getitem__, chunks[1:]))
+            head = chunks[0]
+            if None in coded or (len(chunks) > 1 and (not head or head[-1].isspace())):
+                out.append(None)
+            else:
+                heads[head] = None
+                out.append(b"".join(coded))
+        first = dict(zip(heads, self._ids(list(heads)), strict=True))
+        whole = iter(self._ids([t for t, c in zip(texts, out, strict=True) if c is None]))
+        return [(first[chunks[0]] + coded if coded is not None else next(whole)) + self.end for chunks, coded in zip(split, out, strict=True)]
+
+
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = ChunkEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset = ChunkEncoder(path, end_id), 0
+        encoder, offset = _encoder(path, end_id), 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < BATCH):
-                    size += len(texts[upto].as_buffer())
-                    upto += 1
-                coded = encoder.encode(texts.slice(at, upto - at).to_pylist())
+            for piece in in_pieces(batch, 1, BATCH):
+                coded = encoder.encode(piece.column(1).to_pylist())
                 counts = np.array([len(c) // 4 for c in coded], np.int64)
                 ends = np.cumsum(counts)
                 tokens = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, upto - at), pa.array(offset + ends - counts), pa.array(counts), tokens],
+                    [piece.column(0), pa.array(offset + ends - counts), pa.array(counts), tokens],
                     names=["doc_id", "offset", "n_tokens", "tokens"],
                 )
                 offset += int(ends[-1])
-                at = upto
 
     return run
 

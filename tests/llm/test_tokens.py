@@ -26,7 +26,7 @@ def test_whole_table(spark, sf):
 
 TEXTS = [
     "", None, " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\nx y\n z", "tab\tx y", "don't we'll I'M", "a\u00a0b c", "a \u00a0 b", "\x1c a \x1d b", "x\u3000 y",
-    "1 22 333,4", "ciónñ 日本 語", "end\n", "<|endoftext|> x <|endoftext|>", "a" * 5000 + " b" * 3000, "\u2028 a", "é e\u0301 x", "a\x00b c", "🙂 🙂x",
+    "1 22 333,4", "ciónñ 日本 語 àâÿ Ñandú žluťoučký ɐbc ǅ ªº", "end\n", "p\nq r.\ns t\n\nu v\n w x\n.y a\tb\nc d\n<|endoftext|> e <|endoftext|>\nf it\n's x.\n, y", "<|endoftext|> x <|endoftext|>", "a" * 5000 + " b" * 3000, "\u2028 a", "é e\u0301 x", "a\x00b c", "🙂 🙂x",
 ]
 
 
