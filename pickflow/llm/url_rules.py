@@ -148,7 +148,7 @@ def judge_urls(
         labelled = split.join(labels.select("page_id", "label"), "page_id").select(F.col("_tokens").alias("tokens"), "label")
     mined = mine_rules(labelled, min_support, min_confidence)
     open_sets = split.where("_stated is null").groupBy("_tokens").count().select("_tokens")
-    best = match_rules(open_sets, mined)
+    best = small_side(stored(match_rules(open_sets, mined), "url-verdicts"))
     ruled = split.where("_stated is not null").select("page_id", "host", "path", "_stated", F.lit(None).cast("string").alias("mined_label"), F.lit(None).cast("double").alias("confidence"))
     rest = (
         split.where("_stated is null")
