@@ -19,8 +19,8 @@ from pickflow.llm.wordhash import as_bytes, in_pieces, mixed, words
 
 #: Words of a passage.
 PASSAGE = 48
-#: Most labelled documents that are learned from, and the bytes of all their texts that the driver gets as features at most.
-TRAIN_DOCS = 6_000
+#: Most labelled documents that are learned from, and the longest text (bytes) among them: the driver gets their features.
+TRAIN_DOCS, TRAIN_BYTES = 6_000, 200_000
 HIDDEN, GATE, EPOCHS, RATE = 32, 16, 40, 3e-3
 
 _CLASS = np.full(256, 9, np.int64)  # other marks
@@ -162,19 +162,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """A model from at most ``most`` labelled documents of ``docs``, the first by a hash of their ids.
+    """A model from at most ``most`` labelled documents of ``docs`` up to ``TRAIN_BYTES``, the first by a hash of their ids.
 
     ``labels`` (``doc_id``, ``quality``): null labels are ignored, repeated ones averaged. Held-out ids are never used.
     Without documents of both labels the model scores every text alike: 0 if all labels are 0, else 1.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
-    ids = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    ids = short.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = ids.collect()
     if not found or len({r["_y"] for r in found}) < 2:
         return Model(constant=found[0]["_y"] if found else 1.0)
     chosen = docs.sparkSession.createDataFrame(found, ids.schema)
     rows: list[Row] = (
-        docs.select("doc_id", "text")
+        short.select("doc_id", "text")
         .join(small_side(chosen), "doc_id")
         .select("doc_id", "text", "_y")
         .mapInArrow(_features, "doc_id bigint, x binary, y double")
