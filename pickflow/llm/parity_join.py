@@ -7,7 +7,8 @@ is the same for all sets, as the largest D of its size needs; pairs that meet ar
 token flipped, bounds D from below and drops pairs before the exact comparison.
 
 Equal sets are joined once. Parts that many sets share, as common passages do, come last in the order. A key that still
-has many sets is reduced to its smallest id before the shuffle; pairs with that id are verified first. Only where a key still spans several components are its other pairs looked at, in blocks.
+has many sets is reduced to its smallest id before the shuffle; pairs with that id are verified first. Where a key still spans several components, nearest pairs are verified round by round, and in the
+end all pairs between components, in blocks.
 """
 
 from __future__ import annotations
@@ -35,9 +36,24 @@ BLOCK, BUCKET_KEYS = 1000, 1_500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
+def sketch(tokens: np.ndarray, bits: int = BITS) -> bytes:
     """Each token flips one bit. The Hamming distance of two sketches is at most the symmetric difference of the sets."""
-    return np.packbits(np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """A sketch that grows with the set, for sets beyond the first band, where ``BITS`` bits are about half ones."""
+    bits, n = BITS, FIRST
+    while len(tokens) > n:
+        bits, n = 4 * bits, 4 * n
+    return sketch(tokens, bits) if bits > BITS else None
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """Hamming distance of two sketches, the longer one folded to the bits of the shorter."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (one, other))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, min(len(a), len(b))), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def largest_difference(n: int, m: int) -> int:
@@ -84,7 +100,7 @@ def part_keys(tokens: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate(out)
 
 
-PROFILE = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary, keys array<bigint>, seen array<bigint>"
+PROFILE = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary, wide binary, keys array<bigint>, seen array<bigint>"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +108,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = pa.list_(pa.int64())
     for batch in batches:
         for piece in in_pieces(batch, 1):
-            n, hi, lo, sk, parts = [], [], [], [], [np.zeros(0, np.uint64)]
+            n, hi, lo, sk, wide, parts = [], [], [], [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets(piece.column(1)):
                 n.append(len(s))
                 hi.append(np.bitwise_xor.reduce(s).astype(np.int64) if len(s) else 0)
                 lo.append(mixed(s + _SEED).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                 sk.append(sketch(s))
+                wide.append(wide_sketch(s))
                 if len(s):
                     parts += [digest for digest, _ in dealings(s)]
             keys, seen = np.unique(np.concatenate(parts), return_counts=True)
@@ -109,6 +126,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([*hi, None], pa.int64()),
                 pa.array([*lo, None], pa.int64()),
                 pa.array([*sk, None], pa.binary()),
+                pa.array([*wide, None], pa.binary()),
                 pa.array([*none, keys[often].astype(np.int64)], lists),
                 pa.array([*none, seen[often]], lists),
             )
@@ -171,7 +189,10 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (3, 5))
         near = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (n + m) // 7
-        keep = pa.array(near & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+        near &= 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        for i in np.flatnonzero(near & (np.minimum(n, m) > FIRST)).tolist():
+            near[i] = apart(batch.column(6)[i].as_py(), batch.column(7)[i].as_py()) <= (n[i] + m[i]) // 7
+        keep = pa.array(near)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
@@ -193,40 +214,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, id, block, component, n, sketch), sorted by the first three: the near pairs between blocks i and j."""
-    held: pa.Table | None = None
-
-    def pairs(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
-        key = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-        cut = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])) if t.num_rows else np.zeros(0, np.int64)
-        ends = [*cut[1:].tolist(), t.num_rows]
-        ids, block, comp, n = (t[c].to_numpy() for c in ("id", "block", "component", "n"))
-        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in list(zip(cut.tolist(), ends, strict=True))[: None if last else -1]:
-            i, j = key[1, a], key[2, a]
-            rows = np.arange(a, b)
-            left, right = (rows[block[a:b] == i], rows[block[a:b] == j]) if i != j else (rows, rows)
-            for at in range(0, len(left), 64):
-                x, y = left[at : at + 64, None], right[None, :]
-                ok = (ids[x] < ids[y]) if i == j else ids[x] != ids[y]
-                ok &= (comp[x] != comp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
-                p, q = np.nonzero(ok)
-                p, q = left[at + p], right[q]
-                near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= (n[p] + n[q]) // 7
-                one, two = ids[p[near]], ids[q[near]]
-                found.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
-        out = np.unique(np.concatenate(found), axis=0)
-        left_over = None if last or not len(cut) else t.slice(int(cut[-1]))
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"]), left_over
+def _nearest(ids: np.ndarray, p: np.ndarray, q: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of near pairs, for each of both its nearest partner; ties: the smallest id."""
+    a, b, d = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([distance, distance])
+    order = np.lexsort((ids[b], d, a))
+    a, b = a[order], b[order]
+    first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+    return a[first], b[first]
+
+
+def _block_pairs(t: pa.Table, cuts: list[tuple[int, int]], nearest: bool) -> np.ndarray:
+    """Pairs of ids, each once, from groups of rows: different components, sizes and sketches that allow a link."""
+    ids, block, comp, n, i, j = (t[c].to_numpy() for c in ("id", "block", "component", "n", "i", "j"))
+    bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    found = [np.zeros((0, 2), np.int64)]
+    for a, b in cuts:
+        rows = np.arange(a, b)
+        left, right = (rows[block[a:b] == i[a]], rows[block[a:b] == j[a]]) if i[a] != j[a] else (rows, rows)
+        parts = []
+        for at in range(0, len(left), 64):
+            x, y = left[at : at + 64, None], right[None, :]
+            ok = (ids[x] < ids[y]) if i[a] == j[a] else ids[x] != ids[y]
+            ok &= (comp[x] != comp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+            p, q = np.nonzero(ok)
+            p, q = left[at + p], right[q]
+            distance = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+            near = distance <= (n[p] + n[q]) // 7
+            parts.append((p[near], q[near], distance[near]))
+        p, q, distance = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+        if nearest:
+            p, q = _nearest(ids, p, q, distance)
+        one, two = ids[p], ids[q]
+        found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _blocks(nearest: bool):
+    """Rows (key, i, j, id, block, component, n, sketch), sorted by the first three: near pairs between blocks i and j."""
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        out, held = pairs(t if held is None else pa.concat_tables([held, t]).combine_chunks(), last=False)
-        yield out
-    if held is not None:
-        yield pairs(held, last=True)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            key = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
+            cut = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])).tolist() if t.num_rows else []
+            cuts = list(zip(cut, [*cut[1:], t.num_rows], strict=True))
+            out = _block_pairs(t, cuts if last else cuts[:-1], nearest)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"]), None if last or not cut else t.slice(cut[-1])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            out, held = done(t if held is None else pa.concat_tables([held, t]).combine_chunks(), last=False)
+            yield out
+        if held is not None:
+            yield done(held, last=True)[0]
+
+    return run
 
 
 class ParityJoin:
@@ -248,7 +291,7 @@ class ParityJoin:
         others = self.copies.select("doc_id").distinct().join(reps, "doc_id", "left_anti")
         self.distinct = self.rows.where("doc_id is not null and text is not null").join(small_side(others), "doc_id", "left_anti")
         # one row per id; rows that share an id are one node, whose size is that of any of its sets
-        self.sizes = some.join(self.classes.select("n", "hi", "lo", F.col("rep").alias("doc_id")), ["n", "hi", "lo", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch")
+        self.sizes = some.join(self.classes.select("n", "hi", "lo", F.col("rep").alias("doc_id")), ["n", "hi", "lo", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "wide")
 
     def met(self) -> DataFrame:
         """(key, u, v): u the smallest id seen with the key, v another one."""
@@ -262,8 +305,8 @@ class ParityJoin:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and sketches allow a link."""
-        a, b = (self.sizes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s")) for c in ("u", "v"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "u_n", "u_s", "v_n", "v_s").mapInArrow(_bound, "u bigint, v bigint")
+        a, b = (self.sizes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"), F.col("wide").alias(f"{c}_w")) for c in ("u", "v"))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "u_n", "u_s", "v_n", "v_s", "u_w", "v_w").mapInArrow(_bound, "u bigint, v bigint")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of texts that are similar, by their whole sets."""
@@ -277,9 +320,8 @@ class ParityJoin:
         )
         return stored(both.mapInArrow(_verify, "u bigint, v bigint").distinct(), name)
 
-    def across(self, met: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of a key, other than with its smallest id, that lie in different components and may be similar."""
-        entries = met.select("key", F.explode(F.array("u", "v")).alias("id")).distinct()
+    def across(self, entries: DataFrame, parts: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of a key that lie in different components and may be similar: all, or for each id and block the nearest."""
         placed = entries.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_keys = placed.groupBy("key").agg(F.count("*").alias("g"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b and g > 2")
         blocks = F.ceil(F.col("g") / BLOCK).cast("int")
@@ -290,7 +332,7 @@ class ParityJoin:
             .select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "id", "block", "component")
         )
         full = dealt.join(self.sizes, "id").select("key", "i", "j", "id", "block", "component", "n", "sketch")
-        return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "u bigint, v bigint").distinct()
+        return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(nearest), "u bigint, v bigint").distinct()
 
     def components(self) -> DataFrame:
         """(id, component) of all smallest ids of equal sets that are linked with another."""
@@ -299,8 +341,19 @@ class ParityJoin:
         links = self.copies.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
         links = stored(links.unionAll(self.linked(self.near(met.select("u", "v").distinct()), "pairs")), "links")
         parts = stored(components(links), "parts")
-        last = self.linked(self.across(met, parts), "across")
-        return components(links.unionAll(last)) if last.limit(1).count() else parts
+        # Near copies join their nearest first, round by round as long as components meet; each round at least halves those
+        # that do. What is left are pairs between components of which no nearest one is a link: these are all looked at.
+        entries = stored(met.select("key", F.explode(F.array("u", "v")).alias("id")).distinct(), "entries")
+        for nearest in (True, False):
+            while True:
+                pairs = stored(self.near(self.across(entries, parts, nearest)), "across")
+                if not pairs.limit(1).count() or not (more := self.linked(pairs, "across")).limit(1).count():
+                    break
+                links = stored(links.unionAll(more), "links")
+                parts = stored(components(links), "parts")
+                if not nearest:
+                    break
+        return parts
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:

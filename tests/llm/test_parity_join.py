@@ -86,6 +86,14 @@ def test_parts_are_pigeonholes():
                 assert len(np.intersect1d(parity_join.part_keys(a), parity_join.part_keys(b)))
                 x, y = (np.frombuffer(parity_join.sketch(s), np.uint8) for s in (a, b))
                 assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * i
+                if min(len(a), len(b)) > parity_join.FIRST:
+                    assert parity_join.apart(parity_join.wide_sketch(a), parity_join.wide_sketch(b)) <= len(a) + len(b) - 2 * i
+
+
+def test_wide_sketches_fold():
+    a, b = (np.unique(np.random.default_rng(s).integers(0, 1 << 63, n, dtype=np.uint64)) for s, n in ((1, 1500), (2, 7000)))
+    assert parity_join.wide_sketch(a) is None and len(parity_join.wide_sketch(b)) == 16 * parity_join.BITS // 8
+    assert parity_join.apart(parity_join.sketch(a), parity_join.sketch(b)) == parity_join.apart(parity_join.sketch(a), parity_join.wide_sketch(b))
 
 
 def test_few_parts_go_on_to_another_dealing(monkeypatch):
