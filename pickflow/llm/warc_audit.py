@@ -1,6 +1,7 @@
 """Fixity of web archives: Merkle trees over WARC records, compared between replicas.
 
-An archive is a folder of WARC files, each written by Spark with the records of one group of pages. A manifest says where
+An archive is a folder of gzipped WARC files, each written by Spark with the records of one group of pages; what is said
+of bytes is said of the unzipped file. A manifest says where
 each record begins and how long it is. Records are hashed, and the hashes with their byte ranges, in order and ``FAN`` at a
 time, are hashed into a tree per file. Replicas are compared at the roots; only below a mismatch are the children compared,
 down to the records. A tree is a few arrays in the row of its file, so nothing but one row per file is joined. DataFrame
@@ -37,31 +38,42 @@ def record(page_id: str = "page_id", url: str = "url", payload: str = "html", da
 
 
 def to_records(pages: DataFrame, most: int = RECORDS) -> DataFrame:
-    """page_id, file, place, record: pages dealt to files by ranges of ids, at most ``most`` records each.
+    """page_id, file, place, length, record: pages dealt to files by ranges of ids, at most ``most`` records each.
 
-    Pages are ordered by id, url and content; ranges with more pages than ids (repeated ids, null ids, which form a range
-    of their own) go on in further files.
+    Pages are ordered by id and a hash of the record; ranges with more pages than ids (repeated ids, null ids, which form a
+    range of their own) go on in further files. Records of a file lie in one partition.
     """
-    rows = pages.select("page_id", record().alias("record")).withColumn("_range", F.coalesce(F.floor(F.col("page_id") / most), F.lit(-1)).cast("long"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy("page_id", "record")) - 1
+    rows = pages.select("page_id", record().alias("record")).select(
+        "*",
+        F.coalesce(F.floor(F.col("page_id") / most), F.lit(-1)).cast("long").alias("_range"),
+        F.md5(F.concat("record", F.lit("\n"))).alias("_tie"),
+        (F.octet_length("record") + 1).cast("long").alias("length"),
+    )
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("page_id", "_tie")) - 1
     return rows.withColumn("_n", number).select(
         "page_id",
         F.concat(F.lit("w"), F.col("_range").cast("string"), F.lit("-"), F.floor(F.col("_n") / most).cast("string")).alias("file"),
         (F.col("_n") % most).cast("int").alias("place"),
+        "length",
         "record",
     )
 
 
 def manifest(records: DataFrame) -> DataFrame:
     """page_id, file, place, offset, length of every record."""
-    length = (F.octet_length("record") + 1).cast("long")
     upto = F.sum("length").over(Window.partitionBy("file").orderBy("place"))
-    return records.select("page_id", "file", "place", length.alias("length")).select("page_id", "file", "place", (upto - F.col("length")).alias("offset"), "length")
+    return records.select("page_id", "file", "place", (upto - F.col("length")).alias("offset"), "length")
 
 
 def write_archive(records: DataFrame, path: str) -> None:
-    """Write WARC files under ``path``, a folder for each ``file``; every record ends with the blank line the format asks for."""
-    records.repartition("file").sortWithinPartitions("file", "place").select("file", "record").write.option("lineSep", "\n").partitionBy("file").text(path)
+    """Write gzipped WARC files under ``path``, a folder for each ``file``; every record ends with the blank line the format asks for.
+
+    With a column ``archive`` several archives are written in one go, each under its own folder. The records of a file must
+    lie in one partition, as those of ``to_records`` do.
+    """
+    folders = [c for c in ("archive", "file") if c in records.columns]
+    rows = records.sortWithinPartitions(*folders, "place").select(*folders, "record")
+    rows.write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").partitionBy(*folders).text(path)
 
 
 def _depth(most: int) -> int:
@@ -88,11 +100,14 @@ def trees(spark: SparkSession, path: str, ranges: DataFrame, most: int = RECORDS
     A node is the hash of its children's hashes, each with the bytes it covers; beyond the end of a file bytes are empty.
     A file that the archive lacks has a tree over nothing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select(F.col("file").cast("string").alias("file"), "content")
-    rows = ranges.join(files, "file", "left").select(
+    files = spark.read.text(path, wholetext=True).select(F.col("file").cast("string").alias("file"), F.col("value").cast("binary").alias("content"))
+    missing = ranges.join(files.select("file"), "file", "left_anti").withColumn("content", F.lit(b""))
+    cut = lambda c: F.transform("ranges", lambda r: F.sha2(F.substring(c, (r["offset"] + 1).cast("int"), r["length"].cast("int")), 256))
+    rows = ranges.join(files, "file").unionByName(missing).select(
         "file",
         "ranges",
-        F.transform("ranges", lambda r: F.sha2(F.coalesce(F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int")), F.lit(b"")), 256)).alias("l0"),
+        # as an element of an array the content is one object; as a column it would be copied for every record
+        F.get(F.transform(F.array("content"), cut), F.lit(0)).alias("l0"),
         F.transform("ranges", lambda r: F.struct(r["offset"].alias("b"), (r["offset"] + r["length"]).alias("e"))).alias("_r"),
     )
     for level in range(_depth(most)):
@@ -135,7 +150,7 @@ def audit(listed: DataFrame, primary: str, replica: str, most: int = RECORDS) ->
     return listed.join(found, ["file", "place"]).select("page_id", "file", "offset", "length", "record_sha256", "intact")
 
 
-#: Pages that the audit query damages in the replica: of 97 ids one, and the last record of a file otherwise intact.
+#: Pages that the audit query damages in the replica.
 DAMAGE = "page_id % 97 = 5"
 
 
@@ -148,11 +163,11 @@ def audit_of_pages(pages: DataFrame, damage: str = DAMAGE) -> DataFrame:
     records = to_records(pages)
     if pages.limit(1).count() == 0:
         return records.select("page_id", "file", F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.col("record").alias("record_sha256"), F.lit(True).alias("intact"))
-    primary, replica = scratch(spark, "warc"), scratch(spark, "warc")
-    write_archive(records, primary)
-    bad = F.coalesce(F.expr(damage), F.lit(False))
-    write_archive(records.withColumn("record", F.when(bad, F.translate("record", "e", "f")).otherwise(F.col("record"))), replica)
-    return audit(stored(manifest(records), "manifest"), primary, replica)
+    path = scratch(spark, "warc")
+    broken = F.when(F.coalesce(F.expr(damage), F.lit(False)), F.translate("record", "e", "f")).otherwise(F.col("record"))
+    both = F.array(F.struct(F.lit("primary").alias("archive"), "record"), F.struct(F.lit("replica").alias("archive"), broken.alias("record")))
+    write_archive(records.select("file", "place", F.inline(both)), path)
+    return audit(stored(manifest(records), "manifest"), f"{path}/archive=primary", f"{path}/archive=replica")
 
 
 AUDIT_SQL = r"""
@@ -164,7 +179,7 @@ t AS (
   SELECT page_id, rng, concat('WARC/1.1', e, 'WARC-Type: resource', e, 'WARC-Record-ID: <urn:page:', page_id, '>', e, 'WARC-Date: 2026-01-01T00:00:00Z', e,
          'WARC-Target-URI: ', target, e, 'Content-Type: text/html; charset=utf-8', e, 'Content-Length: ', strlen(body), e, e, body, e, e) AS rec
   FROM r, (SELECT chr(13) || chr(10) AS e)),
-n AS (SELECT *, row_number() OVER (PARTITION BY rng ORDER BY page_id, rec) - 1 AS k FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY rng ORDER BY page_id, md5(rec)) - 1 AS k FROM t),
 f AS (SELECT *, concat('w', rng, '-', k // 1000) AS file FROM n)
 SELECT page_id, file, CAST(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY k) - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length,
        sha256(rec) AS record_sha256, NOT coalesce(page_id % 97 = 5, false) AS intact
