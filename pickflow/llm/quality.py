@@ -21,6 +21,8 @@ from pickflow.llm.wordhash import as_bytes, in_pieces, mixed, words
 PASSAGE = 48
 #: Most labelled documents that are learned from, and the longest text (bytes) among them: the driver gets their features.
 TRAIN_DOCS, TRAIN_BYTES = 6_000, 200_000
+#: Bytes of text that are encoded at a time; a task needs some fifty times as much memory for it.
+PIECE = 1 << 20
 HIDDEN, GATE, EPOCHS, RATE = 32, 16, 40, 3e-3
 
 _CLASS = np.full(256, 9, np.int64)  # other marks
@@ -155,7 +157,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in in_pieces(batch, 1):
+        for piece in in_pieces(batch, 1, PIECE):
             x, first = passages(piece.column(1))
             blobs = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(blobs, pa.binary()), piece.column(2)], names=["doc_id", "x", "y"])
@@ -188,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
 
 def _scores(model: Model, batch: pa.RecordBatch, column: int) -> np.ndarray:
-    parts = [model.scores(*passages(piece.column(column))) for piece in in_pieces(batch, column)]
+    parts = [model.scores(*passages(piece.column(column))) for piece in in_pieces(batch, column, PIECE)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

@@ -35,7 +35,7 @@ LAYOUT = {
 }
 FILE_SCHEMA = "doc_id bigint, offset bigint, n_tokens bigint, tokens array<int>"
 #: Most chunks that a worker remembers, and the bytes of text it encodes at a time.
-CACHE, BATCH = 800_000, 2 << 20
+CACHE, BATCH = 100_000, 1 << 20
 
 
 #: How byte-level tokenizers write bytes as characters; those that print stand for themselves.

@@ -104,7 +104,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
         yield np.unique(shingles(hashes[a:b], width))
 
 
-def in_pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` cut into runs of rows whose texts have about ``most`` bytes."""
     sizes = np.diff(as_bytes(batch.column(column))[1])
     piece = np.cumsum(sizes) // most
