@@ -2,15 +2,16 @@
 
 Every word of a text becomes a template word: numbers, units after numbers and names become typed placeholders, all others
 are lower-cased. Windows of template words are hashed and joined with the benchmark's; where enough of an item's windows
-occur in a document at one place, the words behind the placeholders are compared: a value of the item must stand for one
-value of the document wherever it occurs, and the other way round. DataFrame functions only.
+occur in a document, the words behind the placeholders are compared, at every place by itself and along chains of places
+shifted by words put in or left out: a value of the item must stand for one value of the document wherever it occurs in
+them, and the other way round. Windows that are there word for word always count. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.llm.common import WORD, small_side, stored
@@ -72,47 +73,88 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> Dat
     plain words, are never found; neither are null or empty texts. Repeated items are found each under its own id; rows
     with the same id are judged together. Null ids are left out. Other columns are ignored.
     """
-    index = stored(item_windows(items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))), "items")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    own = windows(rows.select("doc_id", all_words(template(F.col("text"))).alias("_t")), F.col("_t"), ["doc_id"])
+    texts = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
+    index = stored(item_windows(texts), "items")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_row"), "text")
+    own = windows(rows.select("doc_id", "_row", all_words(template(F.col("text"))).alias("_t")), F.col("_t"), ["doc_id", "_row"])
     # an inner explode would get a filter on its size, pushed below the doublings and so evaluated many times over
-    hits = own.select("doc_id", F.posexplode_outer("_windows").alias("_pos", "_window")).join(small_side(index), "_window")
-    # windows of one item at one place of one document; a shift by a word more or less opens another place
-    places = hits.groupBy("doc_id", "item_id", "_of", (F.col("_pos") - F.col("_at")).alias("_shift")).agg(F.collect_set("_at").alias("_ats"))
+    hits = own.select("doc_id", "_row", F.posexplode_outer("_windows").alias("_pos", "_window")).join(small_side(index), "_window")
+    # windows of one item at one place of one text; a shift by a word more or less opens another place
+    places = hits.groupBy("doc_id", "item_id", "_of", "_row", (F.col("_pos") - F.col("_at")).alias("_shift")).agg(F.collect_set("_at").alias("_ats"))
     found = stored(
         places.groupBy("doc_id", "item_id", "_of")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_have"), F.max(F.struct(F.size("_ats").alias("n"), (-F.col("_shift")).alias("s"))).alias("_best"))
-        .select("doc_id", "item_id", (F.col("_have") / F.col("_of")).alias("coverage"), (-F.col("_best.s")).alias("at"))
-        .where(F.col("coverage") >= cover),
+        .agg(F.collect_list(F.struct("_row", "_shift", "_ats")).alias("_places"))
+        .where(F.size(F.array_distinct(F.flatten("_places._ats"))) >= cover * F.col("_of")),
         "leaks",
     )
-    item_words = items.where("text is not null").groupBy("item_id").agg(F.min("text").alias("_text")).select("item_id", all_words(F.col("_text")).alias("_iw"), all_words(template(F.col("_text"))).alias("_it"))
-    doc_words = rows.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", all_words(F.col("text")).alias("_dw"))
-    slots = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.size("_iw") - 1),
-            lambda i: F.when(
-                F.get("_it", i).isin(NUMBER, NAME, UNIT) & (i + F.col("at") >= 0) & (i + F.col("at") < F.size("_dw")),
-                F.struct(F.get("_iw", i).alias("i"), F.get("_dw", (i + F.col("at")).cast("int")).alias("d")),
-            ),
-        ),
-        lambda s: s.isNotNull(),
+    item_words = texts.select("item_id", all_words(F.col("text")).alias("_iw"), all_words(template(F.col("text"))).alias("_it"))
+    doc_words = rows.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "_row"]).select("doc_id", "_row", all_words(F.col("text")).alias("_dw"))
+    at_places = found.select("doc_id", "item_id", "_of", F.explode("_places").alias("_p")).select("doc_id", "item_id", "_of", "_p.*").join(item_words, "item_id").join(doc_words, ["doc_id", "_row"])
+    return chains(compared(at_places), cover)
+
+
+def compared(places: DataFrame) -> DataFrame:
+    """Per place: the pairs of words (item, document) at the placeholders in its windows, and which windows have equal or no pairs."""
+    slots = lambda a: F.filter(F.sequence(a, a + (WINDOW - 1)), lambda i: F.get("_it", i).isin(NUMBER, NAME, UNIT))
+    pair = lambda i: F.struct(F.get("_iw", i).alias("i"), F.get("_dw", i + F.col("_shift")).alias("d"))
+    differs = lambda i: F.lower(F.get("_iw", i)) != F.lower(F.get("_dw", i + F.col("_shift")))
+    return places.select(
+        "doc_id",
+        "item_id",
+        "_of",
+        "_row",
+        "_shift",
+        "_ats",
+        (F.col("_shift") / F.size("_iw")).alias("_lengths"),
+        F.array_distinct(F.transform(F.array_distinct(F.flatten(F.transform("_ats", slots))), pair)).alias("_pairs"),
+        F.filter("_ats", lambda a: ~F.exists(slots(a), differs)).alias("_equal"),
+        F.filter("_ats", lambda a: F.size(slots(a)) == 0).alias("_plain"),
     )
-    checked = (
-        found.join(item_words, "item_id")
-        .join(doc_words, "doc_id")
-        .select("doc_id", "item_id", "coverage", "at", F.array_distinct(slots).alias("_s"))
-        .select(
-            "doc_id",
-            "item_id",
-            "coverage",
-            "at",
-            (F.size("_s") > 0).alias("_any"),
-            ((F.size(F.array_distinct("_s.i")) == F.size("_s")) & (F.size(F.array_distinct("_s.d")) == F.size("_s"))).alias("_fits"),
-            F.exists("_s", lambda s: s["i"] != s["d"]).alias("reparameterised"),
-        )
+
+
+def _fits(pairs: Column) -> Column:
+    """Whether each word of the item stands for one word of the document, and the other way round."""
+    return (F.size(F.array_distinct(pairs["i"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["d"])) == F.size(pairs))
+
+
+def chains(places: DataFrame, cover: float) -> DataFrame:
+    """doc_id, item_id, coverage, at, reparameterised of the items whose windows fit in a chain of places, or are equal anywhere.
+
+    From every place with fitting pairs a chain is begun, and places shifted by up to the item's length are added, largest
+    first, as long as all pairs fit. Windows without placeholders fit into every chain.
+    """
+    near = Window.partitionBy("doc_id", "item_id", "_row").orderBy("_lengths").rangeBetween(0, 1)
+    fitting = F.when(_fits(F.col("_pairs")), F.struct((-F.size("_ats")).alias("n"), F.col("_shift").alias("s"), F.col("_ats").alias("ats"), F.col("_pairs").alias("pairs")))
+
+    def added(chain: Column, place: Column) -> Column:
+        pairs = F.array_union(chain["pairs"], place["pairs"])
+        return F.when(_fits(pairs), F.struct(F.array_union(chain["ats"], place["ats"]).alias("ats"), pairs.alias("pairs"))).otherwise(chain)
+
+    begun = F.struct(F.col("_place.ats").alias("ats"), F.col("_place.pairs").alias("pairs"))
+    chained = (
+        places.withColumn("_place", fitting)
+        .withColumn("_near", F.when(F.col("_place").isNotNull(), F.collect_list("_place").over(near)))
+        .withColumn("_chain", F.when(F.col("_place").isNotNull(), F.aggregate(F.array_sort("_near"), begun, added)))
+    )
+    # the place that names a chain is its largest, the first of them if several are
+    chain = F.struct(F.col("_chain.ats").alias("ats"), F.exists("_chain.pairs", lambda s: s["i"] != s["d"]).alias("new"), F.col("_shift").alias("at"), F.size("_ats").alias("n"))
+    judged = chained.groupBy("doc_id", "item_id", "_of").agg(
+        F.collect_set(F.when(F.col("_chain").isNotNull(), chain)).alias("_chains"),
+        F.array_distinct(F.flatten(F.collect_list("_plain"))).alias("_plain"),
+        F.array_distinct(F.flatten(F.collect_list("_equal"))).alias("_equal"),
+        F.max(F.struct(F.size("_equal").alias("n"), (-F.col("_shift")).alias("s"))).alias("_most"),
+    )
+    # unchanged before changed, then the most covered, the largest place, the first
+    ranked = lambda ats, new, n, at: F.struct((~new).alias("same"), (F.size(ats) / F.col("_of")).alias("coverage"), n.alias("n"), (-at).alias("s"))
+    options = F.concat(
+        F.array(ranked(F.col("_equal"), F.lit(False), F.col("_most.n"), -F.col("_most.s"))),
+        F.transform("_chains", lambda c: ranked(F.array_union(c["ats"], F.col("_plain")), c["new"], c["n"], c["at"])),
+    )
+    return (
+        judged.select("doc_id", "item_id", F.array_max(F.filter(options, lambda o: o["coverage"] >= cover)).alias("_o"))
+        .where("_o is not null")
+        .selectExpr("doc_id", "item_id", "_o.coverage as coverage", "cast(-_o.s as int) as at", "not _o.same as reparameterised")
     )
-    return checked.where("_fits or not reparameterised").groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.min("at").cast("int").alias("at"), F.max("reparameterised").alias("reparameterised"))
 
 
 def judged(docs: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:

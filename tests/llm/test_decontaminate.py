@@ -62,3 +62,15 @@ def test_clean_and_empty_tables(spark, make_docs, items):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "None"]
     assert decontaminate.clean(docs.limit(0), items).collect() == [] and decontaminate.clean(docs, items.limit(0)).count() == 5
     assert "Python" not in kept._jdf.queryExecution().toString()
+
+
+def test_every_place_counts(spark, make_docs, items):
+    other = ITEM.replace("Bergen", "Turin").replace("Alice", "Maria").replace("12 km", "99 miles").replace("30 minutes", "7 hours").replace("45 km", "3 miles")
+    broken = other.replace("until Maria", "until Peter")
+    longer = other.replace("near the old", "near the very old")
+    shorter = other.replace("waits for", "waits")
+    two_words = ITEM.replace("Alice", "Mary Ann")
+    got = found(spark, make_docs, items.where("item_id = 1"), f"{broken}. {ITEM}", f"{broken}. {other}", ITEM.replace("near the old", "near the very old"), longer, shorter, f"{longer}. {broken}", longer.replace("until Maria", "until Peter"), f"{broken}. {broken}", two_words, f"{broken} and {broken.replace('Turin', 'Paris')}")
+    assert {i for i, (is_leak, _) in got.items() if is_leak} == {0, 1, 2, 3, 4, 5, 8}
+    rows = decontaminate.contaminated(make_docs(f"{broken}. {ITEM}", longer), items.where("item_id = 1")).collect()
+    assert {(r.doc_id, r.at, r.reparameterised) for r in rows} == {(0, len(broken.split()), False), (1, 0, True)}
