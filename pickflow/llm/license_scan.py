@@ -1,13 +1,17 @@
 """License scans by conditional compression: how much shorter a block gets when a license text is given as a dictionary.
 
-Blocks with a word of licensing are cut out of every text. Each is compressed alone and with every template as a raw
-dictionary; templates are ranked by the bytes saved, and the best is confirmed by the words that differ.
+Blocks with a word of licensing are cut out of every text: the sentences, runs of sentences and lines, and windows of long
+sentences that have about the words of a template, and what is left around them. Each is compressed alone and with every
+template as a raw dictionary; templates are ranked by the bytes saved, and the best is confirmed by the words that differ.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -37,53 +41,106 @@ TEMPLATES = (
     ("proprietary", "Copyright. All rights reserved."),
 )
 #: What makes a sentence a candidate; and what may stand in a notice without being a difference: years, marks, holders' signs.
-CUE = r"(?i)licen[cs]|copyright|\bspdx|redistribut|all rights reserved|public domain|creative commons|permission is hereby"
-_IGNORED = re.compile(r"(?:19|20)\d\d(?:-(?:19|20)?\d\d)?|\(c\)|©")
+CUE = r"(?i)licen[cs]|copyright|\bspdx|redistribut|all\s+rights\s+reserved|public\s+domain|creative\s+commons|permission\s+is\s+hereby"
+_IGNORED = re.compile(r"(?:19|20)\d\d(?:-(?:19|20)?\d\d)?|\(c\)|©", re.I)
 #: Share of a template's words that may differ, and the largest block looked at in one piece (longer ones are cut there).
 TOLERANCE, LONGEST = 0.15, 2000
+#: Words in a row that find the places where a template may stand: TOLERANCE leaves some of each template's unchanged. A
+#: sentence of more characters than FLAT is taken for text without sentence ends, in which a notice may begin anywhere.
+ANCHOR, FLAT = 3, 400
+#: Up to so many words that may differ, all begins and ends of a span are tried; beyond, so many nearest to the alignment.
+NEAR = 4
 
 SCHEMA = "doc_id bigint, block int, begin bigint, length bigint, license string, bytes_alone int, bytes_saved int, differences int, confirmed boolean"
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """Sentences and runs of sentences of a line in which every one has a cue: where each begins, and its text."""
-    cue = re.compile(CUE)
+def units(text: str) -> list[tuple[int, int]]:
+    """Where the sentences of each line begin and end."""
+    out = []
     for line in re.finditer(r"[^\n]+", text):
-        if not cue.search(line[0]):
-            continue
         # a full stop inside a version number or an abbreviation ends no sentence
         cuts = [0, *(m.end() for m in re.finditer(r"[.!?](?=\s+[A-Z(])", line[0])), len(line[0])]
-        run = None
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if cue.search(line[0], a, b) and (run is None or b - run[0] <= LONGEST):
-                run = (a if run is None else run[0], b)
-                continue
-            if run:
-                yield from _pieces(line, *run)
-            run = (a, b) if cue.search(line[0], a, b) else None
-        if run:
-            yield from _pieces(line, *run)
+        out += [(line.start() + a, line.start() + b) for a, b in zip(cuts[:-1], cuts[1:]) if line[0][a:b].strip()]
+    return out
 
 
-def _pieces(line: re.Match, a: int, b: int) -> Iterator[tuple[int, str]]:
+def blocks(text: str, scanner: Scanner) -> Iterator[tuple[int, str]]:
+    """Where each candidate begins, and its text: first the notices that a template confirms, then what is left with a cue.
+
+    A notice is a sentence, a run of sentences or lines, or a window of a long sentence, no two overlapping; longer ones and
+    those with fewer differences come first. What is left are sentences and runs of sentences of a line that all have a cue.
+    """
+    cue = re.compile(CUE)
+    parts = units(text)
+    cues = [cue.search(text, a, b) is not None for a, b in parts]
+    if not any(cues) and not cue.search(text):
+        return
+    taken: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(scanner.proposed(text, parts)):
+        if all(b <= x or a >= y for x, y in taken) and cue.search(text, a, b) and scanner.best(text[a:b])[-1]:
+            taken.append((a, b))
+    left, run = [], None
+    for (a, b), has in zip(parts, cues):
+        inside = sorted((max(a, x), min(b, y)) for x, y in taken if x < b and y > a)
+        ends = [a, *(e for span in inside for e in span), b]
+        for i, (x, y) in enumerate(zip(ends[::2], ends[1::2])):
+            if not has or not cue.search(text, x, y):
+                run = None
+                continue
+            # a run ends at a line feed, at a notice, and where it would get too long
+            if run is None or i or inside or "\n" in text[run[1] : x] or y - run[0] > LONGEST:
+                run = [x, y]
+                left.append(run)
+            else:
+                run[1] = y
+        if inside and inside[-1][1] >= b:
+            run = None
+    yield from sorted([(a, text[a:b]) for a, b in taken] + [piece for a, b in left for piece in _pieces(text, a, b)])
+
+
+def _pieces(text: str, a: int, b: int) -> Iterator[tuple[int, str]]:
     while a < b:
-        piece = line[0][a : min(b, a + LONGEST)]
-        lead = len(piece) - len(piece.lstrip())
+        piece = text[a : min(b, a + LONGEST)]
         if piece.strip():
-            yield line.start() + a + lead, piece.strip()
+            yield a + len(piece) - len(piece.lstrip()), piece.strip()
         a += LONGEST
 
 
+def words(text: str) -> list[tuple[str, int, int]]:
+    """The words that count in comparisons, each with its begin and end."""
+    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[\w.\-]*\w", _IGNORED.sub(lambda m: " " * len(m[0]), text))]
+
+
 def wording(text: str) -> list[str]:
-    return re.findall(r"[\w.\-]*\w", _IGNORED.sub(" ", text.lower()))
+    return [w for w, _, _ in words(text)]
 
 
 def differences(block: str, template: str) -> int:
     """Words that must be left out, put in or replaced to turn one wording into the other."""
-    a, b = wording(template), wording(block)
+    return _differences(wording(template), wording(block))
+
+
+def _differences(a: list[str], b: list[str], limit: int | None = None) -> int:
+    """Beyond ``limit``, any number above it will do."""
+    if a == b:
+        return 0
+    if limit is not None and (least := max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values())) > limit:
+        return least
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal")
 
 
+def _peaks(shifts: Counter, slack: int, least: int) -> list[int]:
+    """Shifts with at least ``least`` votes no further than ``slack``, those with the most first; one for each such place."""
+    by_place = sorted(shifts)
+    sums = [0, *itertools.accumulate(shifts[s] for s in by_place)]
+    out: list[int] = []
+    for s in sorted(by_place, key=lambda s: (-shifts[s], s)):
+        a, b = bisect.bisect_left(by_place, s - slack), bisect.bisect_right(by_place, s + slack)
+        if sums[b] - sums[a] >= least and not any(abs(s - o) <= slack for o in out):
+            out.append(s)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES):
         import zstandard as zstd
@@ -92,9 +149,71 @@ class Scanner:
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstd.ZstdCompressor(**options)
         self.given = [(name, text, zstd.ZstdCompressor(dict_data=own(text), **options)) for name, text in templates]
+        self.known: dict[str, tuple] = {}
+        self.wordings = [wording(text) for _, text in templates]
+        self.anchors: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for t, w in enumerate(self.wordings):
+            size = min(ANCHOR, len(w))
+            for at in range(len(w) - size + 1 if w else 0):
+                self.anchors.setdefault(tuple(w[at : at + size]), []).append((t, at))
+
+    def proposed(self, text: str, parts: Sequence[tuple[int, int]]) -> set[tuple[int, int, int, int]]:
+        """(minus words, differences, begin, end) of spans that differ by no more than ``TOLERANCE`` from a template."""
+        found = words(text)
+        own = [w for w, _, _ in found]
+        starts = [a for a, _ in parts]
+        votes: dict[int, Counter] = {}
+        for size in {len(k) for k in self.anchors}:
+            for i in range(len(own) - size + 1):
+                for t, at in self.anchors.get(tuple(own[i : i + size]), ()):
+                    votes.setdefault(t, Counter())[i - at] += 1
+        out = set()
+        for t, shifts in votes.items():
+            wanted = self.wordings[t]
+            n, slack = len(wanted), int(TOLERANCE * len(wanted))
+            for at in _peaks(shifts, slack, max(1, n - min(ANCHOR, n) + 1 - ANCHOR * slack)):
+                begin, end = at, at + n
+                if slack > NEAR:
+                    area = max(0, at - slack)
+                    same = [m for m in difflib.SequenceMatcher(None, wanted, own[area : at + n + 2 * slack], autojunk=False).get_matching_blocks() if m.size >= ANCHOR]
+                    begin, end = area + same[0].b - same[0].a, area + same[-1].b + n - same[-1].a
+                # words before which a part begins or after which one ends, and every word of a long part; the nearest first
+                begins, ends = [], []
+                for i in sorted(range(max(0, begin - slack), min(len(own), begin + slack + 1)), key=lambda i: abs(i - begin)):
+                    part = parts[bisect.bisect_right(starts, found[i][1]) - 1]
+                    if part[1] - part[0] > FLAT or i == 0 or found[i - 1][1] < part[0]:
+                        begins.append(i)
+                for j in sorted(range(max(1, end - 2 * slack), min(len(own), end + 2 * slack) + 1), key=lambda j: abs(j - end)):
+                    part = parts[bisect.bisect_right(starts, found[j - 1][1]) - 1]
+                    if part[1] - part[0] > FLAT or j == len(own) or found[j][1] >= part[1]:
+                        ends.append(j)
+                if slack > NEAR:
+                    begins, ends = begins[:NEAR], ends[:NEAR]
+                for i, j in ((i, j) for i in begins for j in ends if i < j and abs(j - i - n) <= slack):
+                    differ = _differences(wanted, own[i:j], slack)
+                    if differ <= slack:
+                        out.add((-n, differ, *self._whole(text, parts, starts, found[i][1], found[j - 1][2])))
+                    if differ == 0:
+                        break
+        return out
+
+    @staticmethod
+    def _whole(text: str, parts: Sequence[tuple[int, int]], starts: Sequence[int], a: int, b: int) -> tuple[int, int]:
+        """From word to word, with the marks around them unless they belong to a neighbouring word."""
+        end = parts[bisect.bisect_right(starts, b - 1) - 1][1]
+        while b < end and not text[b].isspace() and not text[b].isalnum():
+            b += 1
+        return a, b
 
     def best(self, block: str) -> tuple[str | None, int, int, int | None, bool]:
         """License, bytes alone, bytes saved, differences, confirmed. Ties: the fewer differences, then the order of the templates."""
+        if block not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            self.known[block] = self._best(block)
+        return self.known[block]
+
+    def _best(self, block: str) -> tuple[str | None, int, int, int | None, bool]:
         raw = block.encode()
         alone = len(self.alone.compress(raw))
         ranked = sorted((len(c.compress(raw)) - alone, i) for i, (_, _, c) in enumerate(self.given))
@@ -116,18 +235,14 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
     given = tuple(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, known = Scanner(given), {}
+        scanner = Scanner(given)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, (begin, block) in enumerate(blocks(text)):
-                    if block not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        known[block] = scanner.best(block)
-                    out.append((doc_id, i, begin, len(block), *known[block]))
+                for i, (begin, block) in enumerate(blocks(text, scanner)):
+                    out.append((doc_id, i, begin, len(block), *scanner.best(block)))
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

@@ -43,3 +43,19 @@ def test_edge_texts(spark, make_docs):
 def test_differences():
     assert license_scan.differences("released under the mit license", "Released under the MIT License.") == 0
     assert license_scan.differences("Released under an MIT License", "Released under the MIT License.") == 1
+
+
+def test_notices_beside_others_over_lines_and_in_long_lines(spark, make_docs):
+    wrapped = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with\n# the License.\nimport os'
+    flat = "and so it goes on " * 200 + "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met" + " and on it goes" * 200
+    pair = "Copyright (c) 2020 Acme Corp. Released under the MIT License."
+    two = "Released under the MIT License. Licensed under CC BY 4.0. This licence is nobody's."
+    not_so = "These works are not licensed under CC BY 4.0."
+    texts = pair, wrapped, flat, f"{pair}\n{pair}", two, not_so
+    assert confirmed(spark, make_docs, *texts) == {(0, "MIT"), (1, "Apache-2.0"), (2, "BSD-3-Clause"), (3, "MIT"), (4, "MIT"), (4, "CC-BY-4.0")}
+    rows = license_scan.scan(make_docs(*texts)).collect()
+    for r in rows:
+        block = texts[r.doc_id][r.begin : r.begin + r.length]
+        assert license_scan.Scanner().best(block)[-1] == r.confirmed
+    assert sum(r.confirmed for r in rows if r.doc_id == 3) == 2
+    assert {texts[2][r.begin :][:14] for r in rows if r.doc_id == 2 and r.confirmed} == {"redistribution"}
