@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import difflib
 import itertools
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -18,6 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Identifiers that a tag may name, and licenses whose whole text is a template.
+SPDX = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "Unlicense", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only",
+    "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+)
+FULL = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0")
 #: Customary notices of public licenses.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -39,6 +47,9 @@ TEMPLATES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "Copyright. All rights reserved."),
+    ("proprietary", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
+    *((name, pkgutil.get_data("pickflow.llm", f"license_texts/{name}.txt").decode().strip()) for name in FULL),
 )
 #: What makes a sentence a candidate; and what may stand in a notice without being a difference: years, marks, holders' signs.
 CUE = r"(?i)licen[cs]|copyright|\bspdx|redistribut|all\s+rights\s+reserved|public\s+domain|creative\s+commons|permission\s+is\s+hereby"
@@ -48,6 +59,8 @@ TOLERANCE, LONGEST = 0.15, 2000
 #: Words in a row that find the places where a template may stand: TOLERANCE leaves some of each template's unchanged. A
 #: sentence of more characters than FLAT is taken for text without sentence ends, in which a notice may begin anywhere.
 ANCHOR, FLAT = 3, 400
+#: Most words of a holder's name between "copyright" and "all rights reserved".
+HOLDER = 12
 #: Up to so many words that may differ, all begins and ends of a span are tried; beyond, so many nearest to the alignment.
 NEAR = 4
 
@@ -107,8 +120,16 @@ def _pieces(text: str, a: int, b: int) -> Iterator[tuple[int, str]]:
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """The words that count in comparisons, each with its begin and end."""
-    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[\w.\-]*\w", _IGNORED.sub(lambda m: " " * len(m[0]), text))]
+    """The words that count in comparisons, each with its begin and end; the name of a holder does not count."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[\w.\-]*\w", _IGNORED.sub(lambda m: " " * len(m[0]), text))]
+    out, i = [], 0
+    while i < len(found):
+        out.append(found[i])
+        i += 1
+        if out[-1][0] == "copyright":
+            after = (k for k in range(i, min(i + HOLDER, len(found)) + 1) if [w for w, _, _ in found[k : k + 3]] == ["all", "rights", "reserved"])
+            i = next(after, i)
+    return out
 
 
 def wording(text: str) -> list[str]:
@@ -217,12 +238,14 @@ class Scanner:
         raw = block.encode()
         alone = len(self.alone.compress(raw))
         ranked = sorted((len(c.compress(raw)) - alone, i) for i, (_, _, c) in enumerate(self.given))
-        top = [(differences(block, self.given[i][1]), i, -saved) for saved, i in ranked if saved == ranked[0][0]]
+        own = wording(block)
+        near = [(saved, i) for saved, i in ranked if len(self.wordings[i]) <= 2 * len(own) + 10] or ranked
+        top = [(_differences(self.wordings[i], own), i, -saved) for saved, i in near if saved == near[0][0]]
         # the next in rank may be the same notice with other words
-        top += [(differences(block, self.given[i][1]), i, -saved) for saved, i in ranked[len(top) : len(top) + 3]]
+        top += [(_differences(self.wordings[i], own), i, -saved) for saved, i in near[len(top) : len(top) + 3]]
         least, i, saved = min(top)
-        name, text, _ = self.given[i]
-        return name, alone, saved, least, least <= TOLERANCE * len(wording(text)) and saved > 0
+        name = self.given[i][0]
+        return name, alone, saved, least, least <= TOLERANCE * len(self.wordings[i]) and saved > 0
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:

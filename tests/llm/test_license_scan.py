@@ -59,3 +59,32 @@ def test_notices_beside_others_over_lines_and_in_long_lines(spark, make_docs):
         assert license_scan.Scanner().best(block)[-1] == r.confirmed
     assert sum(r.confirmed for r in rows if r.doc_id == 3) == 2
     assert {texts[2][r.begin :][:14] for r in rows if r.doc_id == 2 and r.confirmed} == {"redistribution"}
+
+
+def test_notices_by_an_independent_pattern(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pattern = r"(?im)^[^\n]*(?:all rights reserved|licensed under|released under)[^\n]*$"
+    want = {r.doc_id for r in docs.collect() if re.search(pattern, r.text or "")}
+    assert len(want) > 300
+    assert {r.doc_id for r in license_scan.scan(docs).collect() if r.confirmed} == want
+
+
+def test_holders_tags_and_whole_texts(spark, make_docs):
+    whole = {name: text for name, text in license_scan.TEMPLATES if text.count("\n") > 10}
+    assert set(whole) == {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"}
+    texts = [
+        ("proprietary", "All rights reserved."),
+        ("proprietary", "Copyright (c) 2020 Acme Corp. All rights reserved."),
+        ("proprietary", "Copyright 2019-2021 Zoë and Sons Ltd\n# All rights reserved\n"),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nimport os"),
+        ("GPL-2.0-or-later", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 Acme\n\n{whole['MIT']}\nnothing else"),
+        ("MIT", "Copyright (c) 2020 Acme " + " ".join(whole["MIT"].split())),
+        ("BSD-2-Clause", whole["BSD-2-Clause"]),
+        ("BSD-3-Clause", whole["BSD-3-Clause"].replace("the copyright holder nor", "Acme Corp nor")),
+        ("Apache-2.0", f"Some words.\n\n{whole['Apache-2.0']}\n\nand more"),
+        ("Apache-2.0", "x = 1 " + " ".join(whole["Apache-2.0"].lower().split()) + " y = 2"),
+    ]
+    assert confirmed(spark, make_docs, *(t for _, t in texts)) == {(i, n) for i, (n, _) in enumerate(texts)}
+    assert confirmed(spark, make_docs, "SPDX-License-Identifier: unheard-of", "Copyright 2020 Acme Corp.") == set()
