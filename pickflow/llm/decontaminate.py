@@ -70,10 +70,12 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> Dat
     """One row per document id and benchmark item found in it: doc_id, item_id, coverage, at (word), reparameterised.
 
     ``docs``: doc_id, text; ``items``: item_id, text. Items with fewer words than a window, or without a window of enough
-    plain words, are never found; neither are null or empty texts. Repeated items are found each under its own id; rows
-    with the same id are judged together. Null ids are left out. Other columns are ignored.
+    plain words, are never found; neither are null or empty texts. Repeated items are found each under its own id, and an
+    id with several texts if any of them is found; documents with the same id are judged together. Null ids are left out. Other columns are ignored.
     """
-    texts = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
+    wordings = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("_key"), "text").distinct()
+    # every text by itself, under the hash of it
+    texts = wordings.select(F.col("_key").alias("item_id"), "text").distinct()
     index = stored(item_windows(texts), "items")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_row"), "text")
     own = windows(rows.select("doc_id", "_row", all_words(template(F.col("text"))).alias("_t")), F.col("_t"), ["doc_id", "_row"])
@@ -90,7 +92,10 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> Dat
     item_words = texts.select("item_id", all_words(F.col("text")).alias("_iw"), all_words(template(F.col("text"))).alias("_it"))
     doc_words = rows.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "_row"]).select("doc_id", "_row", all_words(F.col("text")).alias("_dw"))
     at_places = found.select("doc_id", "item_id", "_of", F.explode("_places").alias("_p")).select("doc_id", "item_id", "_of", "_p.*").join(item_words, "item_id").join(doc_words, ["doc_id", "_row"])
-    return chains(compared(at_places), cover)
+    by_text = chains(compared(at_places), cover)
+    best = F.max(F.struct((~F.col("reparameterised")).alias("same"), "coverage", (-F.col("at")).alias("s"))).alias("_o")
+    named = by_text.withColumnRenamed("item_id", "_key").join(wordings.select("item_id", "_key"), "_key").groupBy("doc_id", "item_id").agg(best)
+    return named.selectExpr("doc_id", "item_id", "_o.coverage as coverage", "-_o.s as at", "not _o.same as reparameterised")
 
 
 def compared(places: DataFrame) -> DataFrame:

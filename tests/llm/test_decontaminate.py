@@ -74,3 +74,10 @@ def test_every_place_counts(spark, make_docs, items):
     assert {i for i, (is_leak, _) in got.items() if is_leak} == {0, 1, 2, 3, 4, 5, 8}
     rows = decontaminate.contaminated(make_docs(f"{broken}. {ITEM}", longer), items.where("item_id = 1")).collect()
     assert {(r.doc_id, r.at, r.reparameterised) for r in rows} == {(0, len(broken.split()), False), (1, 0, True)}
+
+
+def test_every_text_of_an_id_counts(spark, make_docs):
+    second = "which of the two small boats crosses the wide river first when the wind blows from the cold north"
+    items = spark.createDataFrame([(1, ITEM), (1, second), (2, second)], "item_id bigint, text string")
+    got = found(spark, make_docs, items, ITEM, f"so {second}", f"{second} {ITEM}", "neither")
+    assert got == {0: (True, [1]), 1: (True, [1, 2]), 2: (True, [1, 2]), 3: (False, [])}
