@@ -20,6 +20,8 @@ from pickflow.llm.common import WORD, small_side, stored
 WINDOW, LITERAL = 8, 5
 #: Share of an item's windows that a document must have.
 COVER = 0.5
+#: Items with at most so many windows are also looked for as a whole; with other names and numbers if so many words are plain.
+FEW, PLAIN = 3, 3
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years",
@@ -69,8 +71,8 @@ def item_windows(items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
     """One row per document id and benchmark item found in it: doc_id, item_id, coverage, at (word), reparameterised.
 
-    ``docs``: doc_id, text; ``items``: item_id, text. Items with fewer words than a window, or without a window of enough
-    plain words, are never found; neither are null or empty texts. Repeated items are found each under its own id, and an
+    ``docs``: doc_id, text; ``items``: item_id, text. Items with few windows or none are found as a whole (``whole_items``).
+    Null or empty texts are never found. Repeated items are found each under its own id, and an
     id with several texts if any of them is found; documents with the same id are judged together. Null ids are left out. Other columns are ignored.
     """
     wordings = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("_key"), "text").distinct()
@@ -92,12 +94,67 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER) -> Dat
     item_words = texts.select("item_id", all_words(F.col("text")).alias("_iw"), all_words(template(F.col("text"))).alias("_it"))
     doc_words = rows.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "_row"]).select("doc_id", "_row", all_words(F.col("text")).alias("_dw"))
     at_places = found.select("doc_id", "item_id", "_of", F.explode("_places").alias("_p")).select("doc_id", "item_id", "_of", "_p.*").join(item_words, "item_id").join(doc_words, ["doc_id", "_row"])
-    by_text = chains(compared(at_places), cover)
+    by_text = chains(compared(at_places), cover).unionByName(whole_items(rows, texts, index))
     best = F.max(F.struct((~F.col("reparameterised")).alias("same"), "coverage", (-F.col("at")).alias("s"))).alias("_o")
     named = by_text.withColumnRenamed("item_id", "_key").join(wordings.select("item_id", "_key"), "_key").groupBy("doc_id", "item_id").agg(best)
     return named.selectExpr("doc_id", "item_id", "_o.coverage as coverage", "-_o.s as at", "not _o.same as reparameterised")
 
 
+def bare(text: Column) -> Column:
+    """``text`` with the marks before and after each word left out; as many words as before."""
+    out = F.regexp_replace(text, rf"(?<![^{_BLANK}])[^\p{{L}}\p{{N}}{_BLANK}]+(?=[\p{{L}}\p{{N}}])", "")
+    return F.regexp_replace(out, rf"(?<=[\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}{_BLANK}]+(?![^{_BLANK}])", "")
+
+
+def _both(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``_r`` (words without marks in lower case) and ``_t`` (their template, as many words)."""
+    return rows.select(*keep, all_words(F.lower(bare(F.col("text")))).alias("_r"), all_words(template(bare(F.col("text")))).alias("_t"))
+
+
+def whole_items(docs: DataFrame, texts: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage (1), at, reparameterised of the items with few windows or none that stand in a text as a whole.
+
+    Found by the hash of their first words (up to ``WINDOW``), and by that of the template words after the first, which may
+    be a name only for what stands before it in the document; then compared word for word at their own length. Texts
+    with several words but no plain one after the first, and single words of fewer than eight characters, are left out.
+    """
+    plain = lambda w: ~w.isin(NUMBER, NAME, UNIT)
+    many = index.groupBy("item_id").agg(F.max("_of").alias("_of")).where(F.col("_of") > FEW)
+    few = _both(texts.join(many, "item_id", "left_anti"), "item_id").where("size(_r) > 0").withColumn("_n", F.size("_r"))
+    later = F.size(F.filter(F.slice("_t", 2, 1 << 30), plain))
+    few = few.where(F.when(F.col("_n") == 1, F.length(F.get("_r", F.lit(0))) >= 8).otherwise(later > 0))
+    first = lambda words, begin, n: F.xxhash64(F.slice(words, begin, n), n)
+    size = F.least("_n", F.lit(WINDOW))
+    raw = few.select("*", F.lit(False).alias("_new"), size.alias("_k"), first(F.col("_r"), F.lit(1), size).alias("_hash"))
+    rest = F.least(F.col("_n") - 1, F.lit(WINDOW))
+    new = few.where((F.col("_n") > 1) & (later >= PLAIN)).select("*", F.lit(True).alias("_new"), rest.alias("_k"), first(F.col("_t"), F.lit(2), rest).alias("_hash"))
+    keys = stored(raw.unionByName(new), "whole-items").withColumnsRenamed({"_r": "_ir", "_t": "_it"})
+    # at most two kinds of eight lengths
+    kinds = sorted((r["_new"], r["_k"]) for r in keys.select("_new", "_k").distinct().collect())
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint, coverage double, at int, reparameterised boolean")
+    both = _both(docs, "doc_id", "_row")
+    runs = lambda words, k: F.transform(words, lambda _, i: F.when(i + k <= F.size(words), first(words, i + 1, F.lit(k))))
+    hits = None
+    for is_new, k in kinds:
+        there = both.select("doc_id", "_row", F.posexplode_outer(runs(F.col("_t" if is_new else "_r"), k)).alias("_pos", "_hash"))
+        there = there.join(small_side(keys.where((F.col("_new") == is_new) & (F.col("_k") == k)).select("_hash").distinct()), "_hash").select("doc_id", "_row", "_pos", "_hash", F.lit(is_new).alias("_new"), F.lit(k).alias("_k"))
+        hits = there if hits is None else hits.unionByName(there)
+    hits = stored(hits, "whole-hits")
+    words = _both(docs.join(small_side(hits.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "_row"]), "doc_id", "_row")
+    at = (F.col("_pos") - F.col("_new").cast("int")).alias("_at")
+    placed = hits.join(small_side(keys), ["_new", "_k", "_hash"]).select("*", at).where("_at >= 0").join(words, ["doc_id", "_row"])
+    own = lambda c: F.slice(c, F.col("_at") + 1, F.col("_n"))
+    placed = placed.select("doc_id", "item_id", "_at", "_new", "_n", "_ir", "_it", own("_r").alias("_r"), own("_t").alias("_t"))
+    opening = F.when(plain(F.get("_it", F.lit(0))), F.get("_r", F.lit(0)) == F.get("_ir", F.lit(0))).otherwise(F.get("_t", F.lit(0)) == F.get("_it", F.lit(0)))
+    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("_ir").alias("i"), F.col("_r").alias("d"), F.col("_it").alias("t")), lambda p: ~plain(p["t"])))
+    pairs = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    same = F.col("_r") == F.col("_ir")
+    template_fits = opening & (F.slice("_t", 2, 1 << 30) == F.slice("_it", 2, 1 << 30)) & _fits(pairs)
+    found = placed.where(same | (F.col("_new") & template_fits))
+    return found.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.col("_at").cast("int").alias("at"), (~same).alias("reparameterised"))
+
+
 def compared(places: DataFrame) -> DataFrame:
     """Per place: the pairs of words (item, document) at the placeholders in its windows, and which windows have equal or no pairs."""
     slots = lambda a: F.filter(F.sequence(a, a + (WINDOW - 1)), lambda i: F.get("_it", i).isin(NUMBER, NAME, UNIT))

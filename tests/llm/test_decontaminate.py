@@ -81,3 +81,11 @@ def test_every_text_of_an_id_counts(spark, make_docs):
     items = spark.createDataFrame([(1, ITEM), (1, second), (2, second)], "item_id bigint, text string")
     got = found(spark, make_docs, items, ITEM, f"so {second}", f"{second} {ITEM}", "neither")
     assert got == {0: (True, [1]), 1: (True, [1, 2]), 2: (True, [1, 2]), 3: (False, [])}
+
+
+def test_items_without_windows(spark, make_docs):
+    few = ["Tom has 3 apples, Ann 5 pears, Bob 7 plums", "how deep is the sea?", "何が一番高い山ですか", "Which of all the rivers here is the longest", "Who Wrote The Long Book of Kells In Ireland Then"]
+    items = spark.createDataFrame(list(enumerate(few)), "item_id bigint, text string")
+    docs = ["well " + few[0] + " yes", "he asked \"" + few[1] + "\" twice", few[2], "and " + few[3] + '" too', f"x {few[4].upper()}", "Tom has 4 apples, Eve 6 pears, Jim 9 plums", "Tom has 4 apples, Eve 6 pears", "how deep is a sea", "", None]
+    got = found(spark, make_docs, items, *docs)
+    assert {i: v for i, (is_leak, v) in got.items() if is_leak} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [4], 5: [0]}
