@@ -1,8 +1,8 @@
 """Removal of every byte covered by a string of a stated length that also starts earlier in the corpus.
 
-Prefix doubling ranks positions by ever longer strings and drops those that have become unique. Ranking all positions is
-more than a corpus' own size in every round, so the positions ranked first are anchors: of each window of the stated length
-the place of its smallest hashed gram, about one position in 35. Equal windows have equal anchors at the same place.
+Winnowing with grouping by hash, in place of prefix doubling: there are no pairs of ranks, no growing offsets and no sorts.
+The positions grouped first are anchors: of each window of the stated length the place of its smallest hashed gram, about
+one position in 35. Equal windows have equal anchors at the same place.
 
 1. Anchors are ranked by their gram. Unique ones are dropped, with all windows around them.
 2. The others are ranked by the longer string that all their windows cover. Of equal ones all but the first go, whole.
