@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import decontaminate, fill_middle, fingerprints, license_scan, mixing, parity_join, quality, repeats, token_files, url_rules, warc_audit
+from pickflow.llm import decontaminate, fill_middle, fingerprints, lexical_search, license_scan, mixing, parity_join, quality, repeats, token_files, url_rules, warc_audit
 from pickflow.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -64,10 +68,15 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_token_files, op2_mixing, op3_license_scan, op4_fingerprints, op5_quality, op6_warc_audit, op7_parity_join, op8_decontamination, op9_url_rules, op10_repeats,
-        op12_fill_middle,
+        op11_lexical_search, op12_fill_middle,
     )
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_warc_audit": warc_audit.AUDIT_SQL, "op12_fill_middle": fill_middle.DIGESTS_SQL}
+    return {
+        "op2_mixing": mixing.MIX_SQL.format(docs="documents"),
+        "op6_warc_audit": warc_audit.AUDIT_SQL,
+        "op11_lexical_search": lexical_search.RANK_SQL,
+        "op12_fill_middle": fill_middle.DIGESTS_SQL,
+    }

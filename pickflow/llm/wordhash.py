@@ -49,10 +49,10 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, begins: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word, and for every text where its words begin in these arrays.
 
-    Words never cross texts. ``begins`` has one entry more than there are texts.
+    Words never cross texts. ``begins`` has one entry more than there are texts. ``between`` marks the bytes outside words.
     """
     table = _LOWER if lower else _VALUE
     hashes, starts, ends = [], [], []
@@ -63,12 +63,12 @@ def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.
         upto = min(n, at + BLOCK)
         while upto < n:  # to the next white space or beginning of a text
             piece = slice(upto, min(n, upto + 4096))
-            stop = np.flatnonzero(_SPACE[data[piece]] | edge[piece])
+            stop = np.flatnonzero(between[data[piece]] | edge[piece])
             upto = upto + int(stop[0]) if len(stop) else piece.stop
             if len(stop):
                 break
         part, cuts = data[at:upto], edge[at:upto]
-        solid = ~_SPACE[part]
+        solid = ~between[part]
         before = np.concatenate([[False], solid[:-1]]) & ~cuts
         start = np.flatnonzero(solid & ~before)
         after = np.concatenate([before[1:] & solid[1:], [False]])
