@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickflow.llm import decontaminate, fill_middle, fingerprints, lexical_search, license_scan, mixing, parity_join, quality, repeats, token_files, url_rules, warc_audit
+from pickflow.llm import decontaminate, fill_middle, fingerprints, lexical_search, license_scan, mixing, near_vectors, parity_join, quality, repeats, token_files, url_rules, warc_audit
 from pickflow.llm.common import table
 
 
@@ -65,10 +65,14 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_token_files, op2_mixing, op3_license_scan, op4_fingerprints, op5_quality, op6_warc_audit, op7_parity_join, op8_decontamination, op9_url_rules, op10_repeats,
-        op11_lexical_search, op12_fill_middle,
+        op11_lexical_search, op12_fill_middle, op13_near_vectors,
     )
     return {f.__name__: f for f in each}
 
