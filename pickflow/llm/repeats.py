@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def _anchors(buckets: int):
 
 
 def _read(t: pa.Table, kind: int, *types: type) -> list[np.ndarray]:
-    some = t.filter(pa.compute.equal(t["kind"], kind))
+    some = t.filter(pc.equal(t["kind"], kind))
     return [np.frombuffer(b"".join(some[c].to_pylist()), k) for c, k in zip("abcd", types, strict=False)]
 
 

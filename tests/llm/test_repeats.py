@@ -65,3 +65,12 @@ def test_repeated_and_null_ids_and_empty_table(spark, make_docs):
 def test_merged():
     row, begin, end = repeats.merged(np.array([2, 1, 1, 1, 2]), np.array([5, 0, 3, 9, 5]), np.array([6, 4, 5, 10, 9]))
     assert (row.tolist(), begin.tolist(), end.tolist()) == ([1, 1, 2], [0, 9, 5], [5, 10, 9])
+
+
+def test_a_text_of_many_megabytes(spark, make_docs):
+    rng = random.Random(9)
+    long = "".join(f"{rng.randrange(1 << 40)} " for _ in range(800_000))
+    assert len(long) > 9 << 20
+    rows = [(1, "before"), (2, long + long[5_000_000:5_000_400]), (3, long[100:900])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.without_repeats(make_docs(*rows)).collect()}
+    assert got == {1: (6, 0, 0), 2: (len(long) + 400, 400, 1), 3: (800, 800, 1)}
