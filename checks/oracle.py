@@ -650,12 +650,27 @@ WITH {CONFIRMED} SELECT id, domain_id, batch_id, picked_qty, applied_qty, status
 BODIES["stream_progress"] = """
 SELECT domain_id, batch_id, date_trunc('hour', ts) AS window_start, count(*) AS event_cnt, cast(sum(qty) AS bigint) AS qty FROM wh_pick_events GROUP BY ALL"""
 BODIES["stream_box_arrival"] = BODIES["box_arrivals"]
-BODIES["stream_receive"] = """
-WITH t_new AS (SELECT * FROM wh_wms_if_orders WHERE if_flag = 'N')
+UPSTREAM = """
+t_new AS (SELECT * REPLACE (CASE WHEN cast(job_date AS int) % 7 = 0 AND order_line_no = '3' THEN NULL ELSE order_qty END AS order_qty),
+    CASE WHEN cast(job_date AS int) % 5 = 0 AND order_line_no = '2' THEN 'MT' END AS given_type FROM wh_wms_if_orders WHERE if_flag = 'N'),
+t_bad AS (SELECT DISTINCT domain_id, com_cd, area_cd, stage_cd, wms_batch_no FROM t_new WHERE order_qty IS NULL),
+t_good AS (SELECT * FROM t_new ANTI JOIN t_bad USING (domain_id, com_cd, area_cd, stage_cd, wms_batch_no)
+    QUALIFY row_number() OVER (PARTITION BY domain_id, order_no, order_line_no, com_cd, sku_cd
+        ORDER BY wms_batch_no, wcs_batch_no, job_date, job_type, area_cd, stage_cd, equip_type, equip_cd, shop_cd, box_type_cd, order_qty) = 1)"""
+BODIES["stream_receive"] = f"""
+WITH {UPSTREAM}
 SELECT w.domain_id, concat('RB-', w.wms_batch_no) AS batch_id, w.order_no, w.order_line_no, w.com_cd, w.sku_cd, w.order_qty,
-  CASE WHEN (SELECT count(DISTINCT (x.com_cd, x.sku_cd)) FROM t_new x WHERE x.domain_id = w.domain_id AND x.wms_batch_no = w.wms_batch_no AND x.order_no = w.order_no) = 1 THEN 'OT' ELSE 'MT' END AS order_type,
+  CASE WHEN (SELECT count(x.given_type) FROM t_good x WHERE x.domain_id = w.domain_id AND x.wms_batch_no = w.wms_batch_no) > 0 THEN w.given_type
+       WHEN (SELECT count(DISTINCT (x.com_cd, x.sku_cd)) FROM t_good x WHERE x.domain_id = w.domain_id AND x.wms_batch_no = w.wms_batch_no AND x.order_no = w.order_no) = 1 THEN 'OT' ELSE 'MT' END AS order_type,
   'T' AS status
-FROM t_new w"""
+FROM t_good w"""
+BODIES["stream_receive_items"] = f"""
+WITH {UPSTREAM}
+SELECT DISTINCT n.domain_id, n.com_cd, n.area_cd, n.stage_cd, n.wms_batch_no, concat('RB-', n.wms_batch_no) AS batch_id, CASE WHEN b.domain_id IS NULL THEN 'F' ELSE 'E' END AS status
+FROM t_new n LEFT JOIN t_bad b USING (domain_id, com_cd, area_cd, stage_cd, wms_batch_no)"""
+BODIES["stream_receive_errors"] = f"""
+WITH {UPSTREAM}
+SELECT domain_id, order_no, order_line_no, com_cd, sku_cd, area_cd, stage_cd, wms_batch_no FROM t_new SEMI JOIN t_bad USING (domain_id, com_cd, area_cd, stage_cd, wms_batch_no)"""
 
 
 def oracle_sql() -> dict[str, str]:

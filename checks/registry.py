@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pickflow.functions.columns import box_color, box_type_of
 from pickflow.functions.paging import rowset_page
@@ -26,6 +27,7 @@ from pickflow.session import cut_lineage, use_checkpoint_dir
 from pickflow.sources.sample import sample_streams, sample_tables
 from pickflow.sources.tables import Tables
 from pickflow.streaming import jobs as st
+from pickflow.streaming.updates import last_state
 
 COUNTED = (
     "lines orders received_orders wms_if_orders jobs inputs cells racks stocks sku indicators gateways batches"
@@ -220,11 +222,28 @@ def _finish(query, spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _replayed(df: DataFrame, run: str, part: Column, parts: int) -> DataFrame:
+    """``df`` as a stream of ``parts`` files, each of which is one micro-batch."""
+    rows = cut_lineage(df.withColumn("_part", part))
+    for k in range(parts):
+        rows.filter(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{run}/in/{k}")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{run}/in")
+
+
 def stream_confirm_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, events = _run_folder(spark), sample_streams(spark, sf_dir).pick_events
-    updates = st.stream_confirm_pick(events, sample_tables(spark, sf_dir).picking_jobs_at_start, slots=64)
-    written = _finish(st.write_updates(updates, f"{run}/out", f"{run}/checkpoint"), spark, f"{run}/out")
-    return st.latest_rows(written, [*KEY, "id"])
+    """Four micro-batches by time; one event in five comes again in the next one."""
+    run, t = _run_folder(spark), sample_tables(spark, sf_dir)
+    events = t.pick_events
+    bounds = events.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75], 1000).alias("b")).first()["b"] or []
+    at = sum(((F.unix_micros(F.col("ts").cast("timestamp")) > b).cast("int") for b in bounds), F.lit(0))
+    again = F.explode(F.when(F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    sent = events.select("*", again.alias("_again")).withColumn("_at", F.least(at + F.col("_again"), F.lit(3))).drop("_again")
+    stream = _replayed(sent, run, F.col("_at"), 4).drop("_at")
+    # the picks of a job in these tables lie up to seven years apart, and the job table does not change meanwhile
+    updates = st.stream_confirm_pick(stream, t.picking_jobs_at_start, lateness="3650 days", idle="3650 days", slots=64)
+    query = st.write_updates(updates, f"{run}/out", f"{run}/checkpoint", keys=[*KEY, "id"], compact_every=2)
+    query.awaitTermination()
+    return last_state(spark, f"{run}/out", updates.schema, [*KEY, "id"])
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,21 +253,51 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_box_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, streams = _run_folder(spark), sample_streams(spark, sf_dir)
+    """Three micro-batches by line number, so most boxes are scanned in several; each start must be counted once."""
+    run, t = _run_folder(spark), sample_tables(spark, sf_dir)
     place = ["equip_type", "equip_cd", "station_cd"]
     number, cell = F.substring("order_no", 2, 30), F.substring_index("sub_equip_cd", "-C", -1).cast("int")
-    scans = streams.orders.filter("status <> 'W'").select(
-        *KEY, "equip_type", "equip_cd", F.concat(F.lit("S"), cell % 4).alias("station_cd"), F.concat(F.lit("BX"), number).alias("box_id")
+    scans = t.orders.filter("status <> 'W'").select(
+        *KEY, "equip_type", "equip_cd", F.concat(F.lit("S"), cell % 4).alias("station_cd"), F.concat(F.lit("BX"), number).alias("box_id"), F.pmod(F.col("order_line_no").cast("int"), F.lit(3)).alias("_line")
+    )
+    stream = _replayed(scans, run, F.col("_line"), 3).drop("_line")
+    query = st.stream_box_arrival(stream, t.inputs, f"{run}/out", f"{run}/checkpoint", slots=64)
+    written = _finish(query, spark, f"{run}/out")
+    return written.groupBy(*KEY, *place, "box_id", "id", "order_no", "status").agg(F.sum("is_started").cast("int").alias("is_started"))
+
+
+def _upstream(t: Tables) -> DataFrame:
+    """Upstream rows of which some are typed, and some batches have a third line without a quantity."""
+    month = F.col("job_date").cast("int")
+    return t.wms_if_orders.withColumns(
+        {
+            "order_type": F.when((month % 5 == 0) & (F.col("order_line_no") == "2"), F.lit("MT")),
+            "order_qty": F.when((month % 7 == 0) & (F.col("order_line_no") == "3"), F.lit(None)).otherwise(F.col("order_qty")).cast("int"),
+        }
     )
-    query = st.stream_box_arrival(scans, sample_tables(spark, sf_dir).inputs, f"{run}/out", f"{run}/checkpoint")
-    return _finish(query, spark, f"{run}/out").select(*KEY, *place, "box_id", "id", "order_no", "status", "is_started")
+
+
+def _received_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Four micro-batches by line number: types and faults come after other lines of their batch."""
+    run, rows = _run_folder(spark), _upstream(sample_tables(spark, sf_dir))
+    stream = _replayed(rows, run, F.least(F.col("order_line_no").cast("int") - 1, F.lit(3)), 4)
+    st.stream_receive(stream, f"{run}/orders", f"{run}/checkpoint", compact_every=2).awaitTermination()
+    return rows, f"{run}/orders"
 
 
 def stream_receive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, streams = _run_folder(spark), sample_streams(spark, sf_dir)
-    query = st.stream_receive(streams.wms_if_orders, f"{run}/orders", f"{run}/checkpoint")
-    received = _finish(query, spark, f"{run}/orders")
-    return received.select(*KEY, "order_no", "order_line_no", "com_cd", "sku_cd", "order_qty", "order_type", "status")
+    return st.last_orders(*_received_stream(spark, sf_dir)).select(*KEY, "order_no", "order_line_no", "com_cd", "sku_cd", "order_qty", "order_type", "status")
+
+
+def stream_receive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = _received_stream(spark, sf_dir)
+    schema = T.StructType([*rows.select(*rc.ITEM_KEYS).schema.fields, *T.StructType.fromDDL("batch_id string, status string").fields])
+    return last_state(spark, f"{path}_items", schema, rc.ITEM_KEYS)
+
+
+def stream_receive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, path = _received_stream(spark, sf_dir)
+    return spark.read.parquet(f"{path}_errors").select(*st.DEAD_LETTER[:-1]).distinct()
 
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -256,6 +305,8 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_progress": stream_progress,
     "stream_box_arrival": stream_box_arrival,
     "stream_receive": stream_receive,
+    "stream_receive_items": stream_receive_items,
+    "stream_receive_errors": stream_receive_errors,
 }
 
 

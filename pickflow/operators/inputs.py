@@ -329,22 +329,27 @@ def box_input_details(jobs: DataFrame, cells: DataFrame, indicators: DataFrame,
     )
 
 
-def box_arrivals(inputs: DataFrame, scans: DataFrame) -> DataFrame:
-    """The input a box arrival at a station belongs to, and its status after it: a waiting one starts to run.
+def arrival_candidates(inputs: DataFrame) -> DataFrame:
+    """Per place and box the input that an arrival there belongs to, and its status after it: a waiting one starts to run.
 
-    ``scans`` has domain_id, batch_id, equip_type, equip_cd, station_cd, box_id. A waiting input is taken before a
-    running one, the lowest sequence first.
+    A waiting input is taken before a running one, the lowest sequence first.
     """
     place = [*KEY, "equip_type", "equip_cd", "station_cd", "box_id"]
     rank = F.when(F.col("status") == "W", 1).when(F.col("status") == "R", 2)
     candidate = inputs.filter("status IN ('W', 'R')").groupBy(*place).agg(
         F.min(F.struct(rank.alias("_rank"), "input_seq", "id", "order_no")).alias("_in")
     )
-    return (
-        scans.select(*place)
-        .distinct()
-        .join(candidate, place)
-        .select(*place, F.col("_in.id").alias("id"), F.col("_in.order_no").alias("order_no"), F.lit("R").alias("status"), flag(F.col("_in._rank") == 1).alias("is_started"))
+    return candidate.select(
+        *place, F.col("_in.id").alias("id"), F.col("_in.order_no").alias("order_no"), F.lit("R").alias("status"), flag(F.col("_in._rank") == 1).alias("is_started")
     )
 
 
+def box_arrivals(inputs: DataFrame, scans: DataFrame) -> DataFrame:
+    """The input a box arrival at a station belongs to, and its status after it.
+
+    ``scans`` has domain_id, batch_id, equip_type, equip_cd, station_cd, box_id.
+    """
+    place = [*KEY, "equip_type", "equip_cd", "station_cd", "box_id"]
+    return scans.select(*place).distinct().join(arrival_candidates(inputs), place)
+
+

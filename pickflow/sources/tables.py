@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pickflow.schemas import KEY, SCHEMAS
+from pickflow.sources.versions import is_versioned, read_version
 
 
 class Tables:
@@ -54,11 +55,14 @@ def load_tables(spark: SparkSession, path: str, *, fmt: str = "parquet") -> Tabl
     """All tables under ``path/<table>``; only the tables and columns a query uses are read.
 
     Tables written with ``sinks.write_table`` are partitioned by tenant and batch, so a filter on
-    ``domain_id`` / ``batch_id`` reads only those folders.
+    ``domain_id`` / ``batch_id``, or a join with a list of batches, reads only those folders. Of tables that change by
+    versions (``versions``) the version that is the last when the table is first used is read.
     """
 
     def reader(name: str) -> Callable[[Tables], DataFrame]:
         def read(_: Tables) -> DataFrame:
+            if is_versioned(spark, f"{path}/{name}"):
+                return read_version(spark, f"{path}/{name}", T.StructType.fromDDL(SCHEMAS[name]))
             # The schema that is stored is checked; what is asked for then also gives the partition columns their types.
             check_schema(name, spark.read.format(fmt).load(f"{path}/{name}"), untyped=KEY)
             return spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{path}/{name}")

@@ -1,7 +1,9 @@
 """Structured Streaming jobs for pick, box, receipt and progress events.
 
 Each function takes a streaming DataFrame and returns one, or starts a query that writes with ``foreachBatch``. Every
-write is repeatable: a micro-batch that runs again after a failure replaces its own output.
+write is repeatable: a micro-batch that runs again after a failure replaces its own output. State that has served its
+purpose leaves the state store: what a watermark or a stated time has passed. By then the tables that the streams look
+things up in must show it (jobs finished, inputs running).
 """
 
 from __future__ import annotations
@@ -9,47 +11,69 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pickflow.functions.columns import where
-from pickflow.operators.classify import classify_orders
-from pickflow.operators.inputs import box_arrivals
-from pickflow.operators.receive import receipt_items, receive_orders, receive_summary
-from pickflow.schemas import JOB_FINISHED, JOB_PICKING, KEY, ORDER_TYPED, ORDER_WAIT
-from pickflow.sources.sinks import overwrite_batches
+from pickflow.operators.classify import order_classes
+from pickflow.operators.inputs import arrival_candidates
+from pickflow.operators.receive import ITEM_KEYS, LINE_KEYS, faulty_items, receipt_items, receive_orders, receive_summary
+from pickflow.schemas import JOB_FINISHED, JOB_PICKING, KEY, ORDER_TYPED, ORDER_WAIT, RECEIPT_ERROR, RECEIPT_FINISHED
+from pickflow.streaming.updates import compact, last_state, latest_rows, write_epoch
+
+__all__ = ["dropped_late", "last_orders", "latest_rows", "stream_box_arrival", "stream_confirm_pick", "stream_progress", "stream_receive", "write_updates"]
 
 CONFIRM_OUTPUT = (
     "domain_id int, batch_id string, id string, picked_qty int, applied_qty int, status string,"
     " pick_started_at timestamp_ntz, pick_ended_at timestamp_ntz"
 )
-# Per job of a slot: pieces picked so far, first pick and filling pick in microseconds (-1 until full), and what was to be
-# picked and had been picked when the job was first seen, so that a restart on an updated job table counts nothing twice.
-CONFIRM_STATE = "job array<string>, applied array<bigint>, started array<bigint>, ended array<bigint>, room array<bigint>, had array<bigint>"
+# Per job of a slot: pieces picked so far, first pick and filling pick in microseconds (-1 until full), what was to be
+# picked and had been picked when the job was first seen, so that a restart on an updated job table counts nothing twice,
+# and its last event.
+CONFIRM_FIELDS = ("applied", "started", "ended", "room", "had", "last")
+CONFIRM_STATE = "job array<string>, " + ", ".join(f"{f} array<bigint>" for f in CONFIRM_FIELDS)
 LATENESS = "30 days"
+IDLE = "90 days"
 SLOTS = 1024
 
 
-def _slot_function(finished: str, picking: str) -> Callable[..., Iterator[pd.DataFrame]]:
+def _micros(duration: str) -> int:
+    """Microseconds of a duration such as ``30 days``."""
+    return int(pd.Timedelta(duration) / pd.Timedelta(microseconds=1))
+
+
+def _slot_function(finished: str, picking: str, idle_us: int) -> Callable[..., Iterator[pd.DataFrame]]:
     """The state function of a slot. It is a closure, so Spark sends its code to the workers with the query."""
+    fields = CONFIRM_FIELDS
+
+    def kept(known: pd.DataFrame, state: GroupState) -> None:
+        """Keep what the watermark has not passed, and be called again when it passes the next job."""
+        watermark = state.getCurrentWatermarkMs()
+        due = known["last"] + (known["ended"] < 0) * idle_us
+        known = known[due >= watermark * 1000]
+        if not len(known):
+            state.remove()
+            return
+        state.update(([*known.index], *[known[f].tolist() for f in fields]))
+        state.setTimeoutTimestamp(max(int(due[due >= watermark * 1000].min()) // 1000, watermark) + 1)
 
     def confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """State of the jobs of one slot: takes their new events, each job up to its planned quantity.
 
         Works on one Arrow batch of events after the other, so a job with very many events needs no more memory.
         """
-        fields = ("applied", "started", "ended", "room", "had")
         old = dict(zip(fields, state.get[1:])) if state.exists else {f: [] for f in fields}
         known = pd.DataFrame(old, index=pd.Index(state.get[0] if state.exists else [], dtype=object), dtype="int64")
         touched = []
         for events in batches:
+            if not len(events):  # called because the watermark has passed a job
+                continue
             events = events.sort_values(["us", "event_id"], kind="stable")
             jobs = events.groupby("job", sort=False)
-            plan = jobs.agg(domain_id=("domain_id", "first"), batch_id=("batch_id", "first"), id=("job_id", "first"), room=("room", "first"), had=("had", "first"), first=("us", "min"))
+            plan = jobs.agg(domain_id=("domain_id", "first"), batch_id=("batch_id", "first"), id=("job_id", "first"), room=("room", "first"), had=("had", "first"), first=("us", "min"), last=("us", "max"))
             for field in ("room", "had"):
                 plan[field] = known[field].reindex(plan.index).fillna(plan[field]).astype("int64")
             before = known["applied"].reindex(plan.index, fill_value=0)
@@ -65,11 +89,14 @@ def _slot_function(finished: str, picking: str) -> Callable[..., Iterator[pd.Dat
                     "ended": ended.where(ended >= 0, filling),
                     "room": plan["room"],
                     "had": plan["had"],
+                    "last": plan["last"].clip(lower=known["last"].reindex(plan.index).fillna(-1).astype("int64")),
                 }
             ).astype("int64")
             known = pd.concat([known.drop(index=plan.index, errors="ignore"), new])
-            touched.append(plan.drop(columns=["room", "had"]))
-        state.update(([*known.index], *[known[f].tolist() for f in fields]))
+            touched.append(plan.drop(columns=["room", "had", "last"]))
+        kept(known, state)
+        if not touched:
+            return
         plan = pd.concat(touched)
         plan = plan[~plan.index.duplicated()].join(known)
         yield pd.DataFrame(
@@ -92,13 +119,22 @@ def _timed(events: DataFrame, lateness: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
-def stream_confirm_pick(events: DataFrame, jobs: DataFrame, *, lateness: str = LATENESS, slots: int = SLOTS) -> DataFrame:
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark allows and were left out, as far back as the query's progress goes."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def stream_confirm_pick(events: DataFrame, jobs: DataFrame, *, lateness: str = LATENESS, idle: str = IDLE, slots: int = SLOTS) -> DataFrame:
     """Jobs as pick events come in: one row per changed job and micro-batch (update mode).
 
     An event that is delivered twice within ``lateness`` counts once. Jobs that are not in picking take no events.
     Events count in the order they arrive, those of one Arrow batch by time. The state is kept per slot (hash of
     the job), because a state call per job costs far more than the work in it; choose ``slots`` so that a slot holds
     some hundreds of jobs.
+
+    A job leaves the state when the watermark passes its last event (a full job) or that event plus ``idle`` (a job that
+    never filled). Its own events are late from then on and left out; ``dropped_late`` counts them. A later event for it
+    counts as the first, so ``jobs`` must show by then what was picked.
     """
     open_jobs = where(jobs, status=JOB_PICKING).filter("picked_qty < pick_qty")
     plan = open_jobs.select(
@@ -116,9 +152,10 @@ def stream_confirm_pick(events: DataFrame, jobs: DataFrame, *, lateness: str = L
         F.col("qty").cast("bigint").alias("qty"),
         "room",
         "had",
+        "ts",
     )
     return taken.groupBy("slot").applyInPandasWithState(
-        _slot_function(JOB_FINISHED, JOB_PICKING), CONFIRM_OUTPUT, CONFIRM_STATE, "update", GroupStateTimeout.NoTimeout
+        _slot_function(JOB_FINISHED, JOB_PICKING, _micros(idle)), CONFIRM_OUTPUT, CONFIRM_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -132,78 +169,168 @@ def stream_progress(events: DataFrame, *, width: str = "1 hour", lateness: str =
     )
 
 
-def latest_rows(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The last state of every key from the updates ``write_updates`` has written."""
-    columns = [c for c in updates.columns if c not in (*keys, "epoch")]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "epoch").alias("_last")).select(*keys, "_last.*")
-
+def write_updates(df: DataFrame, path: str, checkpoint: str, *, mode: str = "update", keys: list[str] | None = None, compact_every: int = 0, trigger: dict | None = None) -> StreamingQuery:
+    """Write every micro-batch of updates to ``path`` under its number; ``latest_rows`` or ``last_state`` read them.
 
-def write_updates(df: DataFrame, path: str, checkpoint: str, *, mode: str = "update", trigger: dict | None = None) -> StreamingQuery:
-    """Write every micro-batch of updates to ``path`` under its number."""
+    With ``compact_every``, every so many micro-batches the state by ``keys`` up to the last finished one is written as a
+    snapshot.
+    """
+    schema = df.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        write_epoch(batch, path, epoch)
+        if compact_every and epoch and epoch % compact_every == 0:
+            compact(batch.sparkSession, path, schema, keys or [], epoch - 1)
 
     return _start(df, write, checkpoint, mode, trigger)
 
 
-def stream_box_arrival(scans: DataFrame, inputs: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """Inputs that start to run because their box arrived at the station (one row per scanned place).
-
-    An input that an earlier micro-batch has started does not start again.
+ARRIVAL_STATE = "id array<string>, started array<bigint>"
+
+
+def _arrival_function(keep_ms: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """The state function of a slot of inputs: which of them have started, and when (milliseconds)."""
+
+    def arrive(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        seen: set = set()
+        out = []
+        for scans in batches:
+            if not len(scans):  # called because the watermark has passed an input
+                continue
+            scans = scans.drop(columns=["slot", "ts"])
+            place = pd.Series(list(scans.drop(columns=["is_started", "ms"]).itertuples(index=False, name=None)), index=scans.index)
+            scans = scans[~place.isin(seen) & ~place.duplicated()]
+            seen.update(place)
+            full = scans["domain_id"].astype(str) + "|" + scans["batch_id"] + "|" + scans["id"]
+            starts = (scans["is_started"] == 1) & ~full.isin(known.keys()) & ~full.duplicated()
+            known.update(zip(full[starts], scans["ms"][starts].tolist(), strict=True))
+            out.append(scans.drop(columns="ms").assign(is_started=starts.astype("int32")))
+        watermark = state.getCurrentWatermarkMs()
+        known = {i: at for i, at in known.items() if at + keep_ms >= watermark}
+        if known:
+            state.update(([*known.keys()], [*known.values()]))
+            state.setTimeoutTimestamp(max(min(known.values()) + keep_ms, watermark) + 1)
+        elif state.exists:
+            state.remove()
+        yield from out
+
+    return arrive
+
+
+def stream_box_arrival(
+    scans: DataFrame, inputs: DataFrame, path: str, checkpoint: str, *, keep: str = "7 days", lateness: str = LATENESS, slots: int = SLOTS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Inputs that start to run because their box arrived at the station (one row per scanned place and micro-batch).
+
+    An input that has started does not start again: started inputs are held in the state store until the watermark passes
+    their start by ``keep``; ``inputs`` must show them running by then. Nothing that was written before is read. The time
+    of a scan is its ``ts``, with ``lateness``; scans without that column count at the time they are processed.
     """
+    place = [*KEY, "equip_type", "equip_cd", "station_cd", "box_id"]
+    timed = _timed(scans, lateness) if "ts" in scans.columns else scans.withColumn("ts", F.current_timestamp()).withWatermark("ts", "1 minute")
+    found = timed.select(*place, "ts").join(arrival_candidates(inputs), place)
+    output = T.StructType([f for f in found.schema.fields if f.name != "ts"])
+    dealt = found.select(*output.names, "ts", F.unix_millis("ts").alias("ms"), F.pmod(F.xxhash64(*KEY, "id"), F.lit(slots)).alias("slot"))
+    state = dealt.groupBy("slot").applyInPandasWithState(_arrival_function(_micros(keep) // 1000), output, ARRIVAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return write_updates(state, path, checkpoint, mode="append", trigger=trigger)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        found = box_arrivals(inputs, batch)
-        columns = found.columns
-        earlier = _stored(batch.sparkSession, path, T.StructType([*found.schema.fields, T.StructField("epoch", T.LongType())]))
-        if earlier is not None:
-            started = earlier.filter((F.col("epoch") < epoch) & (F.col("is_started") == 1)).select(*KEY, "id").distinct().withColumn("_was", F.lit(True))
-            found = found.join(started, [*KEY, "id"], "left").withColumn("is_started", F.when(F.col("_was"), 0).otherwise(F.col("is_started")))
-        found.select(*columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return _start(scans, write, checkpoint, "append", trigger)
+#: What the receipt keeps besides the order lines: the type that came from upstream, and whether a line was taken back.
+RECEIVED_EXTRA = "given_type string, is_withdrawn boolean"
+DEAD_LETTER = [*LINE_KEYS, "area_cd", "stage_cd", "wms_batch_no", "order_qty"]
+
 
+def _received_schema(wms_rows: DataFrame) -> T.StructType:
+    """The columns of the order lines that a receipt of such rows keeps."""
+    lines = receive_orders(wms_rows, receipt_items(receive_summary(wms_rows)), optional=["order_type"]).schema
+    return T.StructType([*lines.fields, *T.StructType.fromDDL(RECEIVED_EXTRA).fields])
 
-def stream_receive(wms_rows: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """Receive upstream rows as they arrive, and type the orders of every batch they touch.
 
-    The table at ``path`` is partitioned by tenant and batch; a touched batch is read, typed again with its new
-    lines and put back, so an order whose lines come in several micro-batches gets the right type. Lines that are
-    past typing (instructed, assigned, picked) keep their type and status.
+def last_orders(wms_rows: DataFrame, path: str) -> DataFrame:
+    """The order lines that ``stream_receive`` has received so far; ``wms_rows`` gives the schema."""
+    state = last_state(wms_rows.sparkSession, path, _received_schema(_with_type(wms_rows)), LINE_KEYS)
+    return state.filter("NOT is_withdrawn").drop("given_type", "is_withdrawn")
+
+
+def _with_type(wms_rows: DataFrame) -> DataFrame:
+    return wms_rows if "order_type" in wms_rows.columns else wms_rows.withColumn("order_type", F.lit(None).cast("string"))
+
+
+def stream_receive(wms_rows: DataFrame, path: str, checkpoint: str, *, compact_every: int = 20, trigger: dict | None = None) -> StreamingQuery:
+    """Receive upstream rows as they arrive, and type the orders that new lines touch.
+
+    Three logs are kept (``updates``): the order lines at ``path``, keyed by line, with a snapshot partitioned by tenant
+    and batch; the receipt items at ``path_items``; and at ``path_errors`` the rows that were not received. A micro-batch
+    reads the lines of the batches it touches and writes the lines of the orders it touches.
+
+    A line that is there already stays as it is; of several rows for one line in a micro-batch the smallest counts. Types and status are those of a receipt in one go: a batch in which
+    upstream typed any line keeps the given types, other orders are typed by their distinct SKUs, so an order whose lines
+    come in several micro-batches gets the right type. An item with a faulty line is not received: its lines go to
+    ``path_errors``, those received before are taken back. Lines that are past typing (instructed, assigned, picked) keep
+    type and status in all cases.
     """
+    static = wms_rows.sparkSession.createDataFrame([], _with_type(wms_rows).schema)
+    order_schema = _received_schema(static)
+    item_schema = receipt_items(receive_summary(static)).select(*ITEM_KEYS, *KEY[1:], "status").schema
+    letter_schema = T.StructType([*static.select(*DEAD_LETTER).schema.fields, T.StructField("reason", T.StringType())])
+    past = ~F.col("status").isin(ORDER_WAIT, ORDER_TYPED)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = receive_orders(batch, receipt_items(receive_summary(batch))).withColumn("order_type", F.lit(None).cast("string"))
-        stored = _stored(batch.sparkSession, path, new.schema)
-        lines = new
-        if stored is not None:
-            touched = new.select(*KEY).distinct()
-            old = stored.join(touched, KEY, "left_semi")
-            past = ~F.col("status").isin(ORDER_WAIT, ORDER_TYPED)
-            old = old.withColumns({"_kept_type": F.when(past, F.col("order_type")), "_kept_status": F.when(past, F.col("status"))})
-            old = old.withColumn("order_type", F.lit(None).cast("string"))
-            line = ["domain_id", "order_no", "order_line_no", "com_cd", "sku_cd"]
-            fresh = new.join(old.select(*line), line, "left_anti").withColumns({"_kept_type": F.lit(None).cast("string"), "_kept_status": F.lit(None).cast("string")})
-            lines = old.unionByName(fresh)
-        typed = classify_orders(lines)
-        if stored is not None:
-            typed = typed.withColumns({"order_type": F.coalesce("_kept_type", "order_type"), "status": F.coalesce("_kept_status", "status")}).drop("_kept_type", "_kept_status")
-        overwrite_batches(typed, path, f"{path}_staging")
+        spark = batch.sparkSession
+        batch = _with_type(batch)
+        items = receipt_items(receive_summary(batch))
+        keys = items.select(*ITEM_KEYS).distinct()
+        before = last_state(spark, f"{path}_items", item_schema, ITEM_KEYS, before=epoch).join(keys, ITEM_KEYS, "left_semi")
+        stopped = before.filter(F.col("status") == RECEIPT_ERROR).select(*ITEM_KEYS).unionByName(faulty_items(batch, items)).distinct()
+        fresh = receive_orders(batch, items.join(stopped, ITEM_KEYS, "left_anti"), optional=["order_type"])
+        fresh = fresh.withColumns({"given_type": F.col("order_type"), "is_withdrawn": F.lit(False)})
+        # one row per line, also if a micro-batch has it twice
+        others = [c for c in order_schema.names if c not in LINE_KEYS]
+        fresh = fresh.groupBy(*LINE_KEYS).agg(F.min(F.struct(*others)).alias("_r")).select(*LINE_KEYS, "_r.*")
+
+        touched = items.select("domain_id", "batch_id").distinct()
+        old = last_state(spark, path, order_schema, LINE_KEYS, before=epoch).join(touched, KEY, "left_semi").filter("NOT is_withdrawn")
+        old = old.join(stopped.withColumn("_stop", F.lit(True)), ITEM_KEYS, "left").withColumn("_gone", F.coalesce(F.col("_stop") & ~past, F.lit(False))).drop("_stop")
+        added = fresh.join(old.select(*LINE_KEYS), LINE_KEYS, "left_anti")
+        lines = old.withColumn("_new", F.lit(False)).unionByName(added.withColumns({"_gone": F.lit(False), "_new": F.lit(True)}))
+
+        stay = lines.filter("NOT _gone")
+        types = order_classes(stay).withColumnRenamed("order_type", "_type")
+        orders = lines.groupBy(*KEY, "class_cd").agg(F.max(F.col("_new") | F.col("_gone")).alias("_touched"))
+        given = lines.groupBy(*KEY).agg(
+            F.count_if(~F.col("_gone") & F.col("given_type").isNotNull()).alias("_given"), F.count_if(~F.col("_new") & F.col("given_type").isNotNull()).alias("_was")
+        )
+        changed = (
+            lines.join(orders, [*KEY, "class_cd"])
+            .join(given, KEY)
+            # a batch that turns out to be typed upstream, or not to be, is typed again as a whole
+            .filter(F.col("_touched") | ((F.col("_given") > 0) != (F.col("_was") > 0)))
+            .join(types, [*KEY, "class_cd"], "left")
+            .withColumns(
+                {
+                    "order_type": F.when(past, F.col("order_type")).when(F.col("_given") > 0, F.col("given_type")).otherwise(F.col("_type")),
+                    "status": F.when(past, F.col("status")).otherwise(F.lit(ORDER_TYPED)),
+                    "is_withdrawn": F.col("_gone"),
+                }
+            )
+        )
+        write_epoch(changed.select(*order_schema.names), path, epoch)
+        # what was taken back is found among the changes just written
+        withdrawn = spark.read.schema(order_schema).parquet(f"{path}/epoch={epoch}").filter("is_withdrawn")
+        refused = batch.filter("if_flag = 'N'").join(stopped, ITEM_KEYS, "left_semi").select(*DEAD_LETTER, F.lit("item with a faulty line").alias("reason"))
+        letters = refused.unionByName(withdrawn.select(*DEAD_LETTER, F.lit("taken back").alias("reason")))
+        write_epoch(letters.select(*letter_schema.names), f"{path}_errors", epoch)
+        status = F.when(F.col("_stop"), RECEIPT_ERROR).otherwise(RECEIPT_FINISHED)
+        after = items.select(*ITEM_KEYS, "batch_id").distinct().join(stopped.withColumn("_stop", F.lit(True)), ITEM_KEYS, "left").withColumn("status", status)
+        write_epoch(after.select(*item_schema.names), f"{path}_items", epoch)
+        if compact_every and epoch and epoch % compact_every == 0:
+            compact(spark, path, order_schema, LINE_KEYS, epoch - 1, partition_by=KEY)
+            compact(spark, f"{path}_items", item_schema, ITEM_KEYS, epoch - 1)
 
     return _start(wms_rows, write, checkpoint, "append", trigger)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """The table at ``path``, None before its first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
