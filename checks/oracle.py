@@ -650,6 +650,19 @@ WITH {CONFIRMED} SELECT id, domain_id, batch_id, picked_qty, applied_qty, status
 BODIES["stream_progress"] = """
 SELECT domain_id, batch_id, date_trunc('hour', ts) AS window_start, count(*) AS event_cnt, cast(sum(qty) AS bigint) AS qty FROM wh_pick_events GROUP BY ALL"""
 BODIES["stream_box_arrival"] = BODIES["box_arrivals"]
+SHOWN = "id, domain_id, batch_id, order_no, sku_cd, order_qty, order_type, status"
+BODIES["sink_insert_select"] = f"""
+SELECT {SHOWN} FROM wh_orders UNION ALL SELECT * REPLACE (concat(id, '-2') AS id, 'R' AS status) FROM (SELECT {SHOWN} FROM wh_orders WHERE status = 'W')"""
+BODIES["sink_batch_insert"] = f"SELECT {SHOWN} FROM wh_orders"
+BODIES["sink_update"] = f"""
+SELECT * REPLACE (CASE WHEN status = 'W' AND cast(right(batch_id, 2) AS int) % 2 = 0 THEN 'C' ELSE status END AS status) FROM (SELECT {SHOWN} FROM wh_orders)"""
+BODIES["sink_delete"] = f"""
+SELECT {SHOWN} FROM wh_orders WHERE batch_id <> 'B1-199503' AND (domain_id, batch_id, order_no) NOT IN (SELECT (domain_id, batch_id, order_no) FROM wh_orders WHERE order_qty > 45)"""
+BODIES["load_tables_pruned"] = """
+WITH t_run AS (SELECT domain_id, id AS batch_id FROM wh_batches WHERE status = 'RUN'),
+t_lines AS (SELECT domain_id, batch_id, count(*) AS line_cnt, cast(sum(order_qty) AS bigint) AS pcs FROM wh_orders GROUP BY ALL),
+t_jobs AS (SELECT domain_id, batch_id, count(*) AS job_cnt, cast(sum(picked_qty) AS bigint) AS picked_pcs FROM wh_jobs GROUP BY ALL)
+SELECT l.*, j.job_cnt, j.picked_pcs FROM t_run r JOIN t_lines l USING (domain_id, batch_id) LEFT JOIN t_jobs j USING (domain_id, batch_id)"""
 UPSTREAM = """
 t_new AS (SELECT * REPLACE (CASE WHEN cast(job_date AS int) % 7 = 0 AND order_line_no = '3' THEN NULL ELSE order_qty END AS order_qty),
     CASE WHEN cast(job_date AS int) % 5 = 0 AND order_line_no = '2' THEN 'MT' END AS given_type FROM wh_wms_if_orders WHERE if_flag = 'N'),

@@ -22,10 +22,13 @@ from pickflow.operators import picking as pk
 from pickflow.operators import progress as pg
 from pickflow.operators import receive as rc
 from pickflow.plans import flows
-from pickflow.schemas import KEY, ORDER_INSTRUCTED
+from pickflow.schemas import KEY, ORDER_INSTRUCTED, SCHEMAS, columns_of
 from pickflow.session import cut_lineage, use_checkpoint_dir
+from pickflow.sources import versions as vs
 from pickflow.sources.sample import sample_streams, sample_tables
+from pickflow.sources.sinks import write_table
 from pickflow.sources.tables import Tables
+from pickflow.sources.tables import load_tables as load_from
 from pickflow.streaming import jobs as st
 from pickflow.streaming.updates import last_state
 
@@ -88,6 +91,11 @@ def _scans(t: Tables) -> DataFrame:
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # receive
     "load_tables": load_tables,
+    "load_tables_pruned": lambda t: load_tables_pruned(t),
+    "sink_insert_select": lambda t: sink_insert_select(t),
+    "sink_batch_insert": lambda t: sink_batch_insert(t),
+    "sink_update": lambda t: sink_update(t),
+    "sink_delete": lambda t: sink_delete(t),
     "receive_summary": lambda t: rc.receive_summary(t.wms_if_orders),
     "receive_orders": lambda t: rc.receive_orders(t.wms_if_orders, _receipt(t), t.orders.filter("status = 'F'")),
     "receive_batch_orders": lambda t: _received(t).orders.select("id", *KEY, "order_no", "order_line_no", "com_cd", "sku_cd", "order_qty", "class_cd", "status"),
@@ -300,6 +308,68 @@ def stream_receive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}_errors").select(*st.DEAD_LETTER[:-1]).distinct()
 
 
+def _table_folder(spark: SparkSession) -> str:
+    return f"{use_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+ORDER_SCHEMA = SCHEMAS["orders"]
+SHOWN = ["id", *KEY, "order_no", "sku_cd", "order_qty", "order_type", "status"]
+
+
+def _order_table(t: Tables) -> tuple[SparkSession, str]:
+    """A table of all order lines, as inserted from a query."""
+    spark, path = t.orders.sparkSession, f"{_table_folder(t.orders.sparkSession)}/orders"
+    vs.insert_rows(t.orders.select(*columns_of("orders")), path)
+    return spark, path
+
+
+def sink_insert_select(t: Tables) -> DataFrame:
+    """Two inserts from queries, the second from the table itself."""
+    spark, path = _order_table(t)
+    again = vs.read_version(spark, path, ORDER_SCHEMA).filter("status = 'W'").withColumns({"id": F.concat("id", F.lit("-2")), "status": F.lit("R")})
+    vs.insert_rows(again, path)
+    return vs.read_version(spark, path, ORDER_SCHEMA).select(*SHOWN)
+
+
+def sink_batch_insert(t: Tables) -> DataFrame:
+    """The lines come in three inserts by line number; a batch gets rows from each."""
+    spark, path = t.orders.sparkSession, f"{_table_folder(t.orders.sparkSession)}/orders"
+    for k in range(3):
+        vs.insert_rows(t.orders.select(*columns_of("orders")).filter(F.pmod(F.col("order_line_no").cast("int"), F.lit(3)) == k), path)
+    return vs.read_version(spark, path, ORDER_SCHEMA).select(*SHOWN)
+
+
+def sink_update(t: Tables) -> DataFrame:
+    """Waiting lines of every other month are cancelled; the other batches stay as they were written."""
+    spark, path = _order_table(t)
+    rows = vs.read_version(spark, path, ORDER_SCHEMA).filter(F.col("job_date").cast("int") % 2 == 0)
+    vs.replace_batches(rows.withColumn("status", F.when(F.col("status") == "W", "C").otherwise(F.col("status"))), path)
+    return vs.read_version(spark, path, ORDER_SCHEMA).select(*SHOWN)
+
+
+def sink_delete(t: Tables) -> DataFrame:
+    """Orders with a line of more than 45 pieces go, and one batch as a whole."""
+    spark, path = _order_table(t)
+    large = t.orders.filter("order_qty > 45").select(*KEY, "order_no")
+    month = t.orders.filter("batch_id = 'B1-199503'").select(*KEY, "order_no")
+    vs.delete_rows(spark, path, ORDER_SCHEMA, large.unionByName(month), [*KEY, "order_no"])
+    return vs.read_version(spark, path, ORDER_SCHEMA).select(*SHOWN)
+
+
+def load_tables_pruned(t: Tables) -> DataFrame:
+    """Tables written by batch and loaded again; a list of running batches decides which folders are read."""
+    spark, path = t.orders.sparkSession, _table_folder(t.orders.sparkSession)
+    vs.insert_rows(t.orders.select(*columns_of("orders")), f"{path}/orders")
+    for name in ("jobs", "batches"):
+        frame = getattr(t, name)
+        write_table(frame.select(*columns_of(name)), f"{path}/{name}")
+    loaded = load_from(spark, path)
+    running = loaded.batches.filter("status = 'RUN'").select("domain_id", F.col("id").alias("batch_id"))
+    lines = loaded.orders.join(running, KEY).groupBy(*KEY).agg(F.count("*").alias("line_cnt"), F.sum("order_qty").alias("pcs"))
+    picks = loaded.jobs.join(running, KEY).groupBy(*KEY).agg(F.count("*").alias("job_cnt"), F.sum("picked_qty").alias("picked_pcs"))
+    return lines.join(picks, KEY, "left")
+
+
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_confirm_pick": stream_confirm_pick,
     "stream_progress": stream_progress,

@@ -78,3 +78,8 @@ SCHEMAS = {
         order_no string, box_id string, sub_equip_cd string, box_seq bigint, status string""",
     "pick_events": "event_id string, domain_id int, batch_id string, job_id string, ts timestamp_ntz, qty int",
 }
+
+
+def columns_of(table: str) -> list[str]:
+    """Names of the declared columns of a table."""
+    return [field.split()[0] for field in SCHEMAS[table].split(",")]

@@ -62,7 +62,7 @@ def load_tables(spark: SparkSession, path: str, *, fmt: str = "parquet") -> Tabl
     def reader(name: str) -> Callable[[Tables], DataFrame]:
         def read(_: Tables) -> DataFrame:
             if is_versioned(spark, f"{path}/{name}"):
-                return read_version(spark, f"{path}/{name}", T.StructType.fromDDL(SCHEMAS[name]))
+                return read_version(spark, f"{path}/{name}", SCHEMAS[name])
             # The schema that is stored is checked; what is asked for then also gives the partition columns their types.
             check_schema(name, spark.read.format(fmt).load(f"{path}/{name}"), untyped=KEY)
             return spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{path}/{name}")
