@@ -362,11 +362,12 @@ WITH {TYPED},{SCOPE} SELECT o.id, o.domain_id, o.batch_id,
   CASE WHEN s.id IS NOT NULL AND o.order_type = 'OT' THEN 'R4' ELSE o.equip_cd END AS equip_cd
 FROM t_typed o LEFT JOIN t_scope s ON s.domain_id = o.domain_id AND s.id = o.batch_id""",
     "create_single_pack_jobs": f"""
-WITH {CLASSIFIED} SELECT o.domain_id, o.batch_id, o.job_date, o.job_seq, o.job_type, o.equip_type, coalesce(o.equip_cd, 'R4') AS equip_cd, o.class_cd, o.class_cd AS order_no,
+WITH {CLASSIFIED} SELECT sha256(concat_ws('|', o.domain_id, o.batch_id, o.class_cd, o.com_cd, o.sku_cd, coalesce(o.box_type_cd, ''), coalesce(o.equip_cd, 'R4'))) AS id,
+  o.domain_id, o.batch_id, o.job_date, o.job_seq, o.job_type, o.stage_cd, o.equip_type, coalesce(o.equip_cd, 'R4') AS equip_cd, 'Rack 4' AS equip_nm, o.class_cd, o.class_cd AS order_no,
   o.com_cd, o.com_cd AS shop_cd, o.sku_cd, max(s.sku_nm) AS sku_nm, o.box_type_cd, cast(sum(o.order_qty) AS int) AS pick_qty, o.order_type, 'W' AS status, cast(0 AS bigint) AS input_seq
 FROM t_classified o LEFT JOIN wh_sku s ON s.domain_id = o.domain_id AND s.com_cd = o.com_cd AND s.sku_cd = o.sku_cd
 WHERE o.order_type = 'OT'
-GROUP BY o.domain_id, o.batch_id, o.job_date, o.job_seq, o.job_type, o.equip_type, o.equip_cd, o.class_cd, o.com_cd, o.sku_cd, o.box_type_cd, o.order_type""",
+GROUP BY o.domain_id, o.batch_id, o.job_date, o.job_seq, o.job_type, o.stage_cd, o.equip_type, o.equip_cd, o.class_cd, o.com_cd, o.sku_cd, o.box_type_cd, o.order_type""",
     "batch_counts": """
 SELECT b.domain_id, b.id AS batch_id, count(DISTINCT o.class_cd) AS batch_order_qty, count(DISTINCT o.sku_cd) AS batch_sku_qty,
   cast(sum(o.order_qty) AS bigint) AS batch_pcs, coalesce(max(b.instructed_at), timestamp '2020-01-01') AS instructed_at
@@ -663,6 +664,32 @@ WITH t_run AS (SELECT domain_id, id AS batch_id FROM wh_batches WHERE status = '
 t_lines AS (SELECT domain_id, batch_id, count(*) AS line_cnt, cast(sum(order_qty) AS bigint) AS pcs FROM wh_orders GROUP BY ALL),
 t_jobs AS (SELECT domain_id, batch_id, count(*) AS job_cnt, cast(sum(picked_qty) AS bigint) AS picked_pcs FROM wh_jobs GROUP BY ALL)
 SELECT l.*, j.job_cnt, j.picked_pcs FROM t_run r JOIN t_lines l USING (domain_id, batch_id) LEFT JOIN t_jobs j USING (domain_id, batch_id)"""
+BODIES["single_pack_jobs_appended"] = f"""
+WITH {CLASSIFIED},
+t_made AS (SELECT domain_id, batch_id, coalesce(equip_cd, 'R4') AS equip_cd, class_cd, com_cd, sku_cd, box_type_cd, sum(order_qty) AS pcs FROM t_classified WHERE order_type = 'OT' GROUP BY ALL),
+t_all AS (SELECT domain_id, batch_id, equip_cd, order_type, status, pick_qty AS pcs, picked_qty FROM wh_jobs
+  UNION ALL SELECT domain_id, batch_id, equip_cd, 'OT', 'W', pcs, 0 FROM t_made)
+SELECT domain_id, batch_id, equip_cd, order_type, status, count(*) AS job_cnt, cast(sum(pcs) AS bigint) AS pcs, cast(sum(picked_qty) AS bigint) AS picked_pcs FROM t_all GROUP BY ALL"""
+BODIES["split_batch_racks"] = f"""
+WITH {SPLIT_MANY} SELECT r.domain_id, r.rack_cd, coalesce(r.batch_id, (SELECT max(p.new_batch_id) FROM t_parts p WHERE p.domain_id = r.domain_id AND p.equip_cd = r.rack_cd)) AS batch_id FROM wh_racks r"""
+BODIES["cancel_instruction_racks"] = f"""
+WITH {CANCELLED}, t_freed AS (SELECT DISTINCT domain_id, equip_cd AS rack_cd FROM t_cancelled WHERE allowed)
+SELECT r.domain_id, r.rack_cd, CASE WHEN f.rack_cd IS NULL THEN r.status END AS status, CASE WHEN f.rack_cd IS NULL THEN r.batch_id END AS batch_id
+FROM wh_racks r LEFT JOIN t_freed f USING (domain_id, rack_cd)"""
+BODIES["batches_after_change"] = f"""
+WITH {REQUESTS} SELECT b.domain_id, b.id, coalesce((SELECT k.to_equip_cd FROM t_check k WHERE k.reason = 'OK' AND k.domain_id = b.domain_id AND k.batch_id = b.id), b.equip_cd) AS equip_cd FROM wh_batches b"""
+BODIES["hooks"] = f"""
+WITH {TYPED},
+t_lines AS (SELECT t.* FROM t_typed t JOIN wh_batches b ON b.domain_id = t.domain_id AND b.id = t.batch_id WHERE b.status IN ('WAIT', 'READY') AND t.com_cd <> 'COM3'),
+t_many AS (SELECT domain_id, batch_id FROM t_lines GROUP BY ALL HAVING count(DISTINCT equip_cd) > 1),
+t_ranked AS (SELECT domain_id, batch_id, equip_cd, row_number() OVER (PARTITION BY domain_id, batch_id ORDER BY equip_cd) AS place
+  FROM (SELECT DISTINCT domain_id, batch_id, equip_cd FROM t_lines SEMI JOIN t_many USING (domain_id, batch_id) WHERE equip_cd IS NOT NULL))
+SELECT o.id, o.domain_id, CASE WHEN r.place > 1 THEN concat(o.batch_id, '-', r.place) ELSE o.batch_id END AS batch_id, CASE WHEN o.com_cd = 'COM1' THEN 'H' ELSE 'W' END AS status
+FROM t_lines o LEFT JOIN t_ranked r USING (domain_id, batch_id, equip_cd)"""
+LEFT_OUT = "AND order_type = 'MT' AND (domain_id, batch_id, class_cd) NOT IN (SELECT (domain_id, batch_id, class_cd) FROM wh_orders WHERE status = 'W' AND com_cd = 'COM1')"
+BODIES["skip_orders_hook"] = f"WITH RECURSIVE {DEMAND.format(kind=LEFT_OUT)},{TOTAL},{USABLE},{GREEDY} SELECT * FROM t_allocated"
+BODIES["picking_jobs_blank_seq"] = PICKING_COLUMNS + "coalesce(j.input_seq, 0) = 0"
+BODIES["picking_jobs_other_cells"] = PICKING_COLUMNS + "j.equip_cd = 'R1' AND c.cell_cd <> 'R1-C5'"
 UPSTREAM = """
 t_new AS (SELECT * REPLACE (CASE WHEN cast(job_date AS int) % 7 = 0 AND order_line_no = '3' THEN NULL ELSE order_qty END AS order_qty),
     CASE WHEN cast(job_date AS int) % 5 = 0 AND order_line_no = '2' THEN 'MT' END AS given_type FROM wh_wms_if_orders WHERE if_flag = 'N'),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from pickflow.functions.columns import box_color, box_type_of
 from pickflow.functions.paging import rowset_page
+from pickflow.hooks import Hooks
 from pickflow.operators import allocate as al
 from pickflow.operators import boxing as bx
 from pickflow.operators import classify as cl
@@ -88,6 +89,33 @@ def _scans(t: Tables) -> DataFrame:
     return t.jobs.filter("box_id IS NOT NULL").select(*KEY, "equip_type", "equip_cd", "station_cd", "box_id")
 
 
+SINGLE_PACK = [
+    *"id domain_id batch_id job_date job_seq job_type stage_cd equip_type equip_cd equip_nm class_cd order_no com_cd shop_cd sku_cd".split(),
+    *"sku_nm box_type_cd pick_qty order_type status input_seq".split(),
+]
+
+
+def _jobs_with_single_packs(t: Tables) -> DataFrame:
+    """The jobs table after single-pack jobs were appended to it."""
+    made = ins.create_single_pack_jobs(cl.classify_orders(t.received_orders), t.racks, t.sku)
+    columns = columns_of("jobs")
+    return t.jobs.select(*columns).unionByName(made.select(*columns)).groupBy(*KEY, "equip_cd", "order_type", "status").agg(
+        F.count_distinct("id").alias("job_cnt"), F.sum("pick_qty").alias("pcs"), F.sum("picked_qty").alias("picked_pcs")
+    )
+
+
+def _hooked_orders(t: Tables) -> DataFrame:
+    """The instruct flow of a site that leaves one company out after typing and holds the lines of another at the end."""
+    hooks = Hooks().add("classify_orders", lambda df: df.filter("com_cd <> 'COM3'"))
+    hooks.add("after_instruct", lambda df: df.withColumn("status", F.when(F.col("com_cd") == "COM1", "H").otherwise(F.col("status"))))
+    return flows.instruct(t.replace(orders=t.received_orders), hooks).orders.select("id", *KEY, "status")
+
+
+def _allocated_but_skipped(t: Tables) -> DataFrame:
+    """Allocation of a site that leaves out orders with a line of one company."""
+    return flows.allocate_stock(t, Hooks().add("skip_orders", lambda df: df.filter("com_cd = 'COM1'"))).allocations
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # receive
     "load_tables": load_tables,
@@ -121,9 +149,13 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "split_batch_by_rack": lambda t: ins.split_batch_by_rack(t.orders, t.racks),
     "split_batch_orders": lambda t: ins.apply_split(t.received_orders, t.batches, t.racks).orders.select("id", *KEY, "equip_cd", "equip_nm"),
     "split_batch_batches": lambda t: ins.apply_split(t.received_orders, t.batches, t.racks).batches.select("domain_id", "id", "batch_group_id", "equip_cd", "batch_order_qty", "batch_pcs", "status"),
+    "split_batch_racks": lambda t: ins.apply_split(t.received_orders, t.batches, t.racks).racks.select("domain_id", "rack_cd", "batch_id"),
+    "hooks": _hooked_orders,
+    "skip_orders_hook": _allocated_but_skipped,
     "instruct_orders": lambda t: ins.instruct_orders(_typed(t), ins.batches_to_instruct(t.batches, _waiting_batches(t))).select("id", *KEY, "status", "equip_cd"),
     "instruct_orders_procedure": lambda t: ins.instruct_orders(_typed(t), ins.batches_to_instruct(t.batches, _waiting_batches(t)), t.racks, variant="procedure").select("id", *KEY, "status", "equip_cd"),
-    "create_single_pack_jobs": lambda t: ins.create_single_pack_jobs(cl.classify_orders(t.received_orders), t.racks, t.sku),
+    "create_single_pack_jobs": lambda t: ins.create_single_pack_jobs(cl.classify_orders(t.received_orders), t.racks, t.sku).select(*SINGLE_PACK),
+    "single_pack_jobs_appended": lambda t: _jobs_with_single_packs(t),
     "batch_counts": lambda t: ins.batch_counts(t.orders, t.batches, F.lit("2020-01-01").cast("timestamp_ntz")),
     "mark_racks": lambda t: ins.mark_racks(t.racks, t.orders, t.batches).select("domain_id", "rack_cd", "status", "batch_id"),
     "merge_batch": lambda t: ins.merge_batch(_typed(t), t.batches, t.merge_plan).orders.select("id", *KEY, "new_batch_id", "status", "equip_cd"),
@@ -136,6 +168,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cancel_instruction": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).orders.select("id", *KEY, "status", "equip_cd"),
     "cancel_instruction_batches": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).batches.select("domain_id", "id", "allowed", "status", "equip_cd"),
     "cancel_instruction_jobs": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).jobs.select("id", *KEY, "status"),
+    "cancel_instruction_racks": lambda t: ins.cancel_instruction(t.orders, t.batches, t.jobs, t.racks).racks.select("domain_id", "rack_cd", "status", "batch_id"),
     "config_flags": lambda t: ins.config_flags(t.batches, t.configs),
     "running_batches": lambda t: ins.running_batches(t.batches).select("domain_id", "id", "job_date", "equip_cd", "status"),
     # allocation
@@ -182,6 +215,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "picking_jobs": lambda t: pk.picking_jobs(t.jobs, t.cells, t.sku, t.indicators, t.gateways, status=["W", "I", "P", "C"]),
     "picking_jobs_restore": lambda t: pk.picking_jobs(t.jobs, t.cells, t.sku, t.indicators, t.gateways, restore=True),
     "picking_jobs_latest": lambda t: pk.picking_jobs(t.jobs, t.cells, t.sku, t.indicators, t.gateways, latest_running=t.inputs),
+    "picking_jobs_blank_seq": lambda t: pk.picking_jobs(t.jobs, t.cells, t.sku, t.indicators, t.gateways, input_seq_is_blank=True),
+    "picking_jobs_other_cells": lambda t: pk.picking_jobs(t.jobs, t.cells, t.sku, t.indicators, t.gateways, exclude_cell_cd="R1-C5", equip_cd="R1"),
     "job_indicator": lambda t: pk.job_indicator(t.jobs, t.cells, t.indicators, t.gateways).select("id", *KEY, "ind_cd", "gw_path"),
     "order_items": lambda t: pk.order_items(t.jobs, t.box_packs).select("id", *KEY, "order_no", "sku_cd", "pick_qty", "picked_qty", "status"),
     "single_pack_summary": lambda t: pk.single_pack_summary(t.jobs, job_pcs=10, job_box_type="BT1"),
@@ -217,6 +252,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "close_batch_preprocesses": lambda t: _closed(t).preprocesses,
     "close_batch_work_cells": lambda t: _closed(t).work_cells,
     "change_equipment_check": lambda t: cs.change_equipment_check(t.batches, t.cells, t.rack_requests).select(*KEY, "to_equip_cd", "reason"),
+    "batches_after_change": lambda t: cs.batches_after_change(t.batches, t.cells, t.rack_requests).select("domain_id", "id", "equip_cd"),
     "change_equipment": lambda t: cs.change_equipment(t.orders, t.batches, t.cells, t.rack_requests).select("id", *KEY, "equip_cd", "sub_equip_cd"),
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.operators.classify import splittable_batches
+from pickflow.functions.columns import natural_id
 from pickflow.schemas import (
     BATCH_MERGED,
     BATCH_READY,
@@ -121,27 +122,36 @@ def batches_to_instruct(batches: DataFrame, instructed: DataFrame) -> DataFrame:
 def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame | None = None, *, status: str | None = None) -> DataFrame:
     """One pick job per single order class, SKU, box type and rack; lines without a rack go to the single-pack rack.
 
-    ``status`` narrows the lines: all single lines of an instructed batch get jobs, of a merged one those in T.
+    ``status`` narrows the lines: all single lines of an instructed batch get jobs, of a merged one those in T. The rack name
+    is that of the lines, where they have none that of the single-pack rack. The id is made of tenant, batch, class, SKU, box
+    type and rack. Columns of the jobs table that are not set yet are null, so the rows can be appended to it.
     """
     orders = orders if status is None else orders.filter(F.col("status") == status)
+    orders = orders if "equip_nm" in orders.columns else orders.withColumn("equip_nm", F.lit(None).cast("string"))
     keys = [*KEY, "area_cd", "stage_cd", "job_date", "job_seq", "job_type", "equip_type", "class_cd", "order_type"]
     grouped = (
         orders.filter(F.col("order_type") == SINGLE)
         .groupBy(*keys, "com_cd", "sku_cd", "box_type_cd", "equip_cd")
-        .agg(F.sum("order_qty").cast("int").alias("pick_qty"))
+        .agg(F.sum("order_qty").cast("int").alias("pick_qty"), F.max("equip_nm").alias("equip_nm"))
     )
     if sku is not None:
         grouped = grouped.join(sku.select("domain_id", "com_cd", "sku_cd", "sku_nm"), ["domain_id", "com_cd", "sku_cd"], "left")
     else:
         grouped = grouped.withColumn("sku_nm", F.lit(None).cast("string"))
     placed = grouped.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
+    placed = placed.withColumns({"equip_cd": F.coalesce("equip_cd", "_ot_rack_cd"), "equip_nm": F.coalesce("equip_nm", "_ot_rack_nm")})
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*KEY, "class_cd", "com_cd", "sku_cd", "box_type_cd", "equip_cd")]
+    unset = "sub_equip_cd ind_cd box_class_cd box_id invoice_id color_cd".split()
     return placed.select(
+        natural_id(*named).alias("id"),
         *KEY,
         "job_date",
         "job_seq",
         "job_type",
+        "stage_cd",
         "equip_type",
-        F.coalesce("equip_cd", "_ot_rack_cd").alias("equip_cd"),
+        "equip_cd",
+        "equip_nm",
         "class_cd",
         F.col("class_cd").alias("order_no"),
         "com_cd",
@@ -153,6 +163,9 @@ def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame
         "order_type",
         F.lit(JOB_WAIT).alias("status"),
         F.lit(0).cast("bigint").alias("input_seq"),
+        F.lit(0).alias("picked_qty"),
+        *[F.lit(None).cast("string").alias(c) for c in unset],
+        *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("pick_started_at", "pick_ended_at")],
     )
 
 
