@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from pickflow.functions.intervals import overlap_join
+from pickflow.functions.intervals import _level, _tiles, overlap_join
 from pickflow.functions.running import block_totals, row_numbers, running_totals
 
 
@@ -84,3 +84,22 @@ def test_overlap_join(spark, seed):
         for x in left for y in right if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])
     }
     assert got == want
+
+
+def test_overlap_join_with_intervals_of_very_different_lengths(spark):
+    """One interval a million times the average, many of length 1, borders that touch, and negative positions."""
+    rng = random.Random(3)
+    short = [(0, s, s + rng.choice((1, 1, 2, 3, 7)), f"s{i}") for i, s in enumerate(rng.sample(range(-5_000, 5_000), 600))]
+    wide = [(0, -3_000_000, 4_000_000, "w0"), (0, 4_999, 5_000_000, "w1"), (0, 17, 17, "empty"), (1, -2, 1_000_000_000_000, "alone")]
+    left = [*short[:300], *wide]
+    right = [*short[300:], (0, -10, 3_000_000, "w2"), (0, 10_000_000, 10_000_001, "far"), (2, 0, 5, "other key")]
+    a = spark.createDataFrame(left, "k int, start bigint, end bigint, l string")
+    b = spark.createDataFrame(right, "k int, start bigint, end bigint, r string")
+    want = {(x[3], y[3]): min(x[2], y[2]) - max(x[1], y[1]) for x in left for y in right if x[0] == y[0] and max(x[1], y[1]) < min(x[2], y[2])}
+    joined = overlap_join(a, b, ["k"])
+    got = [(r["l"], r["r"], r["overlap"]) for r in joined.collect()]
+    assert len(got) == len(want) and {(x, y): n for x, y, n in got} == want
+    # no interval makes more rows than two for each level of the other side
+    levels = F.array(*[F.lit(x) for x in range(0, 64, 2)])
+    one = a.filter("l = 'w0'").withColumns({"_level": _level(F.col("start"), F.col("end")), "_levels": levels})
+    assert _tiles(one, 0, F.filter("_levels", lambda x: x > F.col("_level"))).count() <= 64
