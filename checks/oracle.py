@@ -690,6 +690,9 @@ LEFT_OUT = "AND order_type = 'MT' AND (domain_id, batch_id, class_cd) NOT IN (SE
 BODIES["skip_orders_hook"] = f"WITH RECURSIVE {DEMAND.format(kind=LEFT_OUT)},{TOTAL},{USABLE},{GREEDY} SELECT * FROM t_allocated"
 BODIES["picking_jobs_blank_seq"] = PICKING_COLUMNS + "coalesce(j.input_seq, 0) = 0"
 BODIES["picking_jobs_other_cells"] = PICKING_COLUMNS + "j.equip_cd = 'R1' AND c.cell_cd <> 'R1-C5'"
+BODIES["rowset_page_deep"] = """
+SELECT id, domain_id, batch_id, pick_qty FROM wh_jobs QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY pick_qty DESC, id) BETWEEN 13981 AND 14000"""
+BODIES["rowset_page_of_all"] = "SELECT id, domain_id, batch_id, order_qty FROM wh_orders ORDER BY order_qty DESC, id LIMIT 1000 OFFSET 24000"
 UPSTREAM = """
 t_new AS (SELECT * REPLACE (CASE WHEN cast(job_date AS int) % 7 = 0 AND order_line_no = '3' THEN NULL ELSE order_qty END AS order_qty),
     CASE WHEN cast(job_date AS int) % 5 = 0 AND order_line_no = '2' THEN 'MT' END AS given_type FROM wh_wms_if_orders WHERE if_flag = 'N'),

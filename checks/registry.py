@@ -137,6 +137,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rowset_page": lambda t: rowset_page(
         ip.input_seq_list(t.jobs), [F.col("input_seq").desc(), F.col("order_no").asc(), F.col("box_id").asc()], 2, 20, keys=KEY
     ),
+    "rowset_page_deep": lambda t: rowset_page(t.jobs, [F.col("pick_qty").desc(), F.col("id").asc()], 700, 20, keys=["domain_id"]).select("id", *KEY, "pick_qty"),
+    "rowset_page_of_all": lambda t: rowset_page(t.orders, [F.col("order_qty").desc(), F.col("id").asc()], 25, 1000).select("id", *KEY, "order_qty"),
     # classify and instruct
     "apply_class_codes": lambda t: cl.apply_class_codes(t.received_orders, box_class_field="shop_cd").select("id", *KEY, "class_cd", "box_class_cd"),
     "apply_class_codes_configured": lambda t: cl.apply_class_codes(t.received_orders, ins.config_flags(t.batches, t.configs)).select("id", *KEY, "class_cd", "box_class_cd"),

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from pickflow.functions import paging
+from pickflow.functions.paging import rowset_page
 from pickflow.functions.intervals import _level, _tiles, overlap_join
 from pickflow.functions.running import block_totals, row_numbers, running_totals
 
@@ -103,3 +105,34 @@ def test_overlap_join_with_intervals_of_very_different_lengths(spark):
     levels = F.array(*[F.lit(x) for x in range(0, 64, 2)])
     one = a.filter("l = 'w0'").withColumns({"_level": _level(F.col("start"), F.col("end")), "_levels": levels})
     assert _tiles(one, 0, F.filter("_levels", lambda x: x > F.col("_level"))).count() <= 64
+
+
+def test_deep_pages_of_a_hot_group(spark, monkeypatch):
+    rng = random.Random(12)
+    values = [(None if k == 3 else k, rng.choice([None, *range(40)]), i) for i, k in enumerate(rng.choices([1, 2, 3], [50, 1, 1], k=6000))]
+    df = spark.createDataFrame(values, "k int, v int, i int").repartition(7)
+    order = [F.col("v").desc_nulls_last(), F.col("i").asc()]
+    ranked = sorted(values, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+    monkeypatch.setattr(paging, "SHALLOW", 50)
+    for page, limit in ((1, 51), (4, 20), (100, 30), (240, 25), (9000, 10)):
+        want = [r for k in (1, 2, None) for r in [x for x in ranked if x[0] == k][(page - 1) * limit : page * limit]]
+        assert sorted(tuple(r) for r in rowset_page(df, order, page, limit, keys=["k"]).select("i").collect()) == sorted((r[2],) for r in want)
+        whole = ranked[(page - 1) * limit : page * limit]
+        assert sorted(tuple(r) for r in rowset_page(df, order, page, limit).select("i").collect()) == sorted((r[2],) for r in whole)
+
+
+def test_a_deep_page_sorts_only_the_partitions_it_is_in(spark):
+    """Page 100,000 of ten million rows in one group: one block of rows is numbered, of some dozens."""
+    df = spark.range(10_000_000).select(F.lit(1).alias("k"), F.expr("id * 7919 % 10000000").alias("v"))
+    with_parts = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in with_parts}
+    for name, value in with_parts.items():
+        spark.conf.set(name, value)
+    try:
+        page = rowset_page(df, [F.col("v").asc()], 100_000, 50, keys=["k"])
+        assert [r["v"] for r in page.orderBy("v").collect()] == list(range(4_999_950, 5_000_000))
+        numbered = page._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert "WindowGroupLimit" not in numbered
