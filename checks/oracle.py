@@ -693,6 +693,41 @@ BODIES["picking_jobs_other_cells"] = PICKING_COLUMNS + "j.equip_cd = 'R1' AND c.
 BODIES["rowset_page_deep"] = """
 SELECT id, domain_id, batch_id, pick_qty FROM wh_jobs QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY pick_qty DESC, id) BETWEEN 13981 AND 14000"""
 BODIES["rowset_page_of_all"] = "SELECT id, domain_id, batch_id, order_qty FROM wh_orders ORDER BY order_qty DESC, id LIMIT 1000 OFFSET 24000"
+BY_BATCH = DEMAND.format(kind="AND order_type = 'MT'") + "," + TOTAL + "," + USABLE + """,
+t_turns AS (SELECT *, row_number() OVER (PARTITION BY domain_id, equip_type, equip_cd ORDER BY job_date DESC NULLS LAST, batch_id) AS turn
+  FROM (SELECT DISTINCT d.domain_id, d.equip_type, d.equip_cd, d.batch_id, b.job_date FROM t_demand d JOIN wh_batches b ON b.domain_id = d.domain_id AND b.id = d.batch_id WHERE b.status = 'RUN')),
+t_lines AS (SELECT d.*, t.turn, dense_rank() OVER (PARTITION BY d.domain_id, d.equip_type, d.equip_cd ORDER BY d.com_cd, d.sku_cd) AS i,
+    sum(order_qty) OVER same AS pcs, sum(line_cnt) OVER same AS line_sum
+  FROM t_demand d JOIN t_turns t USING (domain_id, equip_type, equip_cd, batch_id)
+  WINDOW same AS (PARTITION BY d.domain_id, d.equip_type, d.equip_cd, t.turn, d.com_cd, d.sku_cd)),
+t_orders AS (SELECT domain_id, equip_type, equip_cd, turn, list({'class_cd': class_cd, 'need': need}) AS orders
+  FROM (SELECT domain_id, equip_type, equip_cd, turn, class_cd, list({'i': i, 'qty': order_qty, 'sku': sku_cd, 'com': com_cd, 'pcs': pcs, 'lines': line_sum}) AS need FROM t_lines GROUP BY ALL) GROUP BY ALL),
+t_cap AS (SELECT domain_id, equip_type, equip_cd, com_cd, sku_cd, sum(load_qty) AS cap FROM t_usable GROUP BY ALL),
+t_item AS (SELECT DISTINCT w.domain_id, w.equip_type, w.equip_cd, w.i, cast(coalesce(cap, 0) AS bigint) AS cap, cast(coalesce(stock_qty, 0) AS bigint) AS stock
+  FROM t_lines w LEFT JOIN t_cap USING (domain_id, equip_type, equip_cd, com_cd, sku_cd) LEFT JOIN t_total USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)),
+t_run AS (
+  SELECT domain_id, equip_type, equip_cd, cast(0 AS bigint) AS turn, cast(0 AS bigint) AS seq, list(cap ORDER BY i) AS rest, list(stock ORDER BY i) AS stock, '' AS class_cd, false AS taken,
+    (SELECT any_value([{'k': {'cls': 0, 'load': cast(0 AS bigint), 'sku': '', 'com': '', 'qty': cast(0 AS bigint)}, 'class_cd': '', 'need': orders[1].need}]) FROM t_orders)[2:] AS todo
+  FROM t_item GROUP BY ALL
+  UNION ALL
+  SELECT r.domain_id, r.equip_type, r.equip_cd, CASE WHEN len(todo) > 0 THEN r.turn ELSE n.turn END, CASE WHEN len(todo) > 0 THEN r.seq + 1 ELSE 0 END,
+    CASE WHEN len(todo) > 0 AND list_min([rest[x.i] - x.qty for x in todo[1].need]) >= 0 THEN [v - coalesce(map([x.i for x in todo[1].need], [x.qty for x in todo[1].need])[k], 0) for v, k in rest] ELSE rest END,
+    CASE WHEN len(todo) > 0 AND list_min([rest[x.i] - x.qty for x in todo[1].need]) >= 0 THEN [v - coalesce(map([x.i for x in todo[1].need], [x.qty for x in todo[1].need])[k], 0) for v, k in stock] ELSE stock END,
+    CASE WHEN len(todo) > 0 THEN todo[1].class_cd ELSE '' END,
+    len(todo) > 0 AND list_min([rest[x.i] - x.qty for x in todo[1].need]) >= 0,
+    CASE WHEN len(todo) > 0 THEN todo[2:] ELSE list_sort([{
+        'k': list_min([{'cls': CASE WHEN x.pcs <= stock[x.i] THEN 1 WHEN x.lines >= stock[x.i] THEN 2 ELSE 3 END, 'load': -stock[x.i], 'sku': x.sku, 'com': x.com, 'qty': x.qty} for x in o.need if stock[x.i] > 0]),
+        'class_cd': o.class_cd, 'need': o.need} for o in n.orders if list_max([stock[x.i] for x in o.need]) > 0]) END
+  FROM t_run r LEFT JOIN t_orders n ON n.domain_id = r.domain_id AND n.equip_type = r.equip_type AND n.equip_cd = r.equip_cd AND n.turn = r.turn + 1
+  WHERE len(todo) > 0 OR n.turn IS NOT NULL),
+t_taken AS (SELECT l.*, r.seq, cast(sum(order_qty) OVER (PARTITION BY domain_id, equip_type, equip_cd, com_cd, sku_cd ORDER BY turn, r.seq) AS bigint) AS l_end
+  FROM t_lines l JOIN (SELECT domain_id, equip_type, equip_cd, turn, class_cd, seq FROM t_run WHERE taken) r USING (domain_id, equip_type, equip_cd, turn, class_cd))"""
+BODIES["allocate_by_batch"] = f"""
+WITH RECURSIVE {BY_BATCH}
+SELECT l.domain_id, l.batch_id, l.equip_type, l.equip_cd, l.class_cd AS order_no, l.com_cd, l.sku_cd, u.cell_cd, u.ind_cd, u.id AS stock_id,
+  cast(least(l_end, c_end) - greatest(l_end - order_qty, c_end - load_qty) AS bigint) AS assign_qty, l.seq, l.turn AS wave
+FROM t_taken l JOIN t_usable u USING (domain_id, equip_type, equip_cd, com_cd, sku_cd)
+WHERE least(l_end, c_end) > greatest(l_end - order_qty, c_end - load_qty)"""
 UPSTREAM = """
 t_new AS (SELECT * REPLACE (CASE WHEN cast(job_date AS int) % 7 = 0 AND order_line_no = '3' THEN NULL ELSE order_qty END AS order_qty),
     CASE WHEN cast(job_date AS int) % 5 = 0 AND order_line_no = '2' THEN 'MT' END AS given_type FROM wh_wms_if_orders WHERE if_flag = 'N'),

@@ -183,6 +183,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "create_jobs": lambda t: al.create_jobs(t.orders, al.allocate_lines(t.orders, t.stocks, t.cells), ins.config_flags(t.batches, t.configs)).drop("id"),
     "stock_after": lambda t: al.stock_after(t.stocks, al.allocate_lines(t.orders, t.stocks, t.cells)).select("id", "domain_id", "load_qty", "alloc_qty"),
     "orders_after": lambda t: al.orders_after(t.orders, al.allocate_lines(t.orders, t.stocks, t.cells)).select("id", *KEY, "status"),
+    "allocate_by_batch": lambda t: al.allocate(t.orders, t.stocks, t.cells, t.batches, wave="batch"),
     "allocate_instructed": lambda t: al.allocate(_instructed(t), t.stocks, t.cells, status=ORDER_INSTRUCTED),
     "allocate_create_jobs": lambda t: al.create_jobs(t.orders, al.allocate(t.orders, t.stocks, t.cells), ins.config_flags(t.batches, t.configs)).select(
         "id", *KEY, "equip_type", "equip_cd", "sub_equip_cd", "class_cd", "com_cd", "sku_cd", "pick_qty", "status"

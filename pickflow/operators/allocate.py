@@ -51,9 +51,10 @@ def stock_total(stocks: DataFrame) -> DataFrame:
     return loaded_stock(stocks).groupBy(*RACK, *ITEM).agg(F.sum("load_qty").cast("bigint").alias("stock_qty"))
 
 
-def _prioritised(demand: DataFrame, stocks: DataFrame, group: list[str]) -> DataFrame:
+def _prioritised(demand: DataFrame, total: DataFrame, group: list[str]) -> DataFrame:
+    """SKUs of every group with their rank class, given the stock that is left of each (``stock_total``)."""
     wanted = demand.groupBy(*group, *ITEM).agg(F.sum("order_qty").alias("order_qty"), F.sum("line_cnt").alias("order_sku_cnt"))
-    joined = wanted.join(stock_total(stocks).withColumnRenamed("stock_qty", "load_qty"), [*RACK, *ITEM])
+    joined = wanted.join(total.withColumnRenamed("stock_qty", "load_qty"), [*RACK, *ITEM])
     priority = (
         F.when(F.col("order_qty") <= F.col("load_qty"), 1).when(F.col("order_sku_cnt") >= F.col("load_qty"), 2).otherwise(3)
     )
@@ -66,7 +67,7 @@ def stock_priority(orders: DataFrame, stocks: DataFrame, *, status: str = ORDER_
     1 where the stock covers the whole demand, 2 where there are at least as many order lines as pieces, else 3.
     They are served by class, then by stock (most first), then by SKU.
     """
-    return _prioritised(open_demand(orders, status=status), stocks, [*KEY, "equip_type", "equip_cd"])
+    return _prioritised(open_demand(orders, status=status), stock_total(stocks), [*KEY, "equip_type", "equip_cd"])
 
 
 def orders_for_stock(orders: DataFrame, stocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -120,56 +121,117 @@ def _fill_cells(accepted: DataFrame, stock: DataFrame) -> DataFrame:
     return overlap_join(accepted, cells, [*RACK, *ITEM]).withColumnRenamed("overlap", "assign_qty")
 
 
-def _ordered(demand: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Demand lines with the place ``seq`` of their order on its rack; orders without a stocked SKU are left out."""
-    ranked = _prioritised(demand, stocks, RACK).select(*RACK, *ITEM, "assign_priority", (-F.col("load_qty")).alias("_load"))
+def _ordered(demand: DataFrame, total: DataFrame, group: list[str]) -> DataFrame:
+    """Demand lines with the place ``seq`` of their order in its group (a rack, or a turn of it); orders without a stocked SKU
+    are left out."""
+    ranked = _prioritised(demand, total, group).select(*group, *ITEM, "assign_priority", (-F.col("load_qty")).alias("_load"))
     turn = F.struct("assign_priority", "_load", "sku_cd", "com_cd", "order_qty")
-    order_key = [*RACK, "batch_id", "class_cd"]
-    first = demand.join(ranked, [*RACK, *ITEM]).groupBy(*order_key).agg(F.min(turn).alias("_turn"))
-    placed = row_numbers(first, RACK, [F.col("_turn").asc(), F.col("class_cd").asc(), F.col("batch_id").asc()], "seq")
+    order_key = list(dict.fromkeys([*group, "batch_id", "class_cd"]))
+    first = demand.join(ranked, [*group, *ITEM]).groupBy(*order_key).agg(F.min(turn).alias("_turn"))
+    placed = row_numbers(first, group, [F.col("_turn").asc(), F.col("class_cd").asc(), F.col("batch_id").asc()], "seq")
     return demand.join(placed.drop("_turn"), order_key)
 
 
+def _round(placed: DataFrame, position: str, order_key: list[str]) -> DataFrame:
+    """One round over lines with their place: those of accepted and of undecided orders, what was taken before them brought
+    up to date; rejected orders are gone. Lines that are not open were accepted in the round before and only count here."""
+    summed = block_totals(
+        placed,
+        [*RACK, *ITEM],
+        position,
+        {"_open_upto": F.when(F.col("is_open"), F.col("qty")).otherwise(0), "_taken": F.when(F.col("is_open"), 0).otherwise(F.col("qty"))},
+        width=BLOCK,
+    ).filter("is_open")
+    sure = F.col("taken_before") + F.col("_taken")
+    judged = summed.withColumns({"_fits": sure + F.col("_open_upto") <= F.col("cap"), "_fails": sure + F.col("qty") > F.col("cap")})
+    verdict = judged.groupBy(*order_key).agg(F.min("_fits").alias("_accept"), F.max("_fails").alias("_reject"))
+    return (
+        judged.withColumn("taken_before", sure)
+        .join(verdict, order_key)
+        .filter(~F.col("_reject"))
+        .withColumn("is_open", ~F.col("_accept"))
+        .select(*placed.columns)
+    )
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 def _greedy(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame:
     """The accepted lines of one wave, with ``seq`` and the interval ``[start, end)`` they take of their SKU's stock."""
     item, order_key = [*RACK, *ITEM], [*RACK, "seq"]
     caps = loaded_stock(stocks, cells).groupBy(*item).agg(F.sum("load_qty").cast("bigint").alias("cap"))
     lines = (
-        _ordered(demand, stocks)
+        _ordered(demand, stock_total(stocks), RACK)
         .join(caps, item, "left")
         .select(*item, *KEY[1:], "class_cd", "seq", F.col("order_qty").alias("qty"), F.coalesce("cap", F.lit(0)).alias("cap"))
         .withColumns({"taken_before": F.lit(0).cast("bigint"), "is_open": F.lit(True)})
     )
     state = cut_lineage(lines)
+    accepted: list[DataFrame] = []
+    while state.filter("is_open").limit(1).count():
+        # Accepted lines stay for one more round, to be added to what is taken before the open ones.
+        state = cut_lineage(_round(state, "seq", order_key))
+        accepted.append(state.filter(~F.col("is_open")))
+    every = _all_of(accepted or [state])
+    return block_totals(every, item, "seq", {"end": F.col("qty")}, width=BLOCK).withColumn("start", F.col("end") - F.col("qty"))
+
+
+# Places of one turn; a place in the sequence of all turns of a rack is turn * PLACES + seq.
+PLACES = 1 << 40
 
-    def totals(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-        return block_totals(df, item, "seq", values, width=BLOCK)
 
+def _greedy_by_turn(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """The accepted lines where the batches of a rack come one after the other (``turn``), each with the stock left by then.
+
+    A turn is placed, in the order that its stock priority gives, once no undecided order of an earlier turn of the rack wants
+    one of its SKUs: from then on the stock of these SKUs is known. So turns that share no SKU are decided in the same rounds,
+    all racks at once, and the number of rounds follows the longest chain of turns that wait for each other.
+    """
+    item, turn_key = [*RACK, *ITEM], [*RACK, "turn"]
+    order_key = [*turn_key, "seq"]
+    caps = loaded_stock(stocks, cells).groupBy(*item).agg(F.sum("load_qty").cast("bigint").alias("cap"))
+    total = cut_lineage(stock_total(stocks))
+    unset = {"seq": F.lit(None).cast("bigint"), "place": F.lit(None).cast("bigint"), "taken_before": F.lit(0).cast("bigint"), "is_open": F.lit(True)}
+    lines = demand.join(caps, item, "left").select(
+        *item, *KEY[1:], "class_cd", F.col("turn").cast("bigint").alias("turn"), F.col("order_qty").alias("qty"), "line_cnt", F.coalesce("cap", F.lit(0)).alias("cap")
+    )
+    state = cut_lineage(lines.withColumns(unset))
+    columns = state.columns
     accepted: list[DataFrame] = []
     while state.filter("is_open").limit(1).count():
-        summed = totals(
-            state,
-            {"_open_upto": F.when(F.col("is_open"), F.col("qty")).otherwise(0), "_taken": F.when(F.col("is_open"), 0).otherwise(F.col("qty"))},
-        ).filter("is_open")
-        sure = F.col("taken_before") + F.col("_taken")
-        judged = summed.withColumns({"_fits": sure + F.col("_open_upto") <= F.col("cap"), "_fails": sure + F.col("qty") > F.col("cap")})
-        verdict = judged.groupBy(*order_key).agg(F.min("_fits").alias("_accept"), F.max("_fails").alias("_reject"))
-        following = (
-            judged.withColumn("taken_before", sure)
-            .join(verdict, order_key)
-            .filter(~F.col("_reject"))
-            .withColumn("is_open", ~F.col("_accept"))
-            .select(*state.columns)
-        )
-        # Accepted lines stay for one more round, to be added to what is taken before the open ones.
-        state = cut_lineage(following)
+        undecided = state.filter("is_open")
+        front = undecided.groupBy(*item).agg(F.min("turn").alias("_front"))
+        waits = undecided.join(front, item).groupBy(*turn_key).agg(F.max(F.col("turn") > F.col("_front")).alias("_waits"))
+        ready = waits.filter("NOT _waits").select(*turn_key)
+        waiting = cut_lineage(undecided.filter("seq IS NULL").join(ready.withColumn("_ready", F.lit(True)), turn_key, "left"))
+        rest = waiting.filter("_ready IS NULL").select(*columns)
+        placed = state.filter("seq IS NOT NULL")
+        if waiting.filter("_ready").limit(1).count():
+            # what is taken of a SKU by now; lines accepted in the last round are still among the placed ones
+            empty = placed.filter(F.lit(False))
+            taken = _all_of(accepted or [empty]).groupBy(*item).agg(F.sum("qty").alias("_used"))
+            settled = _all_of(accepted[:-1] or [empty]).groupBy(*item).agg(F.sum("qty").alias("_settled"))
+            left = total.join(taken, item, "left").withColumn("stock_qty", F.col("stock_qty") - F.coalesce("_used", F.lit(0))).filter("stock_qty > 0")
+            fresh = waiting.filter("_ready").select(*item, "batch_id", "class_cd", "turn", F.col("qty").alias("order_qty"), "line_cnt", "cap")
+            ordered = _ordered(fresh, left.select(*item, "stock_qty"), turn_key).join(settled, item, "left")
+            new = ordered.withColumns(
+                {
+                    "qty": F.col("order_qty"),
+                    "place": F.col("turn") * PLACES + F.col("seq"),
+                    "taken_before": F.coalesce("_settled", F.lit(0)).cast("bigint"),
+                    "is_open": F.lit(True),
+                }
+            )
+            placed = placed.unionByName(new.select(*columns))
+        state = cut_lineage(_round(placed, "place", order_key).unionByName(rest))
         accepted.append(state.filter(~F.col("is_open")))
-    if not accepted:
-        accepted = [state]
-    every = accepted[0]
-    for part in accepted[1:]:
-        every = every.unionByName(part)
-    return totals(every, {"end": F.col("qty")}).withColumn("start", F.col("end") - F.col("qty"))
+    every = _all_of(accepted or [state])
+    return block_totals(every, item, "place", {"end": F.col("qty")}, width=BLOCK).withColumn("start", F.col("end") - F.col("qty"))
 
 
 def _allocation(filled: DataFrame, wave: Column) -> DataFrame:
@@ -183,7 +245,7 @@ def allocate(orders: DataFrame, stocks: DataFrame, cells: DataFrame, batches: Da
 
     With ``wave="equip"`` all waiting orders of a rack compete in one pass. With ``wave="batch"`` the batches of
     a rack come one after the other, newest job date first (``batches``), each with the stock the earlier ones left.
-    Runs jobs while it is built: one per round, written to the checkpoint folder.
+    Runs jobs while it is built: some per round, written to the checkpoint folder.
     """
     # The demand is read several times per wave, so it is written once.
     demand = cut_lineage(open_demand(orders, status=status, skip=skip))
@@ -197,21 +259,9 @@ def allocate(orders: DataFrame, stocks: DataFrame, cells: DataFrame, batches: Da
         batches.filter(F.col("status") == BATCH_RUNNING).select("domain_id", F.col("id").alias("batch_id"), "job_date"), KEY
     )
     turns = row_numbers(rack_batches, RACK, [F.col("job_date").desc_nulls_last(), F.col("batch_id").asc()], "turn").drop("job_date")
-    waves = cut_lineage(demand.join(turns, [*RACK, "batch_id"]))
-    last = waves.agg(F.max("turn")).first()[0] or 0
-    parts: list[DataFrame] = []
-    for turn in range(1, last + 1):
-        step = waves.filter(F.col("turn") == turn).drop("turn")
-        part = cut_lineage(_allocation(_fill_cells(_greedy(step, stocks, cells), loaded_stock(stocks, cells)), F.lit(turn).cast("bigint")))
-        parts.append(part)
-        if turn < last:
-            stocks = cut_lineage(stock_after(stocks, part))
-    if not parts:
-        return _allocation(_fill_cells(_greedy(demand.filter(F.lit(False)), stocks, cells), loaded_stock(stocks, cells)), F.lit(1).cast("bigint"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    accepted = _greedy_by_turn(demand.join(turns, [*RACK, "batch_id"]), stocks, cells)
+    # Stock is used up cell by cell, the least loaded first, so one laying of all turns is the same as one for each.
+    return _allocation(_fill_cells(accepted, loaded_stock(stocks, cells)), F.col("turn"))
 
 
 def allocate_lines(orders: DataFrame, stocks: DataFrame, cells: DataFrame, *, order_type: str | None = None) -> DataFrame:
