@@ -52,9 +52,9 @@ def stock_total(stocks: DataFrame) -> DataFrame:
 
 
 def _prioritised(demand: DataFrame, total: DataFrame, group: list[str]) -> DataFrame:
-    """SKUs of every group with their rank class, given the stock that is left of each (``stock_total``)."""
+    """SKUs of every group with their rank class, given the stock that is left of each: ``stock_total``, or such a table for every group."""
     wanted = demand.groupBy(*group, *ITEM).agg(F.sum("order_qty").alias("order_qty"), F.sum("line_cnt").alias("order_sku_cnt"))
-    joined = wanted.join(total.withColumnRenamed("stock_qty", "load_qty"), [*RACK, *ITEM])
+    joined = wanted.join(total.withColumnRenamed("stock_qty", "load_qty"), [c for c in total.columns if c != "stock_qty"])
     priority = (
         F.when(F.col("order_qty") <= F.col("load_qty"), 1).when(F.col("order_sku_cnt") >= F.col("load_qty"), 2).otherwise(3)
     )
@@ -185,6 +185,39 @@ def _greedy(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame
 PLACES = 1 << 40
 
 
+def _ready_lines(state: DataFrame, waiting: DataFrame, settled: DataFrame, total: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lines without a place those whose turn is ready, and those of them that get a place, with it.
+
+    A turn waits for an earlier one while an undecided order of that one, which could still fit, wants one of its SKUs. Orders
+    that exceed what is left of a SKU fail in any case, so nobody waits for them; they count in the priority of their turn.
+    """
+    item, turn_key = [*RACK, *ITEM], [*RACK, "turn"]
+    last = state.filter("NOT is_open").select(*item, F.col("turn").alias("_turn"), F.lit(0).cast("bigint").alias("_settled"), F.col("qty").alias("_used"))
+    taken = settled.withColumn("_used", F.col("_settled")).unionByName(last)
+    used = taken.groupBy(*item).agg(F.sum("_used").alias("_used"))
+    undecided = state.filter("is_open").join(used.select(*item, "_used"), item, "left").withColumn("_dead", F.col("qty") > F.col("cap") - F.coalesce("_used", F.lit(0)))
+    order_key = [*turn_key, "batch_id", "class_cd"]
+    alive = undecided.groupBy(*order_key).agg(F.max("_dead").alias("_dead")).filter("NOT _dead").select(*order_key)
+    front = undecided.drop("_dead").join(alive, order_key, "left_semi").groupBy(*item).agg(F.min("turn").alias("_front"))
+    waits = waiting.join(front, item, "left").groupBy(*turn_key).agg(F.max(F.coalesce(F.col("turn") > F.col("_front"), F.lit(False))).alias("_waits"))
+    ready = waiting.join(waits.filter("NOT _waits").select(*turn_key), turn_key, "left_semi")
+    fresh = cut_lineage(ready.select(*item, "batch_id", "class_cd", "turn", F.col("qty").alias("order_qty"), "line_cnt", "cap"))
+    # what the turns before this one have taken; a later turn may be ahead where only orders that fail are left of this one
+    wanted = fresh.select(*item, "turn").distinct()
+    before = wanted.join(taken, item, "left").filter("_turn IS NULL OR _turn < turn").groupBy(*item, "turn").agg(F.sum("_used").alias("_used"), F.sum("_settled").alias("_settled"))
+    known = wanted.join(before, [*item, "turn"], "left")
+    left = known.join(total, item).withColumn("stock_qty", F.col("stock_qty") - F.coalesce("_used", F.lit(0))).filter("stock_qty > 0")
+    ordered = _ordered(fresh, left.select(*item, "turn", "stock_qty"), turn_key).join(known.select(*item, "turn", "_settled"), [*item, "turn"], "left")
+    return fresh, ordered.withColumns(
+        {
+            "qty": F.col("order_qty"),
+            "place": F.col("turn") * PLACES + F.col("seq"),
+            "taken_before": F.coalesce("_settled", F.lit(0)).cast("bigint"),
+            "is_open": F.lit(True),
+        }
+    )
+
+
 def _greedy_by_turn(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame:
     """The accepted lines where the batches of a rack come one after the other (``turn``), each with the stock left by then.
 
@@ -202,32 +235,24 @@ def _greedy_by_turn(demand: DataFrame, stocks: DataFrame, cells: DataFrame) -> D
     )
     state = cut_lineage(lines.withColumns(unset))
     columns = state.columns
+    # What each turn has taken of every SKU in earlier rounds; lines of the last round are still among the placed ones.
+    by_turn = [*item, F.col("turn").alias("_turn")]
+    settled = state.filter(F.lit(False)).groupBy(*by_turn).agg(F.sum("qty").alias("_settled"))
     accepted: list[DataFrame] = []
-    while state.filter("is_open").limit(1).count():
-        undecided = state.filter("is_open")
-        front = undecided.groupBy(*item).agg(F.min("turn").alias("_front"))
-        waits = undecided.join(front, item).groupBy(*turn_key).agg(F.max(F.col("turn") > F.col("_front")).alias("_waits"))
-        ready = waits.filter("NOT _waits").select(*turn_key)
-        waiting = cut_lineage(undecided.filter("seq IS NULL").join(ready.withColumn("_ready", F.lit(True)), turn_key, "left"))
-        rest = waiting.filter("_ready IS NULL").select(*columns)
-        placed = state.filter("seq IS NOT NULL")
-        if waiting.filter("_ready").limit(1).count():
-            # what is taken of a SKU by now; lines accepted in the last round are still among the placed ones
-            empty = placed.filter(F.lit(False))
-            taken = _all_of(accepted or [empty]).groupBy(*item).agg(F.sum("qty").alias("_used"))
-            settled = _all_of(accepted[:-1] or [empty]).groupBy(*item).agg(F.sum("qty").alias("_settled"))
-            left = total.join(taken, item, "left").withColumn("stock_qty", F.col("stock_qty") - F.coalesce("_used", F.lit(0))).filter("stock_qty > 0")
-            fresh = waiting.filter("_ready").select(*item, "batch_id", "class_cd", "turn", F.col("qty").alias("order_qty"), "line_cnt", "cap")
-            ordered = _ordered(fresh, left.select(*item, "stock_qty"), turn_key).join(settled, item, "left")
-            new = ordered.withColumns(
-                {
-                    "qty": F.col("order_qty"),
-                    "place": F.col("turn") * PLACES + F.col("seq"),
-                    "taken_before": F.coalesce("_settled", F.lit(0)).cast("bigint"),
-                    "is_open": F.lit(True),
-                }
-            )
-            placed = placed.unionByName(new.select(*columns))
+    unplaced = F.col("is_open") & F.col("seq").isNull()
+    while True:
+        left = state.agg(F.max("is_open"), F.max(unplaced)).first()
+        if not left[0]:
+            break
+        placed = state.filter(~unplaced)
+        rest = state.filter(unplaced)
+        if left[1]:
+            fresh, new = _ready_lines(state, rest, settled, total)
+            rest = rest.join(fresh.select(*turn_key).distinct(), turn_key, "left_anti")
+            placed = placed.unionByName(cut_lineage(new.select(*columns)))
+        if accepted:
+            more = accepted[-1].groupBy(*by_turn).agg(F.sum("qty").alias("_settled"))
+            settled = cut_lineage(settled.unionByName(more).groupBy(*item, "_turn").agg(F.sum("_settled").alias("_settled")))
         state = cut_lineage(_round(placed, "place", order_key).unionByName(rest))
         accepted.append(state.filter(~F.col("is_open")))
     every = _all_of(accepted or [state])
