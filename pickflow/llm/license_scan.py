@@ -2,7 +2,7 @@
 
 Blocks with a word of licensing are cut out of every text: the sentences, runs of sentences and lines, and windows of long
 sentences that have about the words of a template, and what is left around them. Each is compressed alone and with every
-template as a raw dictionary; templates are ranked by the bytes saved, and the best is confirmed by the words that differ.
+template as a raw dictionary; templates are ranked by the bytes saved, and the best is confirmed by the words that differ: few may, and none that decides.
 """
 
 from __future__ import annotations
@@ -59,6 +59,13 @@ TOLERANCE, LONGEST = 0.15, 2000
 #: Words in a row that find the places where a template may stand: TOLERANCE leaves some of each template's unchanged. A
 #: sentence of more characters than FLAT is taken for text without sentence ends, in which a notice may begin anywhere.
 ANCHOR, FLAT = 3, 400
+#: Words that decide which license is meant, or whether it is granted, besides numbers. A wording that has one
+#: more or one less of them than the template, also as a part of a word with hyphens, is no notice of that license.
+DECISIVE = frozenset(
+    "not no never without cannot lesser library affero gnu gpl lgpl agpl mit apache mozilla mpl bsd isc zlib boost eclipse epl cddl unlicense"
+    " cc cc0 zero attribution sharealike noderivatives noderivs noncommercial sa nd nc creative commons clause only later".split()
+)
+_DENIED = re.compile(r"\b(?:not|never|no longer|cannot|isn't|aren't)\s+(?:\w+\s+){0,2}$", re.I)
 #: Most words of a holder's name between "copyright" and "all rights reserved".
 HOLDER = 12
 #: Up to so many words that may differ, all begins and ends of a span are tried; beyond, so many nearest to the alignment.
@@ -90,7 +97,7 @@ def blocks(text: str, scanner: Scanner) -> Iterator[tuple[int, str]]:
         return
     taken: list[tuple[int, int]] = []
     for _, _, a, b in sorted(scanner.proposed(text, parts)):
-        if all(b <= x or a >= y for x, y in taken) and cue.search(text, a, b) and scanner.best(text[a:b])[-1]:
+        if all(b <= x or a >= y for x, y in taken) and cue.search(text, a, b) and not _DENIED.search(text, max(0, a - 60), a) and scanner.best(text[a:b])[-1]:
             taken.append((a, b))
     left, run = [], None
     for (a, b), has in zip(parts, cues):
@@ -136,6 +143,11 @@ def wording(text: str) -> list[str]:
     return [w for w, _, _ in words(text)]
 
 
+def decisive(wanted: Sequence[str]) -> Counter:
+    """The words of a wording that decide, with their counts."""
+    return Counter(w for w in wanted if any(part in DECISIVE or part.lstrip("v").replace(".", "").isdigit() for part in w.split("-")))
+
+
 def differences(block: str, template: str) -> int:
     """Words that must be left out, put in or replaced to turn one wording into the other."""
     return _differences(wording(template), wording(block))
@@ -172,6 +184,7 @@ class Scanner:
         self.given = [(name, text, zstd.ZstdCompressor(dict_data=own(text), **options)) for name, text in templates]
         self.known: dict[str, tuple] = {}
         self.wordings = [wording(text) for _, text in templates]
+        self.decisive = [decisive(w) for w in self.wordings]
         self.anchors: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for t, w in enumerate(self.wordings):
             size = min(ANCHOR, len(w))
@@ -243,9 +256,10 @@ class Scanner:
         top = [(_differences(self.wordings[i], own), i, -saved) for saved, i in near if saved == near[0][0]]
         # the next in rank may be the same notice with other words
         top += [(_differences(self.wordings[i], own), i, -saved) for saved, i in near[len(top) : len(top) + 3]]
-        least, i, saved = min(top)
-        name = self.given[i][0]
-        return name, alone, saved, least, least <= TOLERANCE * len(self.wordings[i]) and saved > 0
+        marks = decisive(own)
+        good = [(d, i, saved) for d, i, saved in top if d <= TOLERANCE * len(self.wordings[i]) and saved > 0 and marks == self.decisive[i]]
+        least, i, saved = min(good or top)
+        return self.given[i][0], alone, saved, least, bool(good)
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:

@@ -88,3 +88,62 @@ def test_holders_tags_and_whole_texts(spark, make_docs):
     ]
     assert confirmed(spark, make_docs, *(t for _, t in texts)) == {(i, n) for i, (n, _) in enumerate(texts)}
     assert confirmed(spark, make_docs, "SPDX-License-Identifier: unheard-of", "Copyright 2020 Acme Corp.") == set()
+
+
+def test_words_that_decide(spark, make_docs):
+    """Notices of other licenses, and denials, are confirmed as nothing; what is left unsaid here stays a candidate."""
+    program = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or any later version."
+    others = [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 1.",
+        program.format("Lesser ", "2"),
+        program.format("Lesser ", "3"),
+        program.format("", "1"),
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under the Apache License, Version 1.1.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+        "This work is not licensed under the GNU General Public License, version 3.",
+        "This work is not dedicated to the public domain under CC0 1.0.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY 3.0.",
+        "Copyright. No rights reserved.",
+        "word " * 100 + "which was never licensed under CC BY 4.0 " + "word " * 100,
+    ]
+    rows = license_scan.scan(make_docs(*others)).collect()
+    assert {(r.doc_id, r.license) for r in rows if r.confirmed} == set()
+    assert {r.doc_id for r in rows} == set(range(len(others)))
+    same = [("GPL-3.0", program.format("", "3")), ("CC-BY-4.0", "word " * 100 + "which was licensed under CC BY 4.0 " + "word " * 100), ("MIT", "It is released under the MIT License.")]
+    assert confirmed(spark, make_docs, *(t for _, t in same)) >= {(i, n) for i, (n, _) in enumerate(same[:2])}
+
+
+def edit_distance_by_table(a, b):
+    """Words that must be left out, put in or replaced, by dynamic programming over all prefixes."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_confirmed_notices_against_all_spans_of_small_texts(spark, make_docs):
+    """Every confirmed block is near its template by an edit distance of its own, and no sentence that equals a template is missed."""
+    import random
+
+    rng = random.Random(6)
+    short = [(n, t) for n, t in license_scan.TEMPLATES if len(t.split()) <= 20 and t.endswith(".")]
+    texts = []
+    for _ in range(60):
+        _, notice = rng.choice(short)
+        kept = [w for w in notice.split() if rng.random() > 0.08]
+        texts.append(f"{rng.choice(['Here', 'There'])} it begins. {notice if rng.random() < 0.5 else ' '.join(kept)} {rng.choice(['And on it goes.', 'The end.'])}")
+    word = lambda t: [w for w in (x.strip(".,;:()\"").lower() for x in t.split()) if w]
+    rows = [r for r in license_scan.scan(make_docs(*texts)).collect() if r.confirmed]
+    for r in rows:
+        block = texts[r.doc_id][r.begin : r.begin + r.length]
+        assert min(edit_distance_by_table(word(block), word(t)) / len(word(t)) for n, t in license_scan.TEMPLATES if n == r.license) <= 0.3
+    found = {(r.doc_id, r.license) for r in rows}
+    for i, text in enumerate(texts):
+        whole = {n for n, t in short if f". {t} " in text}
+        assert not whole or any((i, n) in found for n in whole), text
