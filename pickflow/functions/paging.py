@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,14 @@ def _counted(df: DataFrame, order: list[Column], first: int, last: int, keys: li
     ranges = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
     parts = cut_lineage(ranges.withColumn("_part", F.spark_partition_id()))
     block = ["_part", *keys]
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy(*block).agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    counts = parts.groupBy(*block).agg(F.count("*").alias("_rows"))
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    else:  # one row for each partition: the driver adds them up
+        sizes = sorted((r["_part"], r["_rows"]) for r in counts.collect())
+        before = itertools.accumulate((n for _, n in sizes), initial=0)
+        counts = df.sparkSession.createDataFrame([(p, n, b) for (p, n), b in zip(sizes, before)], "_part int, _rows bigint, _before bigint")
     wanted = counts.filter((F.col("_before") < last) & (F.col("_before") + F.col("_rows") >= first)).drop("_rows")
     hit = parts.alias("l").join(wanted.alias("o"), same_keys("l", "o", block)).select(*[F.col(f"l.{c}") for c in parts.columns], F.col("o._before"))
     place = F.row_number().over(Window.partitionBy(*block).orderBy(*order)) + F.col("_before")
