@@ -259,15 +259,17 @@ t_near AS (
   SELECT b.*, 3, g.order_no, g.box_id FROM t_base b JOIN t_group g USING (domain_id, batch_id, equip_type)
   WHERE g.seq > b.base_seq AND NOT (g.order_no = b.base_order AND g.box_id = b.base_box)
   QUALIFY row_number() OVER (PARTITION BY b.domain_id, b.batch_id, b.equip_type, b.equip_cd, b.station_cd ORDER BY g.seq, g.order_no, g.box_id) <= 2),
+t_whole AS (SELECT domain_id, batch_id, equip_type, order_no, box_id, color_cd, min(id) AS any_id, max(input_seq) AS last_seq, count(*) FILTER (status NOT IN ('F', 'U', 'E')) AS open_cnt
+  FROM wh_inputs GROUP BY ALL),
+t_here AS (SELECT domain_id, batch_id, equip_type, order_no, box_id, color_cd, station_cd, max(id) AS my_id, max(input_seq) AS my_seq, max(status) AS my_status, count(*) AS input_cnt,
+    count(*) FILTER (status IN ('W', 'R')) AS open_cnt
+  FROM wh_inputs GROUP BY ALL),
 t_boxes AS (
-  SELECT n.domain_id, n.batch_id, n.equip_type, n.equip_cd, n.station_cd, n.screen_pos, n.selected_id, n.order_no, n.box_id, i.color_cd,
-    max(CASE WHEN i.station_cd = n.station_cd THEN i.id END) AS my_id, min(i.id) AS any_id,
-    cast(sum(CASE WHEN i.station_cd = n.station_cd THEN 1 ELSE 0 END) AS bigint) AS has_my_jobs,
-    max(CASE WHEN i.station_cd = n.station_cd THEN i.input_seq ELSE 0 END) AS my_seq, max(i.input_seq) AS last_seq,
-    CASE WHEN list_sort(list(i.station_cd = n.station_cd AND i.status IN ('W', 'R')) FILTER (i.status NOT IN ('F', 'U', 'E'))) = [true] THEN 1 ELSE 0 END AS is_last,
-    max(CASE WHEN i.station_cd = n.station_cd THEN i.status END) AS my_status
-  FROM t_near n JOIN wh_inputs i ON i.domain_id = n.domain_id AND i.batch_id = n.batch_id AND i.equip_type = n.equip_type AND i.order_no = n.order_no AND i.box_id = n.box_id
-  GROUP BY ALL),
+  SELECT n.domain_id, n.batch_id, n.equip_type, n.equip_cd, n.station_cd, n.screen_pos, n.selected_id, n.order_no, n.box_id, w.color_cd, h.my_id, w.any_id,
+    coalesce(h.input_cnt, 0) AS has_my_jobs, coalesce(h.my_seq, 0) AS my_seq, w.last_seq, CASE WHEN w.open_cnt = 1 AND h.open_cnt = 1 THEN 1 ELSE 0 END AS is_last, h.my_status
+  FROM t_near n JOIN t_whole w USING (domain_id, batch_id, equip_type, order_no, box_id)
+  LEFT JOIN t_here h ON h.domain_id = n.domain_id AND h.batch_id = n.batch_id AND h.equip_type = n.equip_type AND h.order_no = n.order_no AND h.box_id = n.box_id
+    AND h.color_cd IS NOT DISTINCT FROM w.color_cd AND h.station_cd = n.station_cd),
 t_zone AS (SELECT j.domain_id, j.batch_id, j.equip_type, j.equip_cd, c.station_cd, j.order_no, sum(j.pick_qty) AS plan, sum(j.picked_qty) AS picked
   FROM wh_jobs j JOIN wh_cells c ON c.domain_id = j.domain_id AND c.equip_type = j.equip_type AND c.equip_cd = j.equip_cd AND c.cell_cd = j.sub_equip_cd GROUP BY ALL)
 SELECT domain_id, batch_id, equip_type, equip_cd, station_cd, screen_pos, order_no, box_id, color_cd, coalesce(my_id, any_id) AS id, has_my_jobs,
