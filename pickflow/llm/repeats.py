@@ -28,7 +28,7 @@ from pickflow.llm.wordhash import _VALUE, _powers_to, as_bytes, in_pieces, mixed
 #: Bytes of a string that is removed, and of the gram that picks an anchor.
 LENGTH, GRAM = 100, 32
 #: Bytes that a task works on at a time; longer texts are cut into overlapping segments. Anchors of a bucket.
-SEGMENT, BUCKET_ROWS = 2 << 20, 1_000_000
+SEGMENT, BUCKET_ROWS = 1 << 20, 1_000_000
 #: Most spans that are broadcast.
 SPANS = 2_000_000
 _LOW = np.uint64((1 << 28) - 1)
