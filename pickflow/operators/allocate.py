@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickflow.functions.columns import natural_id
+from pickflow.functions.columns import natural_id, never_broadcast
 from pickflow.functions.intervals import overlap_join
 from pickflow.functions.running import block_totals, row_numbers, running_totals
 from pickflow.schemas import BATCH_RUNNING, JOB_BOX_WAIT, JOB_WAIT, KEY, MULTI, ORDER_ASSIGNED, ORDER_WAIT
@@ -43,7 +43,7 @@ def loaded_stock(stocks: DataFrame, cells: DataFrame | None = None) -> DataFrame
     if cells is None:
         return rows
     places = cells.filter("active_flag").select(*RACK, "cell_cd", "ind_cd")
-    return rows.join(places, [*RACK, "cell_cd"])
+    return never_broadcast(rows).join(places, [*RACK, "cell_cd"])
 
 
 def stock_total(stocks: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def stock_total(stocks: DataFrame) -> DataFrame:
 def _prioritised(demand: DataFrame, total: DataFrame, group: list[str]) -> DataFrame:
     """SKUs of every group with their rank class, given the stock that is left of each: ``stock_total``, or such a table for every group."""
     wanted = demand.groupBy(*group, *ITEM).agg(F.sum("order_qty").alias("order_qty"), F.sum("line_cnt").alias("order_sku_cnt"))
-    joined = wanted.join(total.withColumnRenamed("stock_qty", "load_qty"), [c for c in total.columns if c != "stock_qty"])
+    stock = never_broadcast(total.withColumnRenamed("stock_qty", "load_qty"))
+    joined = wanted.join(stock, [c for c in total.columns if c != "stock_qty"])
     priority = (
         F.when(F.col("order_qty") <= F.col("load_qty"), 1).when(F.col("order_sku_cnt") >= F.col("load_qty"), 2).otherwise(3)
     )
@@ -72,7 +73,7 @@ def stock_priority(orders: DataFrame, stocks: DataFrame, *, status: str = ORDER_
 
 def orders_for_stock(orders: DataFrame, stocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Waiting orders per SKU whose demand the stock of the SKU covers."""
-    covered = open_demand(orders, skip=skip).join(stock_total(stocks), [*RACK, *ITEM]).filter("order_qty <= stock_qty")
+    covered = open_demand(orders, skip=skip).join(never_broadcast(stock_total(stocks)), [*RACK, *ITEM]).filter("order_qty <= stock_qty")
     return covered.select(*KEY, "equip_type", "equip_cd", F.col("class_cd").alias("order_no"), *ITEM, "order_qty", "stock_qty")
 
 

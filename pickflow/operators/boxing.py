@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickflow.functions.columns import long_sum
+from pickflow.functions.columns import long_sum, never_broadcast
 from pickflow.schemas import KEY
 
 ITEM_WAIT = "W"
@@ -14,7 +14,7 @@ ITEM_WAIT = "W"
 def box_items(orders: DataFrame, sku: DataFrame) -> DataFrame:
     """One box line per order line, with the SKU weight (0 where the SKU is unknown)."""
     weights = sku.select("domain_id", "com_cd", "sku_cd", "sku_nm", "sku_wt")
-    return orders.join(weights, ["domain_id", "com_cd", "sku_cd"], "left").select(
+    return orders.join(never_broadcast(weights), ["domain_id", "com_cd", "sku_cd"], "left").select(
         F.concat(F.lit("BI-"), "id").alias("id"),
         *KEY,
         F.concat(F.lit("BP-"), "class_cd").alias("box_pack_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.operators.classify import splittable_batches
-from pickflow.functions.columns import natural_id
+from pickflow.functions.columns import natural_id, never_broadcast
 from pickflow.schemas import (
     BATCH_MERGED,
     BATCH_READY,
@@ -135,7 +135,7 @@ def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame
         .agg(F.sum("order_qty").cast("int").alias("pick_qty"), F.max("equip_nm").alias("equip_nm"))
     )
     if sku is not None:
-        grouped = grouped.join(sku.select("domain_id", "com_cd", "sku_cd", "sku_nm"), ["domain_id", "com_cd", "sku_cd"], "left")
+        grouped = grouped.join(never_broadcast(sku.select("domain_id", "com_cd", "sku_cd", "sku_nm")), ["domain_id", "com_cd", "sku_cd"], "left")
     else:
         grouped = grouped.withColumn("sku_nm", F.lit(None).cast("string"))
     placed = grouped.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")

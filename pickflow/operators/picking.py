@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pickflow.functions.columns import flag, long_sum, where
+from pickflow.functions.columns import flag, long_sum, never_broadcast, where
 from pickflow.functions.running import running_totals
 from pickflow.schemas import (
     INPUT_FINISHED,
@@ -65,9 +65,10 @@ def picking_jobs(
     places = places.select("domain_id", "equip_type", "equip_cd", F.col("cell_cd").alias("sub_equip_cd"), "side_cd", F.col("station_cd").alias("_station"), F.col("ind_cd").alias("_ind"))
     lights = indicators.select("domain_id", F.col("ind_cd").alias("_ind"), F.col("gw_cd").alias("_gw"))
     routers = gateways.select("domain_id", F.col("gw_cd").alias("_gw"), F.col("gw_nm").alias("gw_path"), F.lit(True).alias("_has_gw"))
+    names = never_broadcast(sku.select("domain_id", "com_cd", "sku_cd", "sku_barcd", F.col("sku_nm").alias("_sku_nm")))
     joined = (
         rows.join(places, ["domain_id", "equip_type", "equip_cd", "sub_equip_cd"])
-        .join(sku.select("domain_id", "com_cd", "sku_cd", "sku_barcd", F.col("sku_nm").alias("_sku_nm")), ["domain_id", "com_cd", "sku_cd"])
+        .join(names, ["domain_id", "com_cd", "sku_cd"])
         .join(lights, ["domain_id", "_ind"], "left")
         .join(routers, ["domain_id", "_gw"], "left")
     )
@@ -288,5 +289,5 @@ def inspection_items(jobs: DataFrame, sku: DataFrame, **filters) -> DataFrame:
     """Per batch, order, status and SKU: name, barcode and picked pieces. SKUs are matched within the tenant and company."""
     group = [*KEY, "order_no", "status", "com_cd", "sku_cd"]
     picked = where(jobs, **filters).groupBy(*group).agg(long_sum("picked_qty").alias("picked_qty"))
-    names = sku.select("domain_id", "com_cd", "sku_cd", "sku_nm", "sku_barcd")
+    names = never_broadcast(sku.select("domain_id", "com_cd", "sku_cd", "sku_nm", "sku_barcd"))
     return picked.join(names, ["domain_id", "com_cd", "sku_cd"]).select(*group, "sku_nm", "sku_barcd", "picked_qty")
