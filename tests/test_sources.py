@@ -141,3 +141,8 @@ def test_one_job_per_batch(small):
     tables = small.jobs, small.cells, small.sku, small.indicators, small.gateways
     every, some = picking_jobs(*tables), picking_jobs(*tables, only_one=True)
     assert some.count() == every.select("domain_id", "batch_id").distinct().count() > 1
+
+
+def test_jobs_are_derived_with_one_shuffle_of_the_lines(small):
+    plan = small.jobs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
