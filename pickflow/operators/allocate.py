@@ -88,15 +88,16 @@ def assign_candidates(orders: DataFrame, stocks: DataFrame, cells: DataFrame) ->
     """Cells an order would use per SKU: in load order up to the first one that covers the demand.
 
     ``check_assignable`` counts the SKUs of the order that are short; SKUs that are short have no rows. The cells are
-    summed once per SKU, not once per order.
+    summed once per SKU, not once per order. Runs jobs while it is built: the cells, the demand with their sums and what is
+    wanted of them are read several times, so each is written once, to the checkpoint folder.
     """
     demand = open_demand(orders, order_type=None)
-    laid = _cell_intervals(loaded_stock(stocks, cells)).withColumn("load_sum_by_cell", F.col("end"))
+    laid = cut_lineage(_cell_intervals(loaded_stock(stocks, cells)).withColumn("load_sum_by_cell", F.col("end")))
     totals = laid.groupBy(*RACK, *ITEM).agg(F.sum("load_qty").alias("_total"))
-    checked = demand.join(totals, [*RACK, *ITEM], "left").withColumn("_short", F.coalesce("_total", F.lit(0)) < F.col("order_qty"))
+    checked = cut_lineage(demand.join(totals, [*RACK, *ITEM], "left").withColumn("_short", F.coalesce("_total", F.lit(0)) < F.col("order_qty")))
     order_key = [*KEY, "equip_type", "equip_cd", "class_cd"]
     short = checked.groupBy(*order_key).agg(F.count_if("_short").alias("check_assignable"))
-    wanted = checked.filter(~F.col("_short")).join(short, order_key).withColumns({"start": F.lit(0).cast("bigint"), "end": F.col("order_qty")})
+    wanted = cut_lineage(checked.filter(~F.col("_short")).join(short, order_key).withColumns({"start": F.lit(0).cast("bigint"), "end": F.col("order_qty")}))
     # Only the cells that [0, demand) reaches meet an order, not every cell of the SKU.
     rows = overlap_join(wanted, laid, [*RACK, *ITEM])
     return rows.select(
