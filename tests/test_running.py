@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import groupby
 
 import pytest
@@ -136,3 +137,17 @@ def test_a_deep_page_sorts_only_the_partitions_it_is_in(spark):
         for name, value in old.items():
             spark.conf.set(name, value)
     assert "WindowGroupLimit" not in numbered
+
+
+def test_only_groups_at_the_edges_of_partitions_are_summed_across_them(spark):
+    """Many small groups, one over several partitions, and one without a key; the other groups' totals stay where they are."""
+    data = [(g, i, 1) for g in range(200) for i in range(3)] + [(77, 100 + i, 2) for i in range(400)] + [(None, i, 5) for i in range(300)]
+    df = spark.createDataFrame(data, "g int, i int, v int")
+    out = running_totals(df, ["g"], [F.col("i").asc()], {"upto": F.col("v"), "rn": 1})
+    expected, sums, counts = [], {}, {}
+    for g, i, v in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        sums[g], counts[g] = sums.get(g, 0) + v, counts.get(g, 0) + 1
+        expected.append((g, i, sums[g], counts[g]))
+    got = [tuple(r) for r in out.select("g", "i", "upto", "rn").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert re.search(r"BroadcastHashJoin \[[^\n]*LeftOuter, BuildRight", out._jdf.queryExecution().executedPlan().toString())
