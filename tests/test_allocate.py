@@ -13,6 +13,7 @@ from conftest import rows
 from pickflow.hooks import Hooks
 from pickflow.operators import allocate as al
 from pickflow.plans.flows import allocate_stock
+from pickflow.session import cut_lineage
 
 ORDER_SCHEMA = "id string, domain_id int, batch_id string, job_date string, equip_type string, equip_cd string, class_cd string, com_cd string, sku_cd string, order_qty int, order_type string, status string"
 STOCK_SCHEMA = "id string, domain_id int, equip_type string, equip_cd string, cell_cd string, com_cd string, sku_cd string, load_qty int, alloc_qty int, active_flag boolean"
@@ -82,6 +83,23 @@ def test_allocate_batch_by_batch(spark):
         assert got.get(domain, {}) == want, domain
 
 
+def test_batches_that_share_plenty_do_not_wait_for_each_other(spark, monkeypatch):
+    """The tables written, so the rounds, are as many for six batches as for two, while the SKU they share lasts."""
+
+    def written(n):
+        count = []
+        monkeypatch.setattr(al, "cut_lineage", lambda df: count.append(1) or cut_lineage(df))
+        orders = [(f"{b}-{c}-{s}", 1, f"B{b}", f"2020{10 - b:02d}", "Rack", "R1", f"C{b}-{c}", "K", s, 2, "MT", "W") for b in range(n) for c in range(2) for s in ("A", f"S{b}")]
+        stocks = [(s, 1, "Rack", "R1", "c0", "K", s, 90, 0, True) for s in ("A", *(f"S{b}" for b in range(n)))]
+        batches = spark.createDataFrame([(1, f"B{b}", f"2020{10 - b:02d}", "RUN") for b in range(n)], "domain_id int, id string, job_date string, status string")
+        frames = [spark.createDataFrame(orders, ORDER_SCHEMA), spark.createDataFrame(stocks, STOCK_SCHEMA), spark.createDataFrame([(1, "Rack", "R1", "c0", "i0", True)], CELL_SCHEMA)]
+        got = rows(al.allocate(*frames, batches, wave="batch"), "wave", "seq", "order_no", "sku_cd", "assign_qty")
+        assert got == sorted((b + 1, c + 1, f"C{b}-{c}", s, 2) for b in range(n) for c in range(2) for s in ("A", f"S{b}"))
+        return len(count)
+
+    assert written(6) == written(2)
+
+
 def test_allocate_lines_is_the_greedy_for_one_sku_orders(spark):
     rng = random.Random(3)
     cases = [_case(rng, d, max_skus=1) for d in range(300)]
