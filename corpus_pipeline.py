@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pickflow.llm import decontaminate, mixing, parity_join, quality, token_files
-from pickflow.llm.common import scratch, table
+from pickflow.llm.common import scratch, table, text_batches
 from pickflow.llm.queries import tokenizer_path
 
 
@@ -20,6 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.75 or more, the one with the smallest id."""
+    text_batches(spark, None)
     return parity_join.one_of_each(docs)
 
 

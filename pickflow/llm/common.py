@@ -13,6 +13,8 @@ from pickflow.session import use_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of whole texts that an executor and a Python worker exchange at a time.
+TEXT_BATCH = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -32,6 +34,18 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def text_batches(spark: SparkSession, most: int | None = TEXT_BATCH) -> None:
+    """From now on Arrow batches of the session end at ``most`` bytes (none: as Spark has it), not only at so many rows.
+
+    Ten thousand texts at once are some tens of MB, several times over in the executor and in its workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if most is None:
+        spark.conf.unset(key)
+    else:
+        spark.conf.set(key, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from pickflow.llm.common import small_side
+from pickflow.llm.common import small_side, text_batches
 from pickflow.llm.wordhash import as_bytes, in_pieces, mixed, words
 
 #: Words of a passage.
@@ -210,6 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score ``threshold`` at least."""
+    text_batches(docs.sparkSession)
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

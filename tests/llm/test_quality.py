@@ -59,3 +59,20 @@ def test_words_and_shingles(block, monkeypatch):
     sets = list(shingle_sets(pa.array(texts)))
     assert [len(s) for s in sets] == [0, 0, 0, 1, 1, 1, 6, 1, 1, 1, 1, 1, 1, 1]
     assert sets[9].tolist() == sets[10].tolist() != sets[11].tolist() and sets[12].tolist() != sets[13].tolist()
+
+
+def test_texts_reach_workers_few_at_a_time(spark, make_docs):
+    """Batches that go to a worker and come back end at some bytes, also if their rows are few."""
+    from pickflow.llm.common import TEXT_BATCH, text_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = make_docs(*["word " * 200_000] * 12).coalesce(1)
+    try:
+        kept = quality.keep_good(docs, quality.Model(constant=1.0))
+        assert kept.count() == 12
+        assert max(r["n"] for r in docs.select("doc_id", "text").mapInArrow(sizes, "n bigint").collect()) <= TEXT_BATCH + 1_100_000
+    finally:
+        text_batches(spark, None)
