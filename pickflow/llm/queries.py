@@ -10,6 +10,10 @@ from pickflow.llm import decontaminate, fill_middle, fingerprints, lexical_searc
 from pickflow.llm.common import table
 
 
+#: Chunks of text that a worker remembers where the executor does nothing else; twelve times as many as in the pipeline.
+REMEMBER = 1_200_000
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -17,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.tokenized(table(spark, sf_dir, "documents"), tokenizer_path(), remember=REMEMBER)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

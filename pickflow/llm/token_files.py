@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pickflow.llm.common import scratch, small_side
+from pickflow.llm.common import scratch, small_side, text_batches
 from pickflow.llm.wordhash import in_pieces
 
 #: Ids are coded by a dictionary (tokens, counts repeat) or by deltas (doc_id and offset ascend); pages carry an index.
@@ -34,8 +34,12 @@ LAYOUT = {
     "parquet.enable.dictionary#offset": "false",
 }
 FILE_SCHEMA = "doc_id bigint, offset bigint, n_tokens bigint, tokens array<int>"
-#: Most chunks that a worker remembers, and the bytes of text it encodes at a time.
+#: Most chunks that a worker remembers if not told otherwise, and the bytes of text it encodes at a time.
 CACHE, BATCH = 100_000, 1 << 20
+#: Most pieces after a line feed that are remembered.
+BARE = 250_000
+#: Marks that end a word: runs of them, as long as this at most, are pieces of their own (apostrophes are not).
+MARKS, TAIL = ".,;:!?#$%&*+=@^~|)]}>", 4
 
 
 #: How byte-level tokenizers write bytes as characters; those that print stand for themselves.
@@ -51,7 +55,7 @@ class ChunkEncoder:
     at a time, with line feeds between them, which become ids of their own there.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remember: int = CACHE):
         from tokenizers import Tokenizer
 
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -65,7 +69,8 @@ class ChunkEncoder:
         if any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens of letters only are not told from words")
         self.special = re.compile("|".join(added) or "(?!)").search
-        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        self.remember = remember
+        self.marks: dict[str, bytes] = {}  # runs of marks that end words
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = np.array([self.line], "<u4").tobytes()
         self.known: dict[str, bytes | None] = {}  # chunks after a blank
@@ -106,10 +111,10 @@ class ChunkEncoder:
         for c in new:
             if c.isalpha():
                 plain[c] = None
-            elif c[-1:] in marks and c[:-1].isalpha():  # letters and one mark are never one piece
-                marked.append(c)
-                if c[:-1] not in known:
-                    plain[c[:-1]] = None
+            elif (word := c.rstrip(MARKS)).isalpha() and len(tail := c[len(word) :]) <= TAIL and not special(tail):  # letters and marks are never one piece
+                marked.append((c, word, tail))
+                if word not in known:
+                    plain[word] = None
             elif not c or c[0].isspace() or c[-1].isspace():
                 known[c] = None
             elif special(c):
@@ -124,54 +129,57 @@ class ChunkEncoder:
                 plain[c] = None
         known.update(zip(alone, self._ids([" " + c for c in alone]), strict=True))
         self._joined(known, list(plain), " ")
-        for c in marked:
-            known[c] = known[c[:-1]] + marks[c[-1]]
+        tails = list({tail for _, _, tail in marked}.difference(marks))
+        marks.update(zip(tails, self._ids(tails), strict=True))
+        for c, word, tail in marked:
+            known[c] = known[word] + marks[tail]
         if lines:  # a single line feed between other characters is a piece of its own
             self._learn({p[0] for _, p in lines}.difference(known))
             self._joined(self.bare, list({x for _, p in lines for x in p[1:]}.difference(self.bare)), "")
             for c, (head, *rest) in lines:
                 known[c] = b"".join([known[head], *[y for x in rest for y in (self.feed, self.bare[x])]])
 
-    def _forget(self, known: dict) -> dict:
+    def _forget(self, known: dict, most: int) -> dict:
         """What was learned first, which is what is frequent."""
-        return dict(itertools.islice(known.items(), CACHE // 2)) if len(known) > CACHE else known
+        return dict(itertools.islice(known.items(), most // 2)) if len(known) > most else known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        self.known, self.bare = self._forget(self.known), self._forget(self.bare)
+        self.known, self.bare = self._forget(self.known, self.remember), self._forget(self.bare, min(self.remember, BARE))
         split = [text.split(" ") for text in texts]
         self._learn(set().union(*split).difference(self.known))
         out: list[bytes | None] = []
         heads: dict[str, None] = {}
         for chunks in split:
-            coded = list(map(self.known.__getitem__, chunks[1:]))
-            head = chunks[0]
-            if None in coded or (len(chunks) > 1 and (not head or head[-1].isspace())):
-                out.append(None)
-            else:
-                heads[head] = None
-                out.append(b"".join(coded))
+            head, coded = chunks[0], None
+            if len(chunks) == 1 or (head and not head[-1].isspace()):
+                try:
+                    coded = b"".join(map(self.known.__getitem__, chunks[1:]))
+                    heads[head] = None
+                except TypeError:  # a chunk that may not be encoded apart: None
+                    pass
+            out.append(coded)
         first = dict(zip(heads, self._ids(list(heads)), strict=True))
         whole = iter(self._ids([t for t, c in zip(texts, out, strict=True) if c is None]))
         return [(first[chunks[0]] + coded if coded is not None else next(whole)) + self.end for chunks, coded in zip(split, out, strict=True)]
 
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+_encoders: dict[tuple[str, int, int], ChunkEncoder] = {}
 
 
-def _encoder(path: str, end_id: int) -> ChunkEncoder:
+def _encoder(path: str, end_id: int, remember: int) -> ChunkEncoder:
     """One encoder for all tasks of a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = ChunkEncoder(path, end_id)
-    return _encoders[path, end_id]
+    if (path, end_id, remember) not in _encoders:
+        _encoders[path, end_id, remember] = ChunkEncoder(path, end_id, remember)
+    return _encoders[path, end_id, remember]
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset = _encoder(path, end_id), 0
+        encoder, offset = _encoder(path, end_id, remember), 0
         for batch in batches:
             for piece in in_pieces(batch, 1, BATCH):
                 coded = encoder.encode(piece.column(1).to_pylist())
@@ -189,19 +197,21 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, layout: dict[str, str] = LAYOUT) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, layout: dict[str, str] = LAYOUT, remember: int = CACHE) -> None:
     """Encode every text of ``docs`` (``doc_id``, ``text``; null text: empty) and write the ids to ``path``.
 
     ``tokenizer`` is the file of a byte-level tokenizer, readable where the tasks run. Repeated ids are ordered by a hash
-    of the text; null ids come first. Other columns are ignored. An empty table gives a folder with no rows.
+    of the text; null ids come first. Other columns are ignored. An empty table gives a folder with no rows. A worker
+    remembers the ids of ``remember`` chunks, some 200 bytes each.
     """
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     (
         docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_tie"))
         .repartitionByRange("doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
-        .mapInArrow(_encode(tokenizer, end_id), FILE_SCHEMA)
+        .mapInArrow(_encode(tokenizer, end_id, remember), FILE_SCHEMA)
         .write.options(**layout)
         .parquet(path)
     )
@@ -234,8 +244,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     return read_tokens(spark, path).mapInArrow(_checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, remember: int = CACHE) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and return their index, read back from the files."""
     path = scratch(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, remember=remember)
     return token_index(docs.sparkSession, path)

@@ -66,3 +66,14 @@ def test_layout(spark, sf, tmp_path):
     assert any("DICTIONARY" in e for e in columns["tokens.list.element"])
     plan = token_files.read_tokens(spark, path).select("doc_id", "start")._jdf.queryExecution().toString()
     assert "tokens:array" not in plan.split("ReadSchema:")[-1]
+
+
+def test_words_with_runs_of_marks_are_learned_by_their_word():
+    encoder = token_files.ChunkEncoder(tokenizer_path(), 0, remember=4)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["x " + " ".join(f"{w}{m}" for w in ("oued", "Añgo", "dog'", "a1", "x.y") for m in ("***", "$$$", ".%%%", "...", "#####", ",|>", ".'", "!?)")), "x oued** oued"]
+    for _ in range(2):  # the second time after some were forgotten
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    encoder = token_files.ChunkEncoder(tokenizer_path(), 0)
+    encoder.encode(["x oued***"])
+    assert "oued" in encoder.known
