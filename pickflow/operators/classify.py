@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickflow.functions.columns import per_batch
 from pickflow.schemas import KEY, MULTI, ORDER_TYPED, SINGLE
 
 # Columns an order class may be taken from.
@@ -78,7 +79,7 @@ def classify_orders(orders: DataFrame, *, single_pack: bool = True, variant: str
         types = repeated.select(*KEY, "class_cd").distinct().withColumn("_type", F.lit(MULTI))
     typed = F.coalesce("_given", F.lit(False)) | F.col("_type").isNotNull()
     return (
-        orders.join(given, KEY, "left")
+        orders.join(per_batch(given), KEY, "left")
         .join(types, [*KEY, "class_cd"], "left")
         .withColumns(
             {
@@ -139,7 +140,7 @@ def assign_single_rack(orders: DataFrame, racks: DataFrame) -> DataFrame:
     rack = single_racks(orders, racks).select(*KEY, F.col("equip_cd").alias("_equip_cd"), F.col("equip_nm").alias("_equip_nm"))
     filled = F.col("equip_cd").isNull() & F.col("_equip_cd").isNotNull()
     return (
-        orders.join(rack, KEY, "left")
+        orders.join(per_batch(rack), KEY, "left")
         .withColumns({"equip_nm": F.when(filled, F.col("_equip_nm")).otherwise(name), "equip_cd": F.coalesce("equip_cd", "_equip_cd")})
         .drop("_equip_cd", "_equip_nm")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickflow.operators.classify import splittable_batches
-from pickflow.functions.columns import natural_id, never_broadcast
+from pickflow.functions.columns import natural_id, never_broadcast, per_batch
 from pickflow.schemas import (
     BATCH_MERGED,
     BATCH_READY,
@@ -90,7 +90,7 @@ def instruct_orders(orders: DataFrame, batches: DataFrame, racks: DataFrame | No
     single-pack rack (``racks``) and multi orders to I.
     """
     scope = batches.select("domain_id", "batch_group_id", F.col("id").alias("batch_id"), F.col("equip_cd").alias("_batch_equip"))
-    lines = orders.join(scope.drop("batch_group_id").withColumn("_in", F.lit(True)), KEY, "left")
+    lines = orders.join(per_batch(scope.drop("batch_group_id").withColumn("_in", F.lit(True))), KEY, "left")
     typed = F.col("_in") & (F.col("status") == ORDER_TYPED)
     if variant == "service":
         new = {
@@ -100,7 +100,7 @@ def instruct_orders(orders: DataFrame, batches: DataFrame, racks: DataFrame | No
         return lines.withColumns(new).drop("_batch_equip", "_in")
     if variant != "procedure":
         raise ValueError(f"unknown variant {variant!r}")
-    lines = lines.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
+    lines = lines.join(per_batch(single_pack_racks(racks)), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
     single, multi = typed & (F.col("order_type") == SINGLE), typed & (F.col("order_type") == MULTI)
     new = {
         "status": F.when(single, ORDER_ASSIGNED).when(multi, ORDER_INSTRUCTED).otherwise(F.col("status")),
@@ -138,7 +138,7 @@ def create_single_pack_jobs(orders: DataFrame, racks: DataFrame, sku: DataFrame
         grouped = grouped.join(never_broadcast(sku.select("domain_id", "com_cd", "sku_cd", "sku_nm")), ["domain_id", "com_cd", "sku_cd"], "left")
     else:
         grouped = grouped.withColumn("sku_nm", F.lit(None).cast("string"))
-    placed = grouped.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
+    placed = grouped.join(per_batch(single_pack_racks(racks)), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
     placed = placed.withColumns({"equip_cd": F.coalesce("equip_cd", "_ot_rack_cd"), "equip_nm": F.coalesce("equip_nm", "_ot_rack_nm")})
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*KEY, "class_cd", "com_cd", "sku_cd", "box_type_cd", "equip_cd")]
     unset = "sub_equip_cd ind_cd box_class_cd box_id invoice_id color_cd".split()
@@ -236,7 +236,7 @@ def merge_batch(orders: DataFrame, batches: DataFrame, mapping: DataFrame, racks
         spread = splittable_batches(orders).filter("rack_count > 1").select(*KEY)
         rejected = plan.join(spread, KEY, "left_semi").select(*KEY, "main_batch_id")
         plan = plan.join(spread, KEY, "left_anti")
-        lines = orders.join(plan, KEY, "left")
+        lines = orders.join(per_batch(plan), KEY, "left")
         moves = F.col("main_batch_id").isNotNull()
         merged = lines.withColumns(
             {
@@ -248,7 +248,7 @@ def merge_batch(orders: DataFrame, batches: DataFrame, mapping: DataFrame, racks
     elif variant == "by_rack":
         rejected = plan.filter(F.lit(False)).select(*KEY, "main_batch_id")
         running = racks.select("domain_id", F.col("rack_cd").alias("equip_cd"), F.col("batch_id").alias("_rack_batch"))
-        lines = orders.join(plan, KEY, "left").join(running, ["domain_id", "equip_cd"], "left")
+        lines = orders.join(per_batch(plan), KEY, "left").join(per_batch(running), ["domain_id", "equip_cd"], "left")
         moves = F.col("main_batch_id").isNotNull() & typed
         multi = moves & (F.col("order_type") == MULTI)
         merged = lines.withColumns(
@@ -285,12 +285,12 @@ def merge_with_jobs(
     """
     merged = merge_batch(orders, batches, mapping, racks, variant="by_rack")
     moved = mapping.select(*KEY).distinct().withColumn("_moved", F.lit(True))
-    lines = merged.orders.join(moved, KEY, "left")
+    lines = merged.orders.join(per_batch(moved), KEY, "left")
     single = F.col("_moved") & (F.col("status") == ORDER_TYPED) & (F.col("order_type") == SINGLE)
     placed = lines.withColumn("_single", F.coalesce(single, F.lit(False))).withColumn("batch_id", F.col("new_batch_id")).drop("new_batch_id", "_moved")
     jobs = create_single_pack_jobs(placed.filter("_single").withColumn("equip_cd", F.lit(None).cast("string")), racks, sku, status=ORDER_TYPED)
     after = (
-        placed.join(single_pack_racks(racks), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
+        placed.join(per_batch(single_pack_racks(racks)), ["domain_id", "area_cd", "stage_cd", "job_type"], "left")
         .withColumns(
             {
                 "status": F.when(F.col("_single"), ORDER_ASSIGNED).otherwise(F.col("status")),
