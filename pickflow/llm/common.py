@@ -13,6 +13,8 @@ from pickflow.session import use_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of a file of a small table whose size is known; its writers are that few.
+FILE_ROWS = 50_000
 #: Bytes of whole texts that an executor and a Python worker exchange at a time.
 TEXT_BATCH = 4 << 20
 
@@ -22,9 +24,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{use_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again, so that lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again, so that lost executors cost no recomputation.
+
+    With ``rows``, the most that it has, it is written in files of about ``FILE_ROWS`` and read by as few tasks: rounds over small
+    tables would else leave a file for every partition of every shuffle, and the next shuffle another for each of these.
+    """
     path = scratch(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickflow.llm.common import small_side, stored
+from pickflow.llm.common import small_side, stored, text_batches
 from pickflow.llm.graph import components
 from pickflow.llm.wordhash import in_pieces, mixed, shingle_sets
 
@@ -277,6 +277,7 @@ class ParityJoin:
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
+        text_batches(self.spark)
         self.rows = docs.select("doc_id", "text")
         made = stored(self.rows.mapInArrow(_profile, PROFILE), "sets")
         self.profiles = made.where("n >= 0").drop("keys", "seen")
@@ -284,10 +285,10 @@ class ParityJoin:
         hot = [r["keys"] for r in often.orderBy(F.desc("seen"), "keys").limit(HOT_KEYS).collect()]
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array(hot, np.uint64)))
         some = self.profiles.where("n > 0 and doc_id is not null")
-        self.classes = stored(some.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+        self.classes = stored(some.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", many := made.count())
         copies = some.select("doc_id", "n", "hi", "lo").join(self.classes.where("copies > 1"), ["n", "hi", "lo"]).where("doc_id <> rep").select("doc_id", "rep")
         reps = self.classes.select(F.col("rep").alias("doc_id")).distinct()
-        self.copies = stored(copies, "copies")
+        self.copies = stored(copies, "copies", many)
         others = self.copies.select("doc_id").distinct().join(reps, "doc_id", "left_anti")
         self.distinct = self.rows.where("doc_id is not null and text is not null").join(small_side(others), "doc_id", "left_anti")
         # one row per id; rows that share an id are one node, whose size is that of any of its sets
@@ -311,14 +312,15 @@ class ParityJoin:
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of texts that are similar, by their whole sets."""
         pairs = stored(pairs, name)
-        ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), name)
+        many = pairs.count()
+        ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), name, 2 * many)
         sets = self.distinct.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_sets, "id bigint, tokens binary")
         both = (
             pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("vt")), "v")
             .join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("ut")), "u")
             .select("u", "v", "ut", "vt")
         )
-        return stored(both.mapInArrow(_verify, "u bigint, v bigint").distinct(), name)
+        return stored(both.mapInArrow(_verify, "u bigint, v bigint").distinct(), name, many)
 
     def across(self, entries: DataFrame, parts: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of a key that lie in different components and may be similar: all, or for each id and block the nearest."""
@@ -334,23 +336,27 @@ class ParityJoin:
         full = dealt.join(self.sizes, "id").select("key", "i", "j", "id", "block", "component", "n", "sketch")
         return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(nearest), "u bigint, v bigint").distinct()
 
+    def joined(self, links: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+        """The links, ``many`` at most, and the components they make, both written."""
+        links = stored(links, "links", many)
+        return links, stored(components(links, many), "parts", 2 * many)
+
     def components(self) -> DataFrame:
         """(id, component) of all smallest ids of equal sets that are linked with another."""
         met = self.met()
         repeated = self.profiles.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
         links = self.copies.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-        links = stored(links.unionAll(self.linked(self.near(met.select("u", "v").distinct()), "pairs")), "links")
-        parts = stored(components(links), "parts")
+        found = self.linked(self.near(met.select("u", "v").distinct()), "pairs")
+        links, parts = self.joined(links.unionAll(found), self.copies.count() + found.count())
         # Near copies join their nearest first, round by round as long as components meet; each round at least halves those
         # that do. What is left are pairs between components of which no nearest one is a link: these are all looked at.
-        entries = stored(met.select("key", F.explode(F.array("u", "v")).alias("id")).distinct(), "entries")
+        entries = stored(met.select("key", F.explode(F.array("u", "v")).alias("id")).distinct(), "entries", 2 * met.count())
         for nearest in (True, False):
             while True:
                 pairs = stored(self.near(self.across(entries, parts, nearest)), "across")
                 if not pairs.limit(1).count() or not (more := self.linked(pairs, "across")).limit(1).count():
                     break
-                links = stored(links.unionAll(more), "links")
-                parts = stored(components(links), "parts")
+                links, parts = self.joined(links.unionAll(more), links.count() + more.count())
                 if not nearest:
                     break
         return parts

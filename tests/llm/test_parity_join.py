@@ -117,3 +117,28 @@ def test_components(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
     assert all(got[i] == 0 for i in range(41)) and got[95] == got[100] == got[90] == 90 and got[201] == 200 and got[349] == 300
     assert len(got) == 41 + 3 + 2 + 50
+
+
+def test_rounds_leave_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions a shuffle has, a table of some rows is one file; all are found in files of few rows, too."""
+    monkeypatch.setattr("pickflow.llm.common.use_checkpoint_dir", lambda _: str(tmp_path))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(120)] + [(500, 500 + i) for i in range(1, 60)], "u bigint, v bigint")
+    try:
+        for k, v in zip(kept, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        for most, files in ((50_000, 1), (30, 12)):
+            monkeypatch.setattr("pickflow.llm.common.FILE_ROWS", most)
+            got = dict(tuple(r) for r in components(edges, 179).collect())
+            assert got == {**dict.fromkeys(range(121), 0), **dict.fromkeys(range(500, 560), 500)}
+            tables = [len(list(p.glob("*.parquet"))) for p in tmp_path.iterdir()]
+            assert 1 <= max(tables) <= files
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_join_ends_batches_of_texts_at_some_bytes(spark, make_docs):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    parity_join.ParityJoin(make_docs("a b c d e f"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
