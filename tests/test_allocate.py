@@ -151,3 +151,51 @@ def test_candidates_keep_only_covered_skus(spark):
     got = rows(al.assign_candidates(orders, stocks, cells), "sku_cd", "cell_cd", "load_sum_by_cell", "ranking", "check_assignable")
     # Equal loads follow the cell code; the SKU without stock has no rows but counts as short.
     assert got == [("A", "c1", 3, 1, 1), ("A", "c2", 6, 2, 1)]
+
+
+def test_a_round_moves_the_lines_by_item_and_by_order_once(spark, monkeypatch):
+    """Lines move as numbers: the plan of a round has few exchanges, and none of its tables has a name of an order or SKU."""
+    plans = []
+
+    def written(df):
+        if "is_open" in df.columns:
+            plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString().count("Exchange")))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(al, "cut_lineage", written)
+    rng = random.Random(5)
+    al.allocate(*_frames(spark, [_case(rng, d) for d in range(20)]))
+    assert len(plans) > 2  # the lines at first, and those of each round
+    assert all(not {"class_cd", "sku_cd", "equip_cd"} & set(columns) and moves <= 5 for columns, moves in plans)
+
+
+def test_cells_are_swept_as_they_overlap(spark):
+    from pickflow.functions.intervals import overlap_join
+
+    rng, lines, cells = random.Random(13), [], []
+    for item in range(60):
+        for rows_, total in ((lines, 40), (cells, 50)):
+            at = 0
+            while at < total:
+                end = min(at + rng.choice([0, 1, 2, 9]), total)
+                if rows_ is lines or end > at:
+                    rows_.append((item, at, end, len(rows_)))
+                at = max(end, at + (rows_ is lines and rng.random() < 0.01))
+    taken = spark.createDataFrame(lines, "item_no bigint, start bigint, end bigint, place bigint")
+    laid = spark.createDataFrame([(i, s, e, "K", "S", f"c{n}", f"i{n}", f"s{n}") for i, s, e, n in cells], "item_no bigint, start bigint, end bigint, com_cd string, sku_cd string, cell_cd string, ind_cd string, stock_id string")
+    want = overlap_join(taken, laid, ["item_no"]).select("place", *al.CELL_COLUMNS, F.col("overlap").alias("assign_qty"))
+    got = rows(al._swept(taken, laid))
+    assert got == rows(want) and got
+
+
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_odd_quantities_are_allocated_alike_in_blocks(spark, block, monkeypatch):
+    """No demand, none given and less than none, with a rack or SKU unnamed; items are summed whole or in blocks."""
+    monkeypatch.setattr(al, "BLOCK", block)
+    lines = [("A", "S", 3), ("B", "S", None), ("B", "T", 2), ("C", "S", -1), ("C", "T", 1), ("D", "S", 0), ("E", None, 0), ("E", "S", 2), ("F", "S", 4), ("G", "S", 1)]
+    orders = [(f"{n}", 1, "B", "202001", "Rack", None if c == "G" else "R1", c, "K", s, q, "MT", "W") for n, (c, s, q) in enumerate(lines)]
+    stocks = [(f"{s}{n}", 1, "Rack", "R1", f"c{n}", "K", s, 3, 0, True) for s in "ST" for n in range(3)]
+    cells = [(1, "Rack", "R1", f"c{n}", f"i{n}", True) for n in range(3)]
+    frames = [spark.createDataFrame(p, k) for p, k in ((orders, ORDER_SCHEMA), (stocks, STOCK_SCHEMA), (cells, CELL_SCHEMA))]
+    got = rows(al.allocate(*frames), "order_no", "sku_cd", "stock_id", "assign_qty", "seq")
+    assert got == [("A", "S", "S0", 2, 5), ("A", "S", "S1", 1, 5), ("B", "T", "T0", 2, 1), ("C", "T", "T0", 1, 2), ("E", "S", "S0", 1, 4), ("F", "S", "S1", 2, 6), ("F", "S", "S2", 2, 6)]
