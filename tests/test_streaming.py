@@ -278,3 +278,69 @@ def test_a_stream_with_snapshots_keeps_few_folders(spark, tmp_path):
     st.write_updates(stream, f"{tmp_path}/out", f"{tmp_path}/cp", keys=keys, compact_every=2).awaitTermination()
     assert rows(updates.last_state(spark, f"{tmp_path}/out", stream.schema, keys), "id", "picked_qty") == [("J0", 3), ("J1", 3), ("J2", 3)]
     assert len(os.listdir(f"{tmp_path}/out")) <= 5 and len([d for d in os.listdir(f"{tmp_path}/out_snapshot") if d.startswith("epoch")]) == 2
+
+
+def _confirmed(spark, tmp_path, events, jobs):
+    """The jobs after one micro-batch of ``events``, by one slot."""
+    stream = _stream(spark, str(tmp_path), EVENT, [events])
+    st.write_updates(st.stream_confirm_pick(stream, jobs, slots=1), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    return rows(spark.read.parquet(f"{tmp_path}/out"), "id", "picked_qty", "status", "pick_started_at", "pick_ended_at")
+
+
+def test_events_of_a_micro_batch_count_by_time_whatever_their_arrow_batches(spark, tmp_path):
+    """A job that its first event fills, after five Arrow batches of later ones; and one that is never full."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        jobs = spark.createDataFrame([(1, "B", "A", 9, 0, "P"), (1, "B", "Z", 99, 0, "P")], "domain_id int, batch_id string, id string, pick_qty int, picked_qty int, status string")
+        events = [(f"a{n}", 1, "B", "A", T0 + dt.timedelta(minutes=n), 9 if n == 0 else 1) for n in reversed(range(10))] + [("z", 1, "B", "Z", T0, 1)]
+        got = _confirmed(spark, tmp_path, events, jobs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [("A", 9, "F", T0, T0), ("Z", 1, "P", T0, None)]
+
+
+def test_the_state_function_holds_a_slot_as_one_table_and_takes_events_in_chunks(monkeypatch):
+    """Equal to taking them one by one, with a missing end beside others and chunks of few events."""
+    import pandas as pd
+
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            assert at > 0
+
+    rng = random.Random(21)
+    events = [(f"J{rng.randint(0, 30)}", n, rng.randint(1, 4)) for n in range(1, 400)]
+    room = {f"J{i}": 5 + i for i in range(31)}
+    want = {}
+    for job, at, qty in events:
+        j = want.setdefault(job, [0, at, None])
+        if j[0] < room[job] <= j[0] + qty:
+            j[2] = at
+        j[0] = min(j[0] + qty, room[job])
+    for size in (3, 4_000_000):
+        monkeypatch.setattr(st, "CHUNK", size)
+        confirm, state, got = st._slot_function("F", "P", 10**6), State(), {}
+        for n in range(0, len(events), 50):
+            part = pd.DataFrame(events[n : n + 50], columns=["job", "us", "qty"]).assign(domain_id=1, batch_id="B", had=0)
+            part = part.assign(job_id=part["job"], room=part["job"].map(room), event_id="")
+            for out in confirm((0,), iter([part[:20], part[:0], part[20:]]), state):
+                got.update({r.id: [r.applied_qty, r.pick_started_at, r.pick_ended_at, r.status] for r in out.itertuples()})
+        assert len(state.get) == 1 and isinstance(state.get[0], bytes)
+        us = lambda t: None if pd.isna(t) else t.value // 1000
+        assert {i: [a, us(s), us(e)] for i, (a, s, e, _) in got.items()} == want
+        assert all((e is not pd.NaT) == (k == "F") for _, _, e, k in got.values())
