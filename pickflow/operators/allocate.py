@@ -253,9 +253,11 @@ def _greedy(lines: DataFrame, stocks: DataFrame, cells: DataFrame) -> DataFrame:
     wanted = cut_lineage(demand.alias("d").join(never_broadcast(items).alias("i"), same).select("order_id", "item_no", F.col("order_qty").alias("qty"), "cap", "is_stocked", "is_hot"))
     # An order stands where its first SKU does; without a stocked SKU it has no place. What does not fit the whole stock never will.
     turns = wanted.groupBy("order_id").agg(F.min(F.when(F.col("is_stocked"), F.struct("item_no", "qty"))).alias("_turn"), F.max(F.col("qty") > F.col("cap")).alias("_fails"))
-    heads = demand.filter("batch_id IS NOT NULL AND class_cd IS NOT NULL").groupBy("order_id").agg(*[F.min(c).alias(c) for c in (*RACK, "batch_id", "class_cd")])
+    heads = demand.groupBy("order_id").agg(*[F.min(c).alias(c) for c in (*RACK, "batch_id", "class_cd")])
     turned = heads.join(turns.filter("_turn IS NOT NULL"), "order_id").orderBy(*RACK, "_turn", "class_cd", "batch_id")
-    placed = cut_lineage(turned.select("order_id", F.monotonically_increasing_id().alias("place"), *RACK, "batch_id", "class_cd", "_fails"))
+    # Lines without a batch or class have a place, but get no stock.
+    fails = F.col("_fails") | F.col("batch_id").isNull() | F.col("class_cd").isNull()
+    placed = cut_lineage(turned.select("order_id", F.monotonically_increasing_id().alias("place"), *RACK, "batch_id", "class_cd", fails.alias("_fails")))
     state = cut_lineage(
         wanted.join(placed.filter(~F.col("_fails")).select("order_id", "place"), "order_id")
         .select("place", "item_no", "qty", F.col("cap").alias("room"), "is_hot", F.lit(True).alias("is_open"))

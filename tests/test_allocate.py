@@ -190,12 +190,12 @@ def test_cells_are_swept_as_they_overlap(spark):
 
 @pytest.mark.parametrize("block", [2, 100_000])
 def test_odd_quantities_are_allocated_alike_in_blocks(spark, block, monkeypatch):
-    """No demand, none given and less than none, with a rack or SKU unnamed; items are summed whole or in blocks."""
+    """No demand, none given and less than none, with a rack, order or SKU unnamed; items are summed whole or in blocks."""
     monkeypatch.setattr(al, "BLOCK", block)
-    lines = [("A", "S", 3), ("B", "S", None), ("B", "T", 2), ("C", "S", -1), ("C", "T", 1), ("D", "S", 0), ("E", None, 0), ("E", "S", 2), ("F", "S", 4), ("G", "S", 1)]
+    lines = [(None, "S", 1), ("A", "S", 3), ("B", "S", None), ("B", "T", 2), ("C", "S", -1), ("C", "T", 1), ("D", "S", 0), ("E", None, 0), ("E", "S", 2), ("F", "S", 4), ("G", "S", 1)]
     orders = [(f"{n}", 1, "B", "202001", "Rack", None if c == "G" else "R1", c, "K", s, q, "MT", "W") for n, (c, s, q) in enumerate(lines)]
     stocks = [(f"{s}{n}", 1, "Rack", "R1", f"c{n}", "K", s, 3, 0, True) for s in "ST" for n in range(3)]
     cells = [(1, "Rack", "R1", f"c{n}", f"i{n}", True) for n in range(3)]
     frames = [spark.createDataFrame(p, k) for p, k in ((orders, ORDER_SCHEMA), (stocks, STOCK_SCHEMA), (cells, CELL_SCHEMA))]
     got = rows(al.allocate(*frames), "order_no", "sku_cd", "stock_id", "assign_qty", "seq")
-    assert got == [("A", "S", "S0", 2, 5), ("A", "S", "S1", 1, 5), ("B", "T", "T0", 2, 1), ("C", "T", "T0", 1, 2), ("E", "S", "S0", 1, 4), ("F", "S", "S1", 2, 6), ("F", "S", "S2", 2, 6)]
+    assert got == [("A", "S", "S0", 2, 6), ("A", "S", "S1", 1, 6), ("B", "T", "T0", 2, 1), ("C", "T", "T0", 1, 2), ("E", "S", "S0", 1, 5), ("F", "S", "S1", 2, 7), ("F", "S", "S2", 2, 7)]
